@@ -1,0 +1,8 @@
+"""Streaming.
+
+The workload this library reproduces is batch only: it has no stream source,
+watermark, event-time window or stateful operator, so nothing is implemented here.
+Every operator in ``urbanframe.operators`` is a plain DataFrame transformation and
+can be applied to a streaming DataFrame where Spark supports the underlying
+operator (filters, projections, grouped aggregations).
+"""
