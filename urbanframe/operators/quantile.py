@@ -14,7 +14,7 @@ narrowing a value range per group:
   ``exact_rows`` rows; those few rows are then ranked with a window.
 
 Bucketing is monotone in the value, so cumulative bucket counts locate the k-th
-value exactly.  Per-pass state is one row per group, checkpointed to the shared
+value exactly.  Per-pass state is one row per group, written as Parquet to the shared
 checkpoint folder.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanframe.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
-from urbanframe.session import checkpoint_dir
+from urbanframe.session import materialize
 
 
 def _join_state(data: DataFrame, state: DataFrame, keys: list[str], cols: list[str], max_broadcast_rows: int) -> DataFrame:
@@ -54,14 +54,13 @@ def lower_median(
     it is 2, not the interpolated 2.5.  Groups whose values are all NULL are absent.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    checkpoint_dir(df.sparkSession)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     state = (
         data.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         .select(*keys, "_n", "_lo", "_hi", F.ceil(F.col("_n") / 2).alias("_k"), F.col("_n").alias("_m"))
-        .checkpoint(eager=True)
     )
+    state = materialize(state, "median-state")
     done = (F.col("_lo") == F.col("_hi")) | (F.col("_m") <= exact_rows)
     while True:
         active = state.filter(~done)
@@ -92,7 +91,7 @@ def lower_median(
             (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_k"),
             F.col("_c").alias("_m"),
         )
-        state = state.filter(done).unionByName(narrowed).checkpoint(eager=True)
+        state = materialize(state.filter(done).unionByName(narrowed), "median-state")
 
     single = state.filter(F.col("_lo") == F.col("_hi")).select(*keys, F.col("_lo").alias(name), "_n")
     rest = state.filter(F.col("_lo") != F.col("_hi"))

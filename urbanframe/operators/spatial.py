@@ -13,13 +13,14 @@ product, but the product is never built:
    cells around the point's cell.  No special case at poles or the date line.
 3. Level by level, each site is copied into the 27 cells around its own and the
    points are equi-joined to them on the cell id (a hash/merge/broadcast join,
-   never a nested loop).  Per id the best candidate is ``min(struct(distance,
-   label, chord))``.  If that chord is <= h (with a relative margin far above
-   floating-point error) every site that could beat or tie it was a candidate, so
-   the id is final.  Other ids -- including ids with no candidate at all -- go to
-   the next level with ``h`` doubled.  At ``h >= 4`` (twice the sphere's
-   diameter) every site is a candidate, so the loop always ends with exact answers.
-4. Each level's per-id result is checkpointed to the shared checkpoint folder,
+   never a nested loop).  Only pairs with chord <= h are kept (about pi per
+   point): a farther site can never be proven at this level.  Per id the best
+   candidate is ``min(struct(distance, label rank))``.  If its chord,
+   2 sin(d / 2R), is <= h with a relative margin far above floating-point error,
+   every site that could beat or tie it was kept, so the id is final.  Other ids
+   move to twice the cell size.  At ``h >= 4`` (twice the sphere's diameter)
+   every site is a candidate, so the loop always ends with exact answers.
+4. Each pass's per-id result is written as Parquet to the shared checkpoint folder,
    which cuts the lineage between levels and survives executor loss.
 
 The starting ``h`` follows the site density (about one site per cell), then is
@@ -34,9 +35,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanframe.functions.scalars import haversine_km, to_double, unit_vector
+from urbanframe.functions.scalars import EARTH_RADIUS_KM, haversine_km, to_double, unit_vector
 from urbanframe.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, JOIN_STRATEGIES, with_strategy
-from urbanframe.session import checkpoint_dir
+from urbanframe.session import materialize
 
 # Relative slack on the "chord <= h" proof: distances are computed to ~1e-15, so
 # 1e-9 keeps the proof sound without any practical cost.
@@ -48,44 +49,57 @@ DEFAULT_MAX_SITES_PER_CELL = 256
 
 
 def _offsets() -> Column:
-    """The 27 cell offsets (-1..1 on each axis) as an array of structs."""
-    return F.array(
-        *[
-            F.struct(F.lit(dx).alias("_dx"), F.lit(dy).alias("_dy"), F.lit(dz).alias("_dz"))
-            for dx in (-1, 0, 1)
-            for dy in (-1, 0, 1)
-            for dz in (-1, 0, 1)
-        ]
+    """The 27 cell offsets (-1..1 on each axis), one row each (``_dx, _dy, _dz``).
+
+    Written as one SQL expression: building it from 27 x 7 Column objects would
+    cost as many round trips to the JVM.
+    """
+    structs = ", ".join(
+        f"named_struct('_dx', {dx}L, '_dy', {dy}L, '_dz', {dz}L)"
+        for dx in (-1, 0, 1)
+        for dy in (-1, 0, 1)
+        for dz in (-1, 0, 1)
     )
+    return F.expr(f"inline(array({structs}))")
 
 
 def clean_points(points: DataFrame, id_col: str, lat: str, lon: str) -> DataFrame:
     """Keep points with both coordinates, dropping only the exact (0, 0) 'null island'.
 
-    A point with a single zero coordinate is kept.
+    A point with a single zero coordinate is kept; NaN or infinite coordinates
+    (which have no distance) are dropped like missing ones.
     """
     la, lo = to_double(lat), to_double(lon)
     return points.select(F.col(id_col).alias("_id"), la.alias("_lat"), lo.alias("_lon")).filter(
-        F.col("_lat").isNotNull()
-        & F.col("_lon").isNotNull()
-        & ~((F.col("_lat") == 0) & (F.col("_lon") == 0))
+        _finite("_lat") & _finite("_lon") & ~((F.col("_lat") == 0) & (F.col("_lon") == 0))
     )
 
 
+def _finite(c: str) -> Column:
+    """Not NULL, not NaN, not infinite (text such as "NaN" parses to a double)."""
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.abs(F.col(c)) < F.lit(float("inf")))
+
+
 def clean_sites(sites: DataFrame, label: str, lat: str, lon: str) -> DataFrame:
     """Sites with both coordinates, one row per exact position (smallest label).
 
     A site without coordinates is dropped: left in, its NULL distance would sort
-    first and capture every point.
+    first and capture every point.  ``_rank`` is a bigint that orders positions
+    like their labels (from a range-partitioned sort, so no single task sees all
+    sites); comparing ranks instead of strings keeps the per-id argmin light.
     """
     out = (
         sites.select(F.col(label).alias("_label"), to_double(lat).alias("_slat"), to_double(lon).alias("_slon"))
-        .filter(F.col("_slat").isNotNull() & F.col("_slon").isNotNull())
+        .filter(_finite("_slat") & _finite("_slon"))
         .groupBy("_slat", "_slon")
         .agg(F.min("_label").alias("_label"))
     )
     sx, sy, sz = unit_vector("_slat", "_slon")
-    return out.select("_label", "_slat", "_slon", sx.alias("_sx"), sy.alias("_sy"), sz.alias("_sz"))
+    return (
+        out.orderBy("_label", "_slat", "_slon")
+        .withColumn("_rank", F.monotonically_increasing_id())
+        .select("_label", "_rank", "_slat", "_slon", sx.alias("_sx"), sy.alias("_sy"), sz.alias("_sz"))
+    )
 
 
 def _cell(c: str, h: float) -> Column:
@@ -120,40 +134,74 @@ def initial_cell_size(sites: DataFrame, max_sites_per_cell: int = DEFAULT_MAX_SI
     return h, n
 
 
-def _site_cells(sites: DataFrame, h: float) -> DataFrame:
-    """Each site copied into the 27 cells around its own cell."""
-    return sites.select(
-        "_label", "_slat", "_slon", "_sx", "_sy", "_sz",
-        _cell("_sx", h).alias("_hx"), _cell("_sy", h).alias("_hy"), _cell("_sz", h).alias("_hz"),
-        F.inline(_offsets()),
-    ).select(
-        "_label", "_slat", "_slon", "_sx", "_sy", "_sz",
+def _site_cells(sites: DataFrame, h0: float, levels: list[int]) -> DataFrame:
+    """Each site copied into the 27 cells around its own cell, at every level in ``levels``.
+
+    Level ``L`` uses cell size ``h0 * 2**L`` (an exact power-of-two scaling, so
+    points and sites compute identical cell ids).
+    """
+    per_level = []
+    for level in levels:
+        h = h0 * 2.0**level
+        per_level.append(
+            sites.select(
+                "_rank", "_slat", "_slon", "_sx", "_sy", "_sz",
+                F.lit(level).alias("_lvl"),
+                _cell("_sx", h).alias("_hx"), _cell("_sy", h).alias("_hy"), _cell("_sz", h).alias("_hz"),
+                _offsets(),
+            )
+        )
+    out = per_level[0]
+    for part in per_level[1:]:
+        out = out.unionByName(part)
+    return out.select(
+        "_rank", "_slat", "_slon", "_sx", "_sy", "_sz", "_lvl",
         (F.col("_hx") + F.col("_dx")).alias("_cx"),
         (F.col("_hy") + F.col("_dy")).alias("_cy"),
         (F.col("_hz") + F.col("_dz")).alias("_cz"),
     )
 
 
-def _best_per_id(points: DataFrame, cells: DataFrame, h: float) -> DataFrame:
-    """Per id: best candidate (distance, label, chord) at cell size ``h``, or NULL."""
+def _best_per_id(points: DataFrame, cells: DataFrame, h0: float) -> DataFrame:
+    """Per id: its level and best candidate ``(distance_km, rank)`` within chord h, or NULL.
+
+    ``points`` carries ``_lvl``: the level (cell size ``h = h0 * 2**_lvl``) its id
+    is searched at.  Only pairs with chord <= h are kept: a farther site can never
+    be a proven answer at this level, and dropping it before the aggregation keeps
+    about pi candidates per point instead of 27 cells' worth.
+    ``min(struct(distance, rank))`` picks the smallest distance and, on an exact
+    tie, the smallest label; it is reduced map-side before the shuffle.  Every id
+    of ``points`` appears in the result, with NULL when it had no candidate.
+    """
     px, py, pz = unit_vector("_lat", "_lon")
+    h = F.lit(h0) * F.pow(F.lit(2.0), F.col("_lvl"))
     keyed = points.select(
-        "_id", "_lat", "_lon", px.alias("_px"), py.alias("_py"), pz.alias("_pz")
+        "_id", "_lvl", "_lat", "_lon", px.alias("_px"), py.alias("_py"), pz.alias("_pz"),
     ).select(
-        "*", _cell("_px", h).alias("_cx"), _cell("_py", h).alias("_cy"), _cell("_pz", h).alias("_cz")
+        "*",
+        F.floor(F.col("_px") / h).cast("long").alias("_cx"),
+        F.floor(F.col("_py") / h).cast("long").alias("_cy"),
+        F.floor(F.col("_pz") / h).cast("long").alias("_cz"),
     )
-    pairs = keyed.join(cells, ["_cx", "_cy", "_cz"], "left")
-    dist = haversine_km("_lat", "_lon", "_slat", "_slon")
     chord = F.sqrt(
         F.pow(F.col("_px") - F.col("_sx"), 2)
         + F.pow(F.col("_py") - F.col("_sy"), 2)
         + F.pow(F.col("_pz") - F.col("_sz"), 2)
     )
-    packed = F.when(
-        F.col("_slat").isNotNull(),
-        F.struct(dist.alias("distance_km"), F.col("_label").alias("label"), chord.alias("chord")),
+    dist = haversine_km("_lat", "_lon", "_slat", "_slon")
+    near = (
+        keyed.join(cells, ["_lvl", "_cx", "_cy", "_cz"], "inner")
+        .filter(chord <= h)
+        .select("_id", "_lvl", F.struct(dist.alias("distance_km"), F.col("_rank").alias("rank")).alias("_b"))
     )
-    return pairs.groupBy("_id").agg(F.min(packed).alias("_b"))
+    empty = F.lit(None).cast("struct<distance_km: double, rank: bigint>")
+    every_id = points.select("_id", "_lvl", empty.alias("_b"))
+    return near.unionByName(every_id).groupBy("_id", "_lvl").agg(F.min("_b").alias("_b"))
+
+
+def _chord_of(distance_km: Column) -> Column:
+    """Unit-sphere chord of a great-circle distance: 2 sin(d / 2R)."""
+    return F.lit(2.0) * F.sin(distance_km / F.lit(2.0 * EARTH_RADIUS_KM))
 
 
 def nearest_site(
@@ -171,41 +219,51 @@ def nearest_site(
 ) -> DataFrame:
     """Per point id: ``id_col, distance_km, <site_label>`` of its nearest site.
 
+    Pass 0 searches every id at the base cell size; ids not proven there are
+    searched again at twice the cell size, and so on, all open ids of a pass
+    together (joined on level and cell).
+
     ``strategy`` picks the physical join between points and the cell-keyed sites
     (see :mod:`urbanframe.operators.joins`); ``broadcast`` is used only when the
-    27 copies of the distinct sites fit ``max_broadcast_rows``.
+    27 copies per level of the distinct sites fit ``max_broadcast_rows``.
     """
     if strategy not in JOIN_STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; choose one of {JOIN_STRATEGIES}")
     spark = points.sparkSession
-    checkpoint_dir(spark)
-    site_pos = clean_sites(sites, site_label, site_lat, site_lon).checkpoint(eager=True)
-    remaining = clean_points(points, id_col, lat, lon)
-    h, n_sites = initial_cell_size(site_pos, max_sites_per_cell)
+    site_pos = materialize(clean_sites(sites, site_label, site_lat, site_lon), "nearest-sites")
+    clean = clean_points(points, id_col, lat, lon)
+    h0, n_sites = initial_cell_size(site_pos, max_sites_per_cell)
+    top = max(0, math.ceil(math.log2(MAX_CELL / h0)))  # at this level every site is a candidate
     finals: list[DataFrame] = []
+    remaining = clean.withColumn("_lvl", F.lit(0))
+    levels = [0]
     while n_sites > 0:
-        cells = _site_cells(site_pos, h)
-        if strategy == "broadcast" and 27 * n_sites <= max_broadcast_rows:
+        cells = _site_cells(site_pos, h0, levels)
+        if strategy == "broadcast" and 27 * n_sites * len(levels) <= max_broadcast_rows:
             cells = F.broadcast(cells)
         elif strategy != "default":
             cells = with_strategy(cells, "merge" if strategy == "broadcast" else strategy)
-        best = _best_per_id(remaining, cells, h).checkpoint(eager=True)
-        proven = F.col("_b.chord") <= F.lit(h * (1.0 - PROOF_MARGIN))
+        best = materialize(_best_per_id(remaining, cells, h0), "nearest-best")
+        h = F.lit(h0) * F.pow(F.lit(2.0), F.col("_lvl"))
+        chord = _chord_of(F.col("_b.distance_km"))
+        proven = chord <= h * F.lit(1.0 - PROOF_MARGIN)
         finals.append(
             best.filter(proven).select(
-                F.col("_id").alias(id_col),
-                F.col("_b.distance_km").alias("distance_km"),
-                F.col("_b.label").alias(site_label),
+                F.col("_id").alias(id_col), F.col("_b.distance_km").alias("distance_km"), F.col("_b.rank").alias("_rank")
             )
         )
-        open_ids = best.filter(F.col("_b").isNull() | ~proven).select("_id")
-        n_open = open_ids.count()
-        if n_open == 0 or h >= MAX_CELL:
+        next_level = F.least(F.lit(top), F.col("_lvl") + 1)
+        open_ids = best.filter(F.col("_b").isNull() | ~proven).select("_id", next_level.alias("_lvl"))
+        per_level = open_ids.groupBy("_lvl").count().collect()  # at most `top + 1` rows
+        n_open = sum(r["count"] for r in per_level)
+        if n_open == 0:
             break
+        if levels == [top]:
+            raise RuntimeError("nearest_site: ids left unproven at the level covering every site")
+        levels = sorted(r["_lvl"] for r in per_level)
         if n_open <= max_broadcast_rows:
             open_ids = F.broadcast(open_ids)
-        remaining = remaining.join(open_ids, "_id", "left_semi").checkpoint(eager=True)
-        h = min(h * 2, MAX_CELL)
+        remaining = clean.join(open_ids, "_id", "inner")
     if not finals:
         return spark.createDataFrame(
             [], points.select(F.col(id_col)).schema.add("distance_km", "double").add(
@@ -215,7 +273,10 @@ def nearest_site(
     out = finals[0]
     for part in finals[1:]:
         out = out.unionByName(part)
-    return out
+    labels = site_pos.select("_rank", F.col("_label").alias(site_label))
+    if 0 < n_sites <= max_broadcast_rows:
+        labels = F.broadcast(labels)
+    return out.join(labels, "_rank").drop("_rank")
 
 
 def nearest_site_summary(nearest: DataFrame, site_label: str, digits: int = 3) -> DataFrame:
