@@ -26,8 +26,10 @@ def classify_periods(hhmm: pd.Series) -> pd.Series:
     # integer text only ("12.5" is malformed), surrounding blanks allowed, as with
     # try_cast(... as int)
     as_text = hhmm.astype("string").str.strip()
-    t = pd.to_numeric(as_text, errors="coerce")
-    t = t.where(as_text.str.fullmatch(r"[+-]?\d+").fillna(False))
+    integral = as_text.str.fullmatch(r"[+-]?\d+").fillna(False).to_numpy(dtype=bool)
+    t = pd.Series(
+        pd.to_numeric(as_text, errors="coerce").to_numpy(dtype="float64", na_value=np.nan), index=hhmm.index
+    ).where(integral)
     conditions = [
         t.between(*MORNING),
         t.between(*AFTERNOON),
