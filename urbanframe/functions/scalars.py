@@ -95,6 +95,19 @@ def haversine_km(
     return F.lit(EARTH_RADIUS_KM) * F.lit(2.0) * c
 
 
+def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """SQL text of :func:`haversine_km` over column names (same arithmetic, in doubles).
+
+    For plans rebuilt in a loop: one expression string is parsed in a single call,
+    where the Column form costs a round trip to the JVM per operator.
+    """
+    a = (
+        f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2}))"
+        f" * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    )
+    return f"{EARTH_RADIUS_KM!r}D * 2.0D * atan2(sqrt({a}), sqrt(greatest(0.0D, 1.0D - ({a}))))"
+
+
 def unit_vector(lat: Column | str, lon: Column | str) -> tuple[Column, Column, Column]:
     """(x, y, z) of a latitude/longitude on the unit sphere.
 

@@ -18,8 +18,9 @@ product, but the product is never built:
    candidate is ``min(struct(distance, label rank))``.  If its chord,
    2 sin(d / 2R), is <= h with a relative margin far above floating-point error,
    every site that could beat or tie it was kept, so the id is final.  Other ids
-   move to twice the cell size.  At ``h >= 4`` (twice the sphere's diameter)
-   every site is a candidate, so the loop always ends with exact answers.
+   are searched again at twice the cell size.  At
+   ``h >= 4`` (twice the sphere's diameter) every site is a candidate, so the
+   search always ends with exact answers.
 4. Each pass's per-id result is written as Parquet to the shared checkpoint folder,
    which cuts the lineage between levels and survives executor loss.
 
@@ -35,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanframe.functions.scalars import EARTH_RADIUS_KM, haversine_km, to_double, unit_vector
+from urbanframe.functions.scalars import EARTH_RADIUS_KM, haversine_sql, to_double, unit_vector
 from urbanframe.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, JOIN_STRATEGIES, with_strategy
 from urbanframe.session import materialize
 
@@ -129,7 +130,7 @@ def initial_cell_size(sites: DataFrame, max_sites_per_cell: int = DEFAULT_MAX_SI
     extents = sorted((stats[f"hi{c}"] - stats[f"lo{c}"] for c in ("_sx", "_sy", "_sz")), reverse=True)
     area = max(extents[0] * extents[1], MIN_CELL * MIN_CELL)
     h = min(max(math.sqrt(area / n), MIN_CELL), MAX_CELL)
-    while h > MIN_CELL and _densest_cell(sites, h) > max_sites_per_cell:
+    while n > max_sites_per_cell and h > MIN_CELL and _densest_cell(sites, h) > max_sites_per_cell:
         h = max(h / 2, MIN_CELL)
     return h, n
 
@@ -172,30 +173,30 @@ def _best_per_id(points: DataFrame, cells: DataFrame, h0: float) -> DataFrame:
     ``min(struct(distance, rank))`` picks the smallest distance and, on an exact
     tie, the smallest label; it is reduced map-side before the shuffle.  Every id
     of ``points`` appears in the result, with NULL when it had no candidate.
+
+    Expressions are SQL text: this plan is rebuilt on every pass.
     """
-    px, py, pz = unit_vector("_lat", "_lon")
-    h = F.lit(h0) * F.pow(F.lit(2.0), F.col("_lvl"))
-    keyed = points.select(
-        "_id", "_lvl", "_lat", "_lon", px.alias("_px"), py.alias("_py"), pz.alias("_pz"),
-    ).select(
+    h = f"({h0!r}D * pow(2.0D, _lvl))"
+    keyed = points.selectExpr(
+        "_id", "_lvl", "_lat", "_lon",
+        "cos(radians(_lat)) * cos(radians(_lon)) AS _px",
+        "cos(radians(_lat)) * sin(radians(_lon)) AS _py",
+        "sin(radians(_lat)) AS _pz",
+    ).selectExpr(
         "*",
-        F.floor(F.col("_px") / h).cast("long").alias("_cx"),
-        F.floor(F.col("_py") / h).cast("long").alias("_cy"),
-        F.floor(F.col("_pz") / h).cast("long").alias("_cz"),
-    )
-    chord = F.sqrt(
-        F.pow(F.col("_px") - F.col("_sx"), 2)
-        + F.pow(F.col("_py") - F.col("_sy"), 2)
-        + F.pow(F.col("_pz") - F.col("_sz"), 2)
+        f"CAST(floor(_px / {h}) AS BIGINT) AS _cx",
+        f"CAST(floor(_py / {h}) AS BIGINT) AS _cy",
+        f"CAST(floor(_pz / {h}) AS BIGINT) AS _cz",
     )
-    dist = haversine_km("_lat", "_lon", "_slat", "_slon")
     near = (
         keyed.join(cells, ["_lvl", "_cx", "_cy", "_cz"], "inner")
-        .filter(chord <= h)
-        .select("_id", "_lvl", F.struct(dist.alias("distance_km"), F.col("_rank").alias("rank")).alias("_b"))
+        .where(f"sqrt(pow(_px - _sx, 2) + pow(_py - _sy, 2) + pow(_pz - _sz, 2)) <= {h}")
+        .selectExpr(
+            "_id", "_lvl",
+            f"named_struct('distance_km', {haversine_sql('_lat', '_lon', '_slat', '_slon')}, 'rank', _rank) AS _b",
+        )
     )
-    empty = F.lit(None).cast("struct<distance_km: double, rank: bigint>")
-    every_id = points.select("_id", "_lvl", empty.alias("_b"))
+    every_id = points.selectExpr("_id", "_lvl", "CAST(NULL AS STRUCT<distance_km: DOUBLE, rank: BIGINT>) AS _b")
     return near.unionByName(every_id).groupBy("_id", "_lvl").agg(F.min("_b").alias("_b"))
 
 
@@ -221,7 +222,7 @@ def nearest_site(
 
     Pass 0 searches every id at the base cell size; ids not proven there are
     searched again at twice the cell size, and so on, all open ids of a pass
-    together (joined on level and cell).
+    together.  Each pass's open ids are written to the shared checkpoint folder.
 
     ``strategy`` picks the physical join between points and the cell-keyed sites
     (see :mod:`urbanframe.operators.joins`); ``broadcast`` is used only when the
@@ -252,8 +253,12 @@ def nearest_site(
                 F.col("_id").alias(id_col), F.col("_b.distance_km").alias("distance_km"), F.col("_b.rank").alias("_rank")
             )
         )
-        next_level = F.least(F.lit(top), F.col("_lvl") + 1)
-        open_ids = best.filter(F.col("_b").isNull() | ~proven).select("_id", next_level.alias("_lvl"))
+        # ids not proven at their level (including ids without any candidate)
+        # are searched again at twice the cell size
+        unproven = best.filter(F.col("_b").isNull() | ~proven).select(
+            "_id", F.least(F.lit(top), F.col("_lvl") + 1).alias("_lvl")
+        )
+        open_ids = unproven  # a filter over the pass result just written: short lineage
         per_level = open_ids.groupBy("_lvl").count().collect()  # at most `top + 1` rows
         n_open = sum(r["count"] for r in per_level)
         if n_open == 0:

@@ -39,6 +39,9 @@ def build_session(
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if master and master.startswith("local"):
+        # local mode runs every task inside the driver JVM
+        conf["spark.driver.memory"] = "8g"
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
