@@ -38,7 +38,8 @@ from urbanframe.plans.queries import (
     top_months,
     top_months_sql,
 )
-from urbanframe.plans.roundtrip import csv_parquet_round_trip, geojson_round_trip
+from urbanframe.plans.roundtrip import csv_folders, csv_parquet_round_trip, geojson_round_trip
+from urbanframe.sources import parse_csv_lines, read_lines, read_table
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 STRATEGIES = ("default", "broadcast", "merge", "shuffle_hash")
@@ -57,6 +58,12 @@ def q1_share(spark: SparkSession, sf_dir: str, bucket: str = "native", keep_uncl
     )
 
 
+def q1_share_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1 with CSV input: the crimes written as two CSV folders, read in one scan."""
+    paths = csv_folders(spark, inputs.crimes_with_times(spark, sf_dir), "crimes-csv", "DR_NO")
+    return street_time_share(read_table(spark, paths, fmt="csv"), premis_value="click")
+
+
 def q2_top_months(spark: SparkSession, sf_dir: str, form: str = "df") -> DataFrame:
     crimes = inputs.crimes_with_dates(spark, sf_dir)
     return top_months(crimes) if form == "df" else top_months_sql(crimes)
@@ -68,6 +75,21 @@ def q3_per_capita(spark: SparkSession, sf_dir: str, strategy: str = "default", m
     )
 
 
+def q3_per_capita_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3 with income read as text lines and parsed per line (``;``-separated).
+
+    Every part file starts with its own header line; lines equal to the header are
+    dropped.  Keys are trimmed and only positive incomes are kept, as in the
+    line-parsing form of the query.
+    """
+    folders = csv_folders(spark, inputs.zip_income(spark, sf_dir), "income-text", "Zip Code", sep=";")
+    names = ["Zip Code", "Estimated Median Income"]
+    income = parse_csv_lines(read_lines(spark, folders), names, sep=";").filter(
+        F.col("Zip Code").isNotNull() & (F.col("Zip Code") != F.lit(names[0]))
+    )
+    return per_capita_income(inputs.census_blocks(spark, sf_dir), income, min_income=0.0)
+
+
 def q4_nearest(spark: SparkSession, sf_dir: str, strategy: str = "default") -> DataFrame:
     return nearest_station_summary(inputs.crime_points(spark, sf_dir), inputs.stations(spark, sf_dir), strategy)
 
@@ -194,12 +216,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q1_share_native": partial(q1_share, bucket="native"),
         "q1_share_udf": partial(q1_share, bucket="udf"),
         "q1_share_classified_only": partial(q1_share, keep_unclassified=False),
+        "q1_share_csv": q1_share_csv,
         "q2_top_months_df": partial(q2_top_months, form="df"),
         "q2_top_months_sql": partial(q2_top_months, form="sql"),
     }
     for s in STRATEGIES:
         out[f"q3_per_capita_{s}"] = partial(q3_per_capita, strategy=s)
     out["q3_per_capita_positive_income"] = partial(q3_per_capita, min_income=0.0)
+    out["q3_per_capita_text_lines"] = q3_per_capita_text_lines
     for s in STRATEGIES:
         out[f"q4_nearest_{s}"] = partial(q4_nearest, strategy=s)
     for fn in (
@@ -355,6 +379,7 @@ def oracle_sql() -> dict[str, str]:
         "q1_share_native": _Q1,
         "q1_share_udf": _Q1,
         "q1_share_classified_only": f"select * from ({_Q1}) q where day_period is not null",
+        "q1_share_csv": _Q1,
         "q2_top_months_df": _Q2,
         "q2_top_months_sql": _Q2,
     }
@@ -362,6 +387,7 @@ def oracle_sql() -> dict[str, str]:
         out[f"q3_per_capita_{s}"] = _Q3_BASE
         out[f"q4_nearest_{s}"] = _Q4
     out["q3_per_capita_positive_income"] = _Q3_BASE + " and mi > 0"
+    out["q3_per_capita_text_lines"] = _Q3_BASE + " and mi > 0"
     out.update(_OPS)
     for s in STRATEGIES[1:]:
         out[f"op_equi_join_{s}"] = _OPS["op_equi_join"]

@@ -91,3 +91,17 @@ def geojson_round_trip(spark: SparkSession, blocks: DataFrame) -> DataFrame:
     return props.groupBy(F.col("ZCTA20").alias("zipcode")).agg(
         F.sum("POP20").alias("population"), F.sum("HOUSING20").alias("households")
     )
+
+
+def csv_folders(spark: SparkSession, df: DataFrame, name: str, split_key: str, sep: str = ",") -> list[str]:
+    """Write ``df`` as two CSV folders with headers (rows split by parity of ``split_key``).
+
+    Together the folders hold every row once, like the two period files of the
+    crime data.  Returns the two folder paths.
+    """
+    base = scratch_path(spark, name)
+    paths = [f"{base}/even", f"{base}/odd"]
+    parity = F.col(split_key).try_cast("bigint") % 2
+    for path, part in zip(paths, (parity == 0, parity != 0)):
+        df.filter(part).write.mode("overwrite").option("header", "true").option("sep", sep).csv(path)
+    return paths

@@ -11,6 +11,7 @@ from urbanframe.sources.readers import (
 )
 from urbanframe.sources.sinks import (
     convert_csv_to_parquet,
+    default_output_path,
     tuple_lines,
     write_parquet,
     write_result,
@@ -19,6 +20,7 @@ from urbanframe.sources.sinks import (
 
 __all__ = [
     "convert_csv_to_parquet",
+    "default_output_path",
     "csv_header",
     "flatten_features",
     "geojson_schema",

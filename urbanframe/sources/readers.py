@@ -121,6 +121,6 @@ def parse_csv_lines(
     the same rules as :func:`read_csv`; blank lines give all-NULL rows instead of
     failing the job.
     """
-    schema = string_schema(columns)
-    parsed = F.from_csv(F.col(value), schema.simpleString(), {"sep": sep, "escape": '"'})
+    ddl = ", ".join("`{}` STRING".format(c.replace("`", "``")) for c in columns)
+    parsed = F.from_csv(F.col(value), ddl, {"sep": sep, "escape": '"'})
     return lines.select(parsed.alias("_r")).select("_r.*")

@@ -31,6 +31,11 @@ def write_result(
         raise ValueError(f"unsupported format {fmt!r}")
 
 
+def default_output_path(spark: SparkSession, base: str, name: str) -> str:
+    """``<base>/<name>_<application id>``: a fresh output folder per application."""
+    return f"{base.rstrip('/')}/{name}_{spark.sparkContext.applicationId}"
+
+
 def write_parquet(df: DataFrame, out: str, partition_by: Sequence[str] = ()) -> None:
     writer = df.write.mode("overwrite")
     if partition_by:
