@@ -94,6 +94,11 @@ def q4_nearest(spark: SparkSession, sf_dir: str, strategy: str = "default") -> D
     return nearest_station_summary(inputs.crime_points(spark, sf_dir), inputs.stations(spark, sf_dir), strategy)
 
 
+def q4_nearest_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4 with the 25 nations as stations (the few-stations regime of the original data)."""
+    return nearest_station_summary(inputs.crime_points(spark, sf_dir), inputs.nation_stations(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ single operators
 def op_argmin(spark, sf_dir):
     o = inputs.table(spark, sf_dir, "orders").select(
@@ -226,6 +231,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["q3_per_capita_text_lines"] = q3_per_capita_text_lines
     for s in STRATEGIES:
         out[f"q4_nearest_{s}"] = partial(q4_nearest, strategy=s)
+    out["q4_nearest_nation"] = q4_nearest_nation
     for fn in (
         op_argmin,
         op_top_k_per_group,
@@ -309,6 +315,18 @@ n as (select division, dk from (
 select division, round(avg(dk), 3) as average_distance, count(*) as "#" from n group by division
 """
 
+_Q4_NATION = _Q4.replace(
+    """s as (select s_name as division,
+             33.72::double + ((s_suppkey * 613) % 1009) / 1009.0::double * 0.60::double as slat,
+             -118.60::double + ((s_suppkey * 977) % 1013) / 1013.0::double * 0.45::double as slon
+      from supplier)""",
+    """s as (select n_name as division,
+             33.72::double + ((n_nationkey * 7) % 25) / 25.0::double * 0.60::double as slat,
+             -118.60::double + ((n_nationkey * 11) % 25) / 25.0::double * 0.45::double as slon
+      from nation)""",
+)
+assert _Q4_NATION != _Q4
+
 _OPS = {
     "op_argmin": """
 select k, price, orderkey from (
@@ -387,6 +405,7 @@ def oracle_sql() -> dict[str, str]:
         out[f"q3_per_capita_{s}"] = _Q3_BASE
         out[f"q4_nearest_{s}"] = _Q4
     out["q3_per_capita_positive_income"] = _Q3_BASE + " and mi > 0"
+    out["q4_nearest_nation"] = _Q4_NATION
     out["q3_per_capita_text_lines"] = _Q3_BASE + " and mi > 0"
     out.update(_OPS)
     for s in STRATEGIES[1:]:

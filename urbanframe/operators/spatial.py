@@ -155,11 +155,9 @@ def _site_cells(sites: DataFrame, h0: float, levels: list[int]) -> DataFrame:
     out = per_level[0]
     for part in per_level[1:]:
         out = out.unionByName(part)
-    return out.select(
-        "_rank", "_slat", "_slon", "_sx", "_sy", "_sz", "_lvl",
-        (F.col("_hx") + F.col("_dx")).alias("_cx"),
-        (F.col("_hy") + F.col("_dy")).alias("_cy"),
-        (F.col("_hz") + F.col("_dz")).alias("_cz"),
+    return out.selectExpr(
+        "_rank", "_slat", "_slon", "_sx", "_sy", "_sz", "_lvl AS _slvl",
+        "_hx + _dx AS _scx", "_hy + _dy AS _scy", "_hz + _dz AS _scz",
     )
 
 
@@ -188,16 +186,18 @@ def _best_per_id(points: DataFrame, cells: DataFrame, h0: float) -> DataFrame:
         f"CAST(floor(_py / {h}) AS BIGINT) AS _cy",
         f"CAST(floor(_pz / {h}) AS BIGINT) AS _cz",
     )
-    near = (
-        keyed.join(cells, ["_lvl", "_cx", "_cy", "_cz"], "inner")
-        .where(f"sqrt(pow(_px - _sx, 2) + pow(_py - _sy, 2) + pow(_pz - _sz, 2)) <= {h}")
-        .selectExpr(
-            "_id", "_lvl",
-            f"named_struct('distance_km', {haversine_sql('_lat', '_lon', '_slat', '_slon')}, 'rank', _rank) AS _b",
-        )
+    # equi-keys (level, cell) plus the chord test in one left outer join: a point
+    # without any site within chord h keeps a single row with NULL site columns
+    within = F.expr(
+        "_lvl = _slvl AND _cx = _scx AND _cy = _scy AND _cz = _scz"
+        f" AND sqrt(pow(_px - _sx, 2) + pow(_py - _sy, 2) + pow(_pz - _sz, 2)) <= {h}"
+    )
+    pairs = keyed.join(cells, within, "left").selectExpr(
+        "_id", "_lvl",
+        f"CASE WHEN _slat IS NOT NULL THEN named_struct('distance_km', "
+        f"{haversine_sql('_lat', '_lon', '_slat', '_slon')}, 'rank', _rank) END AS _b",
     )
-    every_id = points.selectExpr("_id", "_lvl", "CAST(NULL AS STRUCT<distance_km: DOUBLE, rank: BIGINT>) AS _b")
-    return near.unionByName(every_id).groupBy("_id", "_lvl").agg(F.min("_b").alias("_b"))
+    return pairs.groupBy("_id", "_lvl").agg(F.min("_b").alias("_b"))
 
 
 def _chord_of(distance_km: Column) -> Column:

@@ -79,7 +79,7 @@ def zip_income(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crime_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem -> crime points ``DR_NO, LAT, LON`` spread over a 72 x 58 km box.
+    """lineitem -> crime points ``DR_NO, LAT, LON`` spread over a 72 x 48 km box.
 
     The id is the order key, so an order's line items share an id and the id keeps
     only its closest (point, station) pair.
@@ -106,3 +106,12 @@ def island_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     lat = F.when(k % 11 == 0, F.lit(None).cast("double")).otherwise((k % 3).cast("double"))
     return c.select(k, lat.alias("LAT"), (k % 5).cast("double").alias("LON"))
+
+
+def nation_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation -> 25 stations ``DIVISION`` (= n_name), ``Y``, ``X`` on a 25 x 25 lattice of the box."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    lat = F.lit(33.72) + ((k * 7) % 25) / F.lit(25.0) * F.lit(0.60)
+    lon = F.lit(-118.60) + ((k * 11) % 25) / F.lit(25.0) * F.lit(0.45)
+    return n.select(F.col("n_name").alias("DIVISION"), lat.alias("Y"), lon.alias("X"))

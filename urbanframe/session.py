@@ -88,4 +88,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # the schema is known: passing it skips reading Parquet footers to infer it
+    return df.sparkSession.read.schema(df.schema).parquet(path)
