@@ -18,7 +18,8 @@ product, but the product is never built:
    candidate is ``min(struct(distance, label rank))``.  If its chord,
    2 sin(d / 2R), is <= h with a relative margin far above floating-point error,
    every site that could beat or tie it was kept, so the id is final.  Other ids
-   are searched again at twice the cell size.  At
+   are searched again at a coarser level (as coarse as keeps that pass's work
+   within twice the first pass's candidate volume).  At
    ``h >= 4`` (twice the sphere's diameter) every site is a candidate, so the
    search always ends with exact answers.
 4. Each pass's per-id result is written as Parquet to the shared checkpoint folder,
@@ -205,6 +206,24 @@ def _chord_of(distance_km: Column) -> Column:
     return F.lit(2.0) * F.sin(distance_km / F.lit(2.0 * EARTH_RADIUS_KM))
 
 
+def _next_level(level: int, top: int, n_open: int, n_sites: int, budget: float) -> int:
+    """Coarsest level above ``level`` whose expected candidate pairs fit ``budget``.
+
+    At level L a point meets about pi * 4**L sites (cell size ``h0 * 2**L`` with
+    about one site per base cell), never more than all of them.  Jumping several
+    levels at once saves passes for the few ids left open, while the work of a
+    later pass stays within twice the first pass's candidate volume; at least one
+    level is always climbed.
+    """
+    best = level + 1
+    for cand in range(level + 2, top + 1):
+        if n_open * min(n_sites, math.pi * 4.0**cand) <= budget:
+            best = cand
+        else:
+            break
+    return min(best, top)
+
+
 def nearest_site(
     points: DataFrame,
     sites: DataFrame,
@@ -221,8 +240,9 @@ def nearest_site(
     """Per point id: ``id_col, distance_km, <site_label>`` of its nearest site.
 
     Pass 0 searches every id at the base cell size; ids not proven there are
-    searched again at twice the cell size, and so on, all open ids of a pass
-    together.  Each pass's open ids are written to the shared checkpoint folder.
+    searched again at a coarser cell size, and so on, all open ids of a pass
+    together (see :func:`_next_level` for how far a pass climbs).  Each pass's
+    result is written to the shared checkpoint folder.
 
     ``strategy`` picks the physical join between points and the cell-keyed sites
     (see :mod:`urbanframe.operators.joins`); ``broadcast`` is used only when the
@@ -238,6 +258,7 @@ def nearest_site(
     finals: list[DataFrame] = []
     remaining = clean.withColumn("_lvl", F.lit(0))
     levels = [0]
+    budget = None
     while n_sites > 0:
         cells = _site_cells(site_pos, h0, levels)
         if strategy == "broadcast" and 27 * n_sites * len(levels) <= max_broadcast_rows:
@@ -253,19 +274,24 @@ def nearest_site(
                 F.col("_id").alias(id_col), F.col("_b.distance_km").alias("distance_km"), F.col("_b.rank").alias("_rank")
             )
         )
-        # ids not proven at their level (including ids without any candidate)
-        # are searched again at twice the cell size
-        unproven = best.filter(F.col("_b").isNull() | ~proven).select(
-            "_id", F.least(F.lit(top), F.col("_lvl") + 1).alias("_lvl")
-        )
-        open_ids = unproven  # a filter over the pass result just written: short lineage
-        per_level = open_ids.groupBy("_lvl").count().collect()  # at most `top + 1` rows
-        n_open = sum(r["count"] for r in per_level)
+        # ids not proven at their level (including ids without any candidate) are
+        # searched again at a coarser level -- all of them at the same level, since
+        # every pass starts them together
+        unproven = best.filter(F.col("_b").isNull() | ~proven).select("_id")
+        if budget is None:
+            n_ids = best.count()
+            # twice the candidate pairs of pass 0 (about pi per id at the base size);
+            # the estimate overshoots near the edge of the sites, where half of a
+            # point's neighbourhood is empty
+            budget = 2.0 * math.pi * max(n_ids, 1)
+        n_open = unproven.count()
         if n_open == 0:
             break
         if levels == [top]:
             raise RuntimeError("nearest_site: ids left unproven at the level covering every site")
-        levels = sorted(r["_lvl"] for r in per_level)
+        level = _next_level(levels[-1], top, n_open, n_sites, budget)
+        levels = [level]
+        open_ids = unproven.select("_id", F.lit(level).alias("_lvl"))  # short lineage: a filter of the written pass
         if n_open <= max_broadcast_rows:
             open_ids = F.broadcast(open_ids)
         remaining = clean.join(open_ids, "_id", "inner")
