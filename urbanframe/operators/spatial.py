@@ -49,7 +49,6 @@ MAX_CELL = 4.0  # larger than the sphere's diameter: every site is a candidate
 DEFAULT_MAX_SITES_PER_CELL = 256
 
 
-
 def _offsets() -> Column:
     """The 27 cell offsets (-1..1 on each axis), one row each (``_dx, _dy, _dz``).
 
