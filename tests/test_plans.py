@@ -75,3 +75,20 @@ def test_argmin_and_top_k_reduce_before_shuffle(spark):
     assert txt.count("SortAggregate") >= 2
     df = inputs.table(spark, SF, "orders")
     assert "HashAggregate" in plan_operators(df.groupBy("o_custkey").agg(F.count("*")))
+
+
+def test_q4_counts_every_clean_id_once(spark):
+    summary = E.queries()["q4_nearest_default"](spark, SF)
+    from urbanframe.operators.spatial import clean_points
+
+    ids = clean_points(inputs.crime_points(spark, SF), "DR_NO", "LAT", "LON").select("_id").distinct().count()
+    assert sum(r["#"] for r in summary.collect()) == ids
+
+
+@pytest.mark.parametrize("a, b", [("q1_share_native", "q1_share_udf"), ("q2_top_months_df", "q2_top_months_sql"),
+                                  ("q3_per_capita_default", "q3_per_capita_shuffle_hash"),
+                                  ("q4_nearest_default", "q4_nearest_merge")])
+def test_variants_agree(spark, a, b):
+    qa, qb = E.queries()[a](spark, SF), E.queries()[b](spark, SF)
+    assert qa.columns == qb.columns
+    assert [tuple(r) for r in qa.collect()] == [tuple(r) for r in qb.collect()]
