@@ -23,7 +23,7 @@ product, but the product is never built:
    ``h >= 4`` (twice the sphere's diameter) every site is a candidate, so the
    search always ends with exact answers.
 4. Each pass's per-id result is written as Parquet to the shared checkpoint folder,
-   which cuts the lineage between levels and survives executor loss.
+   which cuts the lineage between passes and survives executor loss.
 
 The starting ``h`` follows the site density (about one site per cell), then is
 halved while the densest cell holds more than ``max_sites_per_cell`` sites, so a
@@ -135,69 +135,53 @@ def initial_cell_size(sites: DataFrame, max_sites_per_cell: int = DEFAULT_MAX_SI
     return h, n
 
 
-def _site_cells(sites: DataFrame, h0: float, levels: list[int]) -> DataFrame:
-    """Each site copied into the 27 cells around its own cell, at every level in ``levels``.
-
-    Level ``L`` uses cell size ``h0 * 2**L`` (an exact power-of-two scaling, so
-    points and sites compute identical cell ids).
-    """
-    per_level = []
-    for level in levels:
-        h = h0 * 2.0**level
-        per_level.append(
-            sites.select(
-                "_rank", "_slat", "_slon", "_sx", "_sy", "_sz",
-                F.lit(level).alias("_lvl"),
-                _cell("_sx", h).alias("_hx"), _cell("_sy", h).alias("_hy"), _cell("_sz", h).alias("_hz"),
-                _offsets(),
-            )
-        )
-    out = per_level[0]
-    for part in per_level[1:]:
-        out = out.unionByName(part)
-    return out.selectExpr(
-        "_rank", "_slat", "_slon", "_sx", "_sy", "_sz", "_lvl AS _slvl",
+def _site_cells(sites: DataFrame, h: float) -> DataFrame:
+    """Each site copied into the 27 cells (of size ``h``) around its own cell."""
+    return sites.select(
+        "_rank", "_slat", "_slon", "_sx", "_sy", "_sz",
+        _cell("_sx", h).alias("_hx"), _cell("_sy", h).alias("_hy"), _cell("_sz", h).alias("_hz"),
+        _offsets(),
+    ).selectExpr(
+        "_rank", "_slat", "_slon", "_sx", "_sy", "_sz",
         "_hx + _dx AS _scx", "_hy + _dy AS _scy", "_hz + _dz AS _scz",
     )
 
 
-def _best_per_id(points: DataFrame, cells: DataFrame, h0: float) -> DataFrame:
-    """Per id: its level and best candidate ``(distance_km, rank)`` within chord h, or NULL.
+def _best_per_id(points: DataFrame, cells: DataFrame, h: float) -> DataFrame:
+    """Per id: best candidate ``(distance_km, rank)`` within chord ``h``, or NULL.
 
-    ``points`` carries ``_lvl``: the level (cell size ``h = h0 * 2**_lvl``) its id
-    is searched at.  Only pairs with chord <= h are kept: a farther site can never
-    be a proven answer at this level, and dropping it before the aggregation keeps
-    about pi candidates per point instead of 27 cells' worth.
+    Only pairs with chord <= h are kept: a farther site can never be a proven
+    answer at this cell size, and dropping it before the aggregation keeps about
+    pi candidates per point instead of 27 cells' worth.
     ``min(struct(distance, rank))`` picks the smallest distance and, on an exact
     tie, the smallest label; it is reduced map-side before the shuffle.  Every id
     of ``points`` appears in the result, with NULL when it had no candidate.
 
     Expressions are SQL text: this plan is rebuilt on every pass.
     """
-    h = f"({h0!r}D * pow(2.0D, _lvl))"
     keyed = points.selectExpr(
-        "_id", "_lvl", "_lat", "_lon",
+        "_id", "_lat", "_lon",
         "cos(radians(_lat)) * cos(radians(_lon)) AS _px",
         "cos(radians(_lat)) * sin(radians(_lon)) AS _py",
         "sin(radians(_lat)) AS _pz",
     ).selectExpr(
         "*",
-        f"CAST(floor(_px / {h}) AS BIGINT) AS _cx",
-        f"CAST(floor(_py / {h}) AS BIGINT) AS _cy",
-        f"CAST(floor(_pz / {h}) AS BIGINT) AS _cz",
+        f"CAST(floor(_px / {h!r}D) AS BIGINT) AS _cx",
+        f"CAST(floor(_py / {h!r}D) AS BIGINT) AS _cy",
+        f"CAST(floor(_pz / {h!r}D) AS BIGINT) AS _cz",
     )
-    # equi-keys (level, cell) plus the chord test in one left outer join: a point
-    # without any site within chord h keeps a single row with NULL site columns
+    # equi-keys (cell) plus the chord test in one left outer join: a point without
+    # any site within chord h keeps a single row with NULL site columns
     within = F.expr(
-        "_lvl = _slvl AND _cx = _scx AND _cy = _scy AND _cz = _scz"
-        f" AND sqrt(pow(_px - _sx, 2) + pow(_py - _sy, 2) + pow(_pz - _sz, 2)) <= {h}"
+        "_cx = _scx AND _cy = _scy AND _cz = _scz"
+        f" AND sqrt(pow(_px - _sx, 2) + pow(_py - _sy, 2) + pow(_pz - _sz, 2)) <= {h!r}D"
     )
     pairs = keyed.join(cells, within, "left").selectExpr(
-        "_id", "_lvl",
+        "_id",
         f"CASE WHEN _slat IS NOT NULL THEN named_struct('distance_km', "
         f"{haversine_sql('_lat', '_lon', '_slat', '_slon')}, 'rank', _rank) END AS _b",
     )
-    return pairs.groupBy("_id", "_lvl").agg(F.min("_b").alias("_b"))
+    return pairs.groupBy("_id").agg(F.min("_b").alias("_b"))
 
 
 def _chord_of(distance_km: Column) -> Column:
@@ -245,7 +229,7 @@ def nearest_site(
 
     ``strategy`` picks the physical join between points and the cell-keyed sites
     (see :mod:`urbanframe.operators.joins`); ``broadcast`` is used only when the
-    27 copies per level of the distinct sites fit ``max_broadcast_rows``.
+    27 copies of the distinct sites fit ``max_broadcast_rows``.
     """
     if strategy not in JOIN_STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; choose one of {JOIN_STRATEGIES}")
@@ -255,27 +239,25 @@ def nearest_site(
     h0, n_sites = initial_cell_size(site_pos, max_sites_per_cell)
     top = max(0, math.ceil(math.log2(MAX_CELL / h0)))  # at this level every site is a candidate
     finals: list[DataFrame] = []
-    remaining = clean.withColumn("_lvl", F.lit(0))
-    levels = [0]
+    remaining = clean
+    level = 0
     budget = None
     while n_sites > 0:
-        cells = _site_cells(site_pos, h0, levels)
-        if strategy == "broadcast" and 27 * n_sites * len(levels) <= max_broadcast_rows:
+        h = h0 * 2.0**level  # an exact power-of-two scaling of the base size
+        cells = _site_cells(site_pos, h)
+        if strategy == "broadcast" and 27 * n_sites <= max_broadcast_rows:
             cells = F.broadcast(cells)
         elif strategy != "default":
             cells = with_strategy(cells, "merge" if strategy == "broadcast" else strategy)
-        best = materialize(_best_per_id(remaining, cells, h0), "nearest-best")
-        h = F.lit(h0) * F.pow(F.lit(2.0), F.col("_lvl"))
-        chord = _chord_of(F.col("_b.distance_km"))
-        proven = chord <= h * F.lit(1.0 - PROOF_MARGIN)
+        best = materialize(_best_per_id(remaining, cells, h), "nearest-best")
+        proven = _chord_of(F.col("_b.distance_km")) <= F.lit(h * (1.0 - PROOF_MARGIN))
         finals.append(
             best.filter(proven).select(
                 F.col("_id").alias(id_col), F.col("_b.distance_km").alias("distance_km"), F.col("_b.rank").alias("_rank")
             )
         )
-        # ids not proven at their level (including ids without any candidate) are
-        # searched again at a coarser level -- all of them at the same level, since
-        # every pass starts them together
+        # ids not proven at this cell size (including ids without any candidate)
+        # are searched again, all together, at a coarser one
         unproven = best.filter(F.col("_b").isNull() | ~proven).select("_id")
         if budget is None:
             n_ids = best.count()
@@ -286,14 +268,13 @@ def nearest_site(
         n_open = unproven.count()
         if n_open == 0:
             break
-        if levels == [top]:
+        if level >= top:
             raise RuntimeError("nearest_site: ids left unproven at the level covering every site")
-        level = _next_level(levels[-1], top, n_open, n_sites, budget)
-        levels = [level]
-        open_ids = unproven.select("_id", F.lit(level).alias("_lvl"))  # short lineage: a filter of the written pass
+        level = _next_level(level, top, n_open, n_sites, budget)
+        open_ids = unproven  # short lineage: a filter of the pass just written
         if n_open <= max_broadcast_rows:
             open_ids = F.broadcast(open_ids)
-        remaining = clean.join(open_ids, "_id", "inner")
+        remaining = clean.join(open_ids, "_id", "left_semi")
     if not finals:
         return spark.createDataFrame(
             [], points.select(F.col(id_col)).schema.add("distance_km", "double").add(
