@@ -228,8 +228,10 @@ def nearest_site(
     result is written to the shared checkpoint folder.
 
     ``strategy`` picks the physical join between points and the cell-keyed sites
-    (see :mod:`urbanframe.operators.joins`); ``broadcast`` is used only when the
-    27 copies of the distinct sites fit ``max_broadcast_rows``.
+    (see :mod:`urbanframe.operators.joins`).  ``default`` and ``broadcast``
+    broadcast the sites only when their 27 copies are proven to fit
+    ``max_broadcast_rows`` (from the exact site count) and sort-merge join
+    otherwise; ``merge`` and ``shuffle_hash`` always shuffle both sides.
     """
     if strategy not in JOIN_STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; choose one of {JOIN_STRATEGIES}")
@@ -245,10 +247,16 @@ def nearest_site(
     while n_sites > 0:
         h = h0 * 2.0**level  # an exact power-of-two scaling of the base size
         cells = _site_cells(site_pos, h)
-        if strategy == "broadcast" and 27 * n_sites <= max_broadcast_rows:
+        # The site count is known exactly, so the broadcast decision is made on a
+        # proven size (27 copies per site), not on Catalyst's estimate, which does
+        # not see the 27-fold copy made by the generator.
+        fits = 27 * n_sites <= max_broadcast_rows
+        if strategy in ("default", "broadcast") and fits:
             cells = F.broadcast(cells)
-        elif strategy != "default":
-            cells = with_strategy(cells, "merge" if strategy == "broadcast" else strategy)
+        elif strategy in ("default", "broadcast"):
+            cells = with_strategy(cells, "merge")
+        else:
+            cells = with_strategy(cells, strategy)
         best = materialize(_best_per_id(remaining, cells, h), "nearest-best")
         proven = _chord_of(F.col("_b.distance_km")) <= F.lit(h * (1.0 - PROOF_MARGIN))
         finals.append(
