@@ -5,9 +5,11 @@ Strategies map to Spark join hints:
 =============  ==========================  ==========================================
 strategy       physical operator           notes
 =============  ==========================  ==========================================
-default        chosen by Catalyst + AQE    AQE re-plans to a broadcast hash join only
-                                           when the *measured* shuffle size is under
-                                           ``spark.sql.adaptive.autoBroadcastJoinThreshold``
+default        chosen by Catalyst + AQE    broadcast when the side's size estimate
+                                           (from its files) is under
+                                           ``spark.sql.autoBroadcastJoinThreshold``, or
+                                           when AQE measures its shuffle output under
+                                           the adaptive threshold; else sort-merge
 broadcast      BroadcastHashJoin           only after the right side is proven to hold
                                            at most ``max_broadcast_rows`` rows;
                                            otherwise falls back to ``merge``
