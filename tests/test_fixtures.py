@@ -180,3 +180,19 @@ def test_g7_lower_median(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 10.0), ("b", None)], "k string, v double")
     got = rows(lower_median(df, "k", "v", count_name="n"), "k", "median", "n")
     assert got == [("a", 2.0, 4)]
+
+
+def test_g3_duplicate_income_zip_fans_out_and_null_housing_is_zero(spark):
+    blocks = spark.createDataFrame(
+        [("90001", 10, None), ("90001", 10, None), ("90002", 4, 2)], "ZCTA20 string, POP20 long, HOUSING20 long"
+    )
+    income = spark.createDataFrame(
+        [("90001", "$100"), ("90002", "$8"), ("90002", "$12")], "`Zip Code` string, `Estimated Median Income` string"
+    )
+    got = rows(per_capita_income(blocks, income), "zipcode", "per_capita_income")
+    assert got == [("90001", 0.0), ("90002", 4.0), ("90002", 6.0)]
+
+
+def test_g1_out_of_range_times_are_night(spark):
+    df = spark.createDataFrame([("STREET", "2400"), ("STREET", "2499"), ("STREET", "-5")], "`Premis Desc` string, `TIME OCC` string")
+    assert {r["day_period"]: r["percentage"] for r in street_time_share(df).collect()} == {"Night": 100.0}
