@@ -38,7 +38,7 @@ from urbanframe.plans.queries import (
     top_months,
     top_months_sql,
 )
-from urbanframe.plans.roundtrip import csv_folders, csv_parquet_round_trip, geojson_round_trip
+from urbanframe.plans.roundtrip import csv_folders, csv_parquet_round_trip, geojson_round_trip, tuple_text_round_trip
 from urbanframe.sources import parse_csv_lines, read_lines, read_table
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -212,6 +212,10 @@ def op_csv_parquet_round_trip(spark, sf_dir):
     return csv_parquet_round_trip(spark, inputs.table(spark, sf_dir, "orders"))
 
 
+def op_tuple_text_round_trip(spark, sf_dir):
+    return tuple_text_round_trip(spark, q1_share(spark, sf_dir))
+
+
 def op_geojson_scan(spark, sf_dir):
     return geojson_round_trip(spark, inputs.census_blocks(spark, sf_dir))
 
@@ -252,6 +256,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op_median_lines,
         op_csv_parquet_round_trip,
         op_geojson_scan,
+        op_tuple_text_round_trip,
     ):
         out[fn.__name__] = fn
     for s in STRATEGIES[1:]:
@@ -406,6 +411,7 @@ def oracle_sql() -> dict[str, str]:
         out[f"q4_nearest_{s}"] = _Q4
     out["q3_per_capita_positive_income"] = _Q3_BASE + " and mi > 0"
     out["q4_nearest_nation"] = _Q4_NATION
+    out["op_tuple_text_round_trip"] = _Q1
     out["q3_per_capita_text_lines"] = _Q3_BASE + " and mi > 0"
     out.update(_OPS)
     for s in STRATEGIES[1:]:

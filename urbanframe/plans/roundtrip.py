@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urbanframe.session import scratch_path
-from urbanframe.sources.readers import read_csv, read_geojson_properties
-from urbanframe.sources.sinks import write_parquet, write_result
+from urbanframe.sources.readers import read_csv, read_geojson_properties, read_lines
+from urbanframe.sources.sinks import write_parquet, write_result, write_tuple_text
 
 
 def csv_parquet_round_trip(spark: SparkSession, df: DataFrame, split_key: str | None = None) -> DataFrame:
@@ -105,3 +105,23 @@ def csv_folders(spark: SparkSession, df: DataFrame, name: str, split_key: str, s
     for path, part in zip(paths, (parity == 0, parity != 0)):
         df.filter(part).write.mode("overwrite").option("header", "true").option("sep", sep).csv(path)
     return paths
+
+
+_TUPLE_LINE = r"^\('(.*)', (.*)\)$"
+
+
+def tuple_text_round_trip(spark: SparkSession, shares: DataFrame) -> DataFrame:
+    """``day_period, percentage`` rows -> tuple-text files -> parsed back.
+
+    The header line (the tuple of column names) is skipped; ``'None'`` stands for
+    a NULL period, as Python prints it.
+    """
+    out = scratch_path(spark, "tuple-text")
+    labelled = shares.select(F.coalesce(F.col("day_period"), F.lit("None")).alias("day_period"), "percentage")
+    write_tuple_text(labelled, out, ["day_period", "percentage"], [True, False])
+    lines = read_lines(spark, out).filter(F.col("value") != F.lit("('day_period', 'percentage')"))
+    period = F.regexp_extract("value", _TUPLE_LINE, 1)
+    return lines.select(
+        F.when(period == F.lit("None"), F.lit(None).cast("string")).otherwise(period).alias("day_period"),
+        F.regexp_extract("value", _TUPLE_LINE, 2).try_cast("double").alias("percentage"),
+    )
