@@ -266,14 +266,15 @@ def nearest_site(
         )
         # ids not proven at this cell size (including ids without any candidate)
         # are searched again, all together, at a coarser one
-        unproven = best.filter(F.col("_b").isNull() | ~proven).select("_id")
+        is_open = F.col("_b").isNull() | ~proven
+        unproven = best.filter(is_open).select("_id")
+        counts = best.agg(F.count(F.lit(1)).alias("ids"), F.count_if(is_open).alias("open")).first()
+        n_open = counts["open"]
         if budget is None:
-            n_ids = best.count()
             # twice the candidate pairs of pass 0 (about pi per id at the base size);
             # the estimate overshoots near the edge of the sites, where half of a
             # point's neighbourhood is empty
-            budget = 2.0 * math.pi * max(n_ids, 1)
-        n_open = unproven.count()
+            budget = 2.0 * math.pi * max(counts["ids"], 1)
         if n_open == 0:
             break
         if level >= top:
