@@ -129,7 +129,7 @@ def test_union_all_by_name(spark):
 
 def test_run_log_parsing(spark):
     lines = spark.createDataFrame(
-        [("noise",), ("QUERY_ELAPSED_SECONDS=12.345",), ("DFQ1 csv MEDIAN=3.5",), ("x QUERY_ELAPSED_SECONDS=1",)], "value string"
+        [("noise",), ("QUERY_ELAPSED_SECONDS=12.345",), ("q1 csv MEDIAN=3.5",), ("x QUERY_ELAPSED_SECONDS=1",)], "value string"
     )
     assert sorted(r["seconds"] for r in extract_metric(lines).collect()) == [1.0, 12.345]
-    assert [tuple(r) for r in median_lines(lines).collect()] == [("DFQ1 csv", 3.5)]
+    assert [tuple(r) for r in median_lines(lines).collect()] == [("q1 csv", 3.5)]
