@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,14 +25,14 @@ def share_of_total(
 ) -> DataFrame:
     """Rows per ``key`` as a percentage of all rows, rounded HALF_UP.
 
-    One job: the group counts are computed first (partial + final aggregation), and
-    the grand total is a window sum over those already aggregated rows -- one row per
-    key, so the empty-partition window is tiny whatever the input size.  The
-    denominator always counts every input row, including rows whose key is NULL;
-    ``keep_null_key=False`` drops the NULL-key row from the output only.
+    One query: the group counts are a partial + final aggregation, and the grand
+    total is a scalar subquery summing those counts (it reuses the same shuffle).
+    No window over all groups, so a key with millions of values never meets in
+    one task.  The denominator always counts every input row, including rows whose
+    key is NULL; ``keep_null_key=False`` drops the NULL-key row from the output only.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy())
+    total = counts.agg(F.sum("_n")).scalar()
     out = counts.select(
         F.col(key),
         F.round(F.col("_n") / total * F.lit(100), digits).alias(value_name),
