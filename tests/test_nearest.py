@@ -92,3 +92,15 @@ def test_no_sites_gives_empty(spark):
     out = nearest_site(p, s, "id", "lat", "lon", "label", "lat", "lon")
     assert out.count() == 0
     assert out.columns == ["id", "distance_km", "label"]
+
+
+def test_null_id_is_one_group_even_when_far(spark):
+    # the NULL-id group needs more than one pass: it must not be lost on the way
+    sites = [("A", 0.0, 0.0), ("B", 0.0, 0.01)]
+    points = [(None, 40.0, 40.0), (None, 41.0, 41.0), (1, 0.0, 0.001)]
+    p = spark.createDataFrame(points, "id long, lat double, lon double")
+    s = spark.createDataFrame(sites, "label string, lat double, lon double")
+    got = {r["id"]: (r["distance_km"], r["label"]) for r in nearest_site(p, s, "id", "lat", "lon", "label", "lat", "lon").collect()}
+    want_null = min((float(haversine(la, lo, sl, so)), lab) for _, la, lo in points[:2] for lab, sl, so in sites)
+    assert set(got) == {None, 1}
+    assert abs(got[None][0] - want_null[0]) < 1e-9 and got[None][1] == want_null[1]

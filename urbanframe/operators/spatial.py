@@ -280,10 +280,11 @@ def nearest_site(
         if level >= top:
             raise RuntimeError("nearest_site: ids left unproven at the level covering every site")
         level = _next_level(level, top, n_open, n_sites, budget)
-        open_ids = unproven  # short lineage: a filter of the pass just written
+        open_ids = unproven.select(F.col("_id").alias("_oid"))  # a filter of the pass just written
         if n_open <= max_broadcast_rows:
             open_ids = F.broadcast(open_ids)
-        remaining = clean.join(open_ids, "_id", "left_semi")
+        # NULL-safe: points without an id form one group, as in the grouping above
+        remaining = clean.join(open_ids, clean["_id"].eqNullSafe(open_ids["_oid"]), "left_semi")
     if not finals:
         return spark.createDataFrame(
             [], points.select(F.col(id_col)).schema.add("distance_km", "double").add(
