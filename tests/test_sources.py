@@ -91,3 +91,15 @@ def test_tuple_text_sink_header_first(spark, tmp_path):
     lines = [ln for f in files for ln in f.read_text().splitlines()]
     assert lines[0] == "('day_period', 'percentage')"
     assert sorted(lines[1:]) == ["('Morning', 16.67)", "('Night', 33.33)"]
+
+
+def test_geojson_line_delimited_collections(spark, tmp_path):
+    lines = "\n".join(
+        '{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"ZCTA20": "%s", "POP20": %d}}]}'
+        % (z, n)
+        for z, n in [("90001", 1), ("90002", 2), ("90001", 3)]
+    )
+    p = write_text(tmp_path / "blocks.jsonl", lines + "\n")
+    props = T.StructType([T.StructField("ZCTA20", T.StringType()), T.StructField("POP20", T.LongType())])
+    got = sorted(tuple(r) for r in read_geojson_properties(spark, p, props, multi_line=False).collect())
+    assert got == [("90001", 1), ("90001", 3), ("90002", 2)]

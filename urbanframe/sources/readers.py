@@ -90,16 +90,18 @@ def geojson_schema(properties: T.StructType) -> T.StructType:
 
 
 def read_geojson_properties(
-    spark: SparkSession, paths: str | Sequence[str], properties: T.StructType
+    spark: SparkSession, paths: str | Sequence[str], properties: T.StructType, multi_line: bool = True
 ) -> DataFrame:
     """Read FeatureCollection documents and return one row per feature's properties.
 
-    A multi-line JSON document cannot be split, so each *file* is one task; many
-    files read in parallel.  For a single very large collection, convert it once
-    with :func:`urbanframe.sources.sinks.write_parquet` and query the Parquet copy.
+    ``multi_line=True`` reads pretty-printed documents: such a file cannot be split,
+    so each *file* is one task (many files read in parallel).  ``multi_line=False``
+    reads line-delimited collections -- one FeatureCollection per line -- which
+    Spark splits across tasks like any text file.  For a single very large
+    document, convert it once with :func:`urbanframe.sources.sinks.write_parquet`.
     """
-    raw = spark.read.schema(geojson_schema(properties)).option("multiLine", "true").json(_paths(paths))
-    return flatten_features(raw)
+    reader = spark.read.schema(geojson_schema(properties)).option("multiLine", "true" if multi_line else "false")
+    return flatten_features(reader.json(_paths(paths)))
 
 
 def flatten_features(collection: DataFrame, features: str = "features") -> DataFrame:
