@@ -103,3 +103,15 @@ def test_geojson_line_delimited_collections(spark, tmp_path):
     props = T.StructType([T.StructField("ZCTA20", T.StringType()), T.StructField("POP20", T.LongType())])
     got = sorted(tuple(r) for r in read_geojson_properties(spark, p, props, multi_line=False).collect())
     assert got == [("90001", 1), ("90001", 3), ("90002", 2)]
+
+
+def test_default_output_path_and_result_formats(spark, tmp_path):
+    from urbanframe.sources import default_output_path
+
+    out = default_output_path(spark, str(tmp_path) + "/", "q1")
+    assert out == f"{tmp_path}/q1_{spark.sparkContext.applicationId}"
+    df = spark.createDataFrame([("Night", 33.33)], "day_period string, percentage double")
+    write_result(df, out, fmt="parquet")
+    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("Night", 33.33)]
+    with pytest.raises(ValueError):
+        write_result(df, out, fmt="xml")
