@@ -31,6 +31,7 @@ from urbanframe.operators import (
 )
 from urbanframe.operators.spatial import clean_points
 from urbanframe.plans import inputs
+from urbanframe.session import scratch_path
 from urbanframe.plans.queries import (
     nearest_station_summary,
     per_capita_income,
@@ -38,8 +39,15 @@ from urbanframe.plans.queries import (
     top_months,
     top_months_sql,
 )
-from urbanframe.plans.roundtrip import csv_folders, csv_parquet_round_trip, geojson_round_trip, tuple_text_round_trip
-from urbanframe.sources import parse_csv_lines, read_lines, read_table
+from urbanframe.plans.roundtrip import (
+    BLOCK_PROPERTIES,
+    csv_folders,
+    csv_parquet_round_trip,
+    geojson_round_trip,
+    tuple_text_round_trip,
+    write_feature_collections,
+)
+from urbanframe.sources import parse_csv_lines, read_csv, read_geojson_properties, read_lines, read_table
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 STRATEGIES = ("default", "broadcast", "merge", "shuffle_hash")
@@ -90,6 +98,25 @@ def q3_per_capita_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_capita_income(inputs.census_blocks(spark, sf_dir), income, min_income=0.0)
 
 
+def q3_per_capita_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3 from files, as the original job reads them: census blocks from GeoJSON
+    (features exploded, properties flattened) and income from a ``;``-separated CSV."""
+    blocks = read_geojson_properties(
+        spark, write_feature_collections(spark, inputs.census_blocks(spark, sf_dir)), BLOCK_PROPERTIES
+    )
+    income_csv = csv_folders(spark, inputs.zip_income(spark, sf_dir), "income-csv", "Zip Code", sep=";")
+    return per_capita_income(blocks, read_csv(spark, income_csv, sep=";"))
+
+
+def q4_nearest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4 from CSV files: crimes from two CSV folders, stations from one; text columns
+    are cast at use (``try_cast``)."""
+    crimes = read_csv(spark, csv_folders(spark, inputs.crime_points(spark, sf_dir), "crimes-points", "DR_NO"))
+    stations_csv = scratch_path(spark, "stations-csv")
+    inputs.stations(spark, sf_dir).write.option("header", "true").csv(stations_csv)
+    return nearest_station_summary(crimes, read_csv(spark, stations_csv))
+
+
 def q4_nearest(spark: SparkSession, sf_dir: str, strategy: str = "default") -> DataFrame:
     return nearest_station_summary(inputs.crime_points(spark, sf_dir), inputs.stations(spark, sf_dir), strategy)
 
@@ -233,9 +260,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f"q3_per_capita_{s}"] = partial(q3_per_capita, strategy=s)
     out["q3_per_capita_positive_income"] = partial(q3_per_capita, min_income=0.0)
     out["q3_per_capita_text_lines"] = q3_per_capita_text_lines
+    out["q3_per_capita_geojson"] = q3_per_capita_geojson
     for s in STRATEGIES:
         out[f"q4_nearest_{s}"] = partial(q4_nearest, strategy=s)
     out["q4_nearest_nation"] = q4_nearest_nation
+    out["q4_nearest_csv"] = q4_nearest_csv
     for fn in (
         op_argmin,
         op_top_k_per_group,
@@ -413,6 +442,8 @@ def oracle_sql() -> dict[str, str]:
     out["q4_nearest_nation"] = _Q4_NATION
     out["op_tuple_text_round_trip"] = _Q1
     out["q3_per_capita_text_lines"] = _Q3_BASE + " and mi > 0"
+    out["q3_per_capita_geojson"] = _Q3_BASE
+    out["q4_nearest_csv"] = _Q4
     out.update(_OPS)
     for s in STRATEGIES[1:]:
         out[f"op_equi_join_{s}"] = _OPS["op_equi_join"]

@@ -69,11 +69,10 @@ BLOCK_PROPERTIES = T.StructType(
 )
 
 
-def geojson_round_trip(spark: SparkSession, blocks: DataFrame) -> DataFrame:
-    """Blocks -> multi-line GeoJSON files -> read back -> population and housing per ZIP.
+def write_feature_collections(spark: SparkSession, blocks: DataFrame) -> str:
+    """Write blocks as multi-line GeoJSON files, one FeatureCollection per partition.
 
-    Each partition is written as one pretty-printed FeatureCollection (one file),
-    so writing and reading both stay parallel across files.
+    Returns the folder.  Writing and reading both stay parallel across files.
     """
     out = scratch_path(spark, "geojson")
     feature = F.to_json(
@@ -87,7 +86,12 @@ def geojson_round_trip(spark: SparkSession, blocks: DataFrame) -> DataFrame:
     )
     lines = blocks.select(feature.alias("feature")).mapInPandas(_feature_collections, "value string")
     lines.write.mode("overwrite").text(out)
-    props = read_geojson_properties(spark, out, BLOCK_PROPERTIES)
+    return out
+
+
+def geojson_round_trip(spark: SparkSession, blocks: DataFrame) -> DataFrame:
+    """Blocks -> multi-line GeoJSON files -> read back -> population and housing per ZIP."""
+    props = read_geojson_properties(spark, write_feature_collections(spark, blocks), BLOCK_PROPERTIES)
     return props.groupBy(F.col("ZCTA20").alias("zipcode")).agg(
         F.sum("POP20").alias("population"), F.sum("HOUSING20").alias("households")
     )
