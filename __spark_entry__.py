@@ -31,7 +31,6 @@ from urbanframe.operators import (
 )
 from urbanframe.operators.spatial import clean_points
 from urbanframe.plans import inputs
-from urbanframe.session import scratch_path
 from urbanframe.plans.queries import (
     nearest_station_summary,
     per_capita_income,
@@ -47,6 +46,7 @@ from urbanframe.plans.roundtrip import (
     tuple_text_round_trip,
     write_feature_collections,
 )
+from urbanframe.session import scratch_path
 from urbanframe.sources import parse_csv_lines, read_csv, read_geojson_properties, read_lines, read_table
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -60,6 +60,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 # ------------------------------------------------------------------ the four queries
 def q1_share(spark: SparkSession, sf_dir: str, bucket: str = "native", keep_unclassified: bool = True) -> DataFrame:
+    # in the events table the premises column is the event type; "click" plays STREET
     crimes = inputs.crimes_with_times(spark, sf_dir)
     return street_time_share(
         crimes, premis_value="click", bucket=bucket, keep_unclassified=keep_unclassified
