@@ -104,3 +104,11 @@ def test_null_id_is_one_group_even_when_far(spark):
     want_null = min((float(haversine(la, lo, sl, so)), lab) for _, la, lo in points[:2] for lab, sl, so in sites)
     assert set(got) == {None, 1}
     assert abs(got[None][0] - want_null[0]) < 1e-9 and got[None][1] == want_null[1]
+
+
+def test_hot_id_holding_a_third_of_the_points(spark):
+    rng = np.random.default_rng(5)
+    sites = [(f"S{i:02d}", float(34 + rng.uniform(-0.3, 0.3)), float(-118 + rng.uniform(-0.3, 0.3))) for i in range(30)]
+    points = [(7 if i % 3 == 0 else i, float(34 + rng.uniform(-0.5, 0.5)), float(-118 + rng.uniform(-0.5, 0.5)))
+              for i in range(900)]
+    check(spark, points, sites, strategy="merge")
