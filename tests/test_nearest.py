@@ -112,3 +112,23 @@ def test_hot_id_holding_a_third_of_the_points(spark):
     points = [(7 if i % 3 == 0 else i, float(34 + rng.uniform(-0.5, 0.5)), float(-118 + rng.uniform(-0.5, 0.5)))
               for i in range(900)]
     check(spark, points, sites, strategy="merge")
+
+
+def test_points_far_from_every_site_skip_empty_levels(spark, monkeypatch):
+    from urbanframe.operators import spatial
+
+    passes = []
+    original = spatial._best_per_id
+
+    def counting(*args, **kwargs):
+        passes.append(args[2])
+        return original(*args, **kwargs)
+
+    monkeypatch.setattr(spatial, "_best_per_id", counting)
+    rng = np.random.default_rng(9)
+    sites = [(f"L{i:02d}", float(34 + rng.uniform(-0.2, 0.2)), float(-118.3 + rng.uniform(-0.2, 0.2))) for i in range(40)]
+    points = [(i, float(40.7 + rng.uniform(-0.1, 0.1)), float(-74.0 + rng.uniform(-0.1, 0.1))) for i in range(300)]
+    check(spark, points, sites)
+    # without skipping, ~11 doublings separate the start cell size from 3,900 km;
+    # the box distance is used from the second pass on
+    assert len(passes) <= 4, passes

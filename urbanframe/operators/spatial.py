@@ -117,22 +117,49 @@ def _densest_cell(sites: DataFrame, h: float) -> int:
     return int(row["m"] or 0)
 
 
-def initial_cell_size(sites: DataFrame, max_sites_per_cell: int = DEFAULT_MAX_SITES_PER_CELL) -> tuple[float, int]:
-    """(cell size, number of distinct site positions) from one pass of site statistics."""
+def initial_cell_size(
+    sites: DataFrame, max_sites_per_cell: int = DEFAULT_MAX_SITES_PER_CELL
+) -> tuple[float, int, list[tuple[float, float]]]:
+    """(cell size, distinct site positions, sites' bounding box per axis).
+
+    One aggregation gives the count and the box; the cell size is about one site
+    per cell over the box's largest face, then halved while the densest cell holds
+    more than ``max_sites_per_cell`` sites.
+    """
+    axes = ("_sx", "_sy", "_sz")
     stats = sites.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.min(c).alias(f"lo{c}") for c in ("_sx", "_sy", "_sz")],
-        *[F.max(c).alias(f"hi{c}") for c in ("_sx", "_sy", "_sz")],
+        *[F.min(c).alias(f"lo{c}") for c in axes],
+        *[F.max(c).alias(f"hi{c}") for c in axes],
     ).first()
     n = int(stats["n"])
     if n == 0:
-        return MAX_CELL, 0
-    extents = sorted((stats[f"hi{c}"] - stats[f"lo{c}"] for c in ("_sx", "_sy", "_sz")), reverse=True)
+        return MAX_CELL, 0, []
+    box = [(stats[f"lo{c}"], stats[f"hi{c}"]) for c in axes]
+    extents = sorted((hi - lo for lo, hi in box), reverse=True)
     area = max(extents[0] * extents[1], MIN_CELL * MIN_CELL)
     h = min(max(math.sqrt(area / n), MIN_CELL), MAX_CELL)
     while n > max_sites_per_cell and h > MIN_CELL and _densest_cell(sites, h) > max_sites_per_cell:
         h = max(h / 2, MIN_CELL)
-    return h, n
+    return h, n, box
+
+
+def _first_useful_level_sql(box: list[tuple[float, float]], h0: float) -> str:
+    """SQL text: the smallest level whose cell size reaches the point's chord
+    distance to the sites' bounding box.
+
+    No site is nearer than that distance, so every smaller level is certain to
+    give the point no candidate at all.
+    """
+    vec = (
+        "cos(radians(_lat)) * cos(radians(_lon))",
+        "cos(radians(_lat)) * sin(radians(_lon))",
+        "sin(radians(_lat))",
+    )
+    gap = "sqrt(" + " + ".join(
+        f"pow(greatest(0.0D, {lo!r}D - ({v}), ({v}) - {hi!r}D), 2)" for v, (lo, hi) in zip(vec, box)
+    ) + ")"
+    return f"CASE WHEN {gap} > {h0!r}D THEN CAST(ceil(log2({gap} / {h0!r}D)) AS INT) ELSE 0 END"
 
 
 def _site_cells(sites: DataFrame, h: float) -> DataFrame:
@@ -147,7 +174,7 @@ def _site_cells(sites: DataFrame, h: float) -> DataFrame:
     )
 
 
-def _best_per_id(points: DataFrame, cells: DataFrame, h: float) -> DataFrame:
+def _best_per_id(points: DataFrame, cells: DataFrame, h: float, useful_level: str | None = None) -> DataFrame:
     """Per id: best candidate ``(distance_km, rank)`` within chord ``h``, or NULL.
 
     Only pairs with chord <= h are kept: a farther site can never be a proven
@@ -155,7 +182,9 @@ def _best_per_id(points: DataFrame, cells: DataFrame, h: float) -> DataFrame:
     pi candidates per point instead of 27 cells' worth.
     ``min(struct(distance, rank))`` picks the smallest distance and, on an exact
     tie, the smallest label; it is reduced map-side before the shuffle.  Every id
-    of ``points`` appears in the result, with NULL when it had no candidate.
+    of ``points`` appears in the result, with NULL when it had no candidate.  With
+    ``useful_level`` it also carries ``_g``: the smallest useful level over the
+    id's points that had no candidate (NULL when every point had one).
 
     Expressions are SQL text: this plan is rebuilt on every pass.
     """
@@ -176,12 +205,16 @@ def _best_per_id(points: DataFrame, cells: DataFrame, h: float) -> DataFrame:
         "_cx = _scx AND _cy = _scy AND _cz = _scz"
         f" AND sqrt(pow(_px - _sx, 2) + pow(_py - _sy, 2) + pow(_pz - _sz, 2)) <= {h!r}D"
     )
-    pairs = keyed.join(cells, within, "left").selectExpr(
-        "_id",
+    best = (
         f"CASE WHEN _slat IS NOT NULL THEN named_struct('distance_km', "
-        f"{haversine_sql('_lat', '_lon', '_slat', '_slon')}, 'rank', _rank) END AS _b",
+        f"{haversine_sql('_lat', '_lon', '_slat', '_slon')}, 'rank', _rank) END AS _b"
     )
-    return pairs.groupBy("_id").agg(F.min("_b").alias("_b"))
+    if useful_level is None:
+        return keyed.join(cells, within, "left").selectExpr("_id", best).groupBy("_id").agg(F.min("_b").alias("_b"))
+    # evaluated only for points without any candidate
+    useful = f"CASE WHEN _slat IS NULL THEN {useful_level} END AS _g"
+    pairs = keyed.join(cells, within, "left").selectExpr("_id", useful, best)
+    return pairs.groupBy("_id").agg(F.min("_b").alias("_b"), F.min("_g").alias("_g"))
 
 
 def _chord_of(distance_km: Column) -> Column:
@@ -238,7 +271,8 @@ def nearest_site(
     spark = points.sparkSession
     site_pos = materialize(clean_sites(sites, site_label, site_lat, site_lon), "nearest-sites")
     clean = clean_points(points, id_col, lat, lon)
-    h0, n_sites = initial_cell_size(site_pos, max_sites_per_cell)
+    h0, n_sites, box = initial_cell_size(site_pos, max_sites_per_cell)
+    useful_level = _first_useful_level_sql(box, h0) if box else "0"
     top = max(0, math.ceil(math.log2(MAX_CELL / h0)))  # at this level every site is a candidate
     finals: list[DataFrame] = []
     remaining = clean
@@ -257,7 +291,11 @@ def nearest_site(
             cells = with_strategy(cells, "merge")
         else:
             cells = with_strategy(cells, strategy)
-        best = materialize(_best_per_id(remaining, cells, h), "nearest-best")
+        # pass 0 (all points) skips the box distance; later passes (open points only)
+        # compute it so that points far from every site can jump ahead
+        best = materialize(
+            _best_per_id(remaining, cells, h, useful_level if finals else None), "nearest-best"
+        )
         proven = _chord_of(F.col("_b.distance_km")) <= F.lit(h * (1.0 - PROOF_MARGIN))
         finals.append(
             best.filter(proven).select(
@@ -268,7 +306,13 @@ def nearest_site(
         # are searched again, all together, at a coarser one
         is_open = F.col("_b").isNull() | ~proven
         unproven = best.filter(is_open).select("_id")
-        counts = best.agg(F.count(F.lit(1)).alias("ids"), F.count_if(is_open).alias("open")).first()
+        counts = best.agg(
+            F.count(F.lit(1)).alias("ids"),
+            F.count_if(is_open).alias("open"),
+            (F.min(F.when(is_open, F.coalesce(F.col("_g"), F.lit(0)))) if "_g" in best.columns else F.lit(0)).alias(
+                "useful"
+            ),
+        ).first()
         n_open = counts["open"]
         if budget is None:
             # twice the candidate pairs of pass 0 (about pi per id at the base size);
@@ -279,7 +323,9 @@ def nearest_site(
             break
         if level >= top:
             raise RuntimeError("nearest_site: ids left unproven at the level covering every site")
-        level = _next_level(level, top, n_open, n_sites, budget)
+        # levels below the first useful one of every open id are certainly empty:
+        # skip them (same candidate work, fewer passes for points far from all sites)
+        level = max(_next_level(level, top, n_open, n_sites, budget), min(int(counts["useful"] or 0), top))
         open_ids = unproven.select(F.col("_id").alias("_oid"))  # a filter of the pass just written
         if n_open <= max_broadcast_rows:
             open_ids = F.broadcast(open_ids)
