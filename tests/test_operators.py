@@ -133,3 +133,17 @@ def test_run_log_parsing(spark):
     )
     assert sorted(r["seconds"] for r in extract_metric(lines).collect()) == [1.0, 12.345]
     assert [tuple(r) for r in median_lines(lines).collect()] == [("q1 csv", 3.5)]
+
+
+@pytest.mark.parametrize("exact_rows", [1, 100_000])
+def test_lower_median_orders_infinities_and_nan_like_spark(spark, exact_rows):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 1.0), ("a", nan), ("a", nan), ("b", -inf), ("b", 2.0), ("b", inf), ("c", nan), ("d", 1.0),
+            ("d", 2.0), ("d", nan), ("e", -inf), ("e", -inf), ("e", 5.0), ("f", inf), ("f", inf), ("f", 1.0), ("f", 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ours = {r["g"]: r["median"] for r in lower_median(df, "g", "v", buckets=4, exact_rows=exact_rows).collect()}
+    builtin = {
+        r["g"]: r["m"]
+        for r in df.groupBy("g").agg(F.expr("percentile_disc(0.5) within group (order by v)").alias("m")).collect()
+    }
+    assert {k: repr(v) for k, v in ours.items()} == {k: repr(v) for k, v in builtin.items()}

@@ -14,7 +14,8 @@ narrowing a value range per group:
   ``exact_rows`` rows; those few rows are then ranked with a window.
 
 Bucketing is monotone in the value, so cumulative bucket counts locate the k-th
-value exactly.  Per-pass state is one row per group, written as Parquet to the shared
+value exactly.  Infinite and NaN values are placed by count (they order as
+-Infinity < finite < +Infinity < NaN, as in Spark) and never enter the search.  Per-pass state is one row per group, written as Parquet to the shared
 checkpoint folder.
 """
 
@@ -54,11 +55,40 @@ def lower_median(
     it is 2, not the interpolated 2.5.  Groups whose values are all NULL are absent.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    state = (
-        data.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .select(*keys, "_n", "_lo", "_hi", F.ceil(F.col("_n") / 2).alias("_k"), F.col("_n").alias("_m"))
+    values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    # Spark orders doubles as -Infinity < finite < +Infinity < NaN.  Counting the
+    # four bands tells which one holds the k-th value; only a finite answer needs
+    # the range search, which then runs over the finite values alone.
+    finite = ~F.isnan("_v") & (F.abs(F.col("_v")) < F.lit(float("inf")))
+    data = values.filter(finite)
+    stats = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col("_v") == F.lit(float("-inf"))).alias("_cneg"),
+        F.count_if(finite).alias("_cfin"),
+        F.count_if(F.col("_v") == F.lit(float("inf"))).alias("_cpos"),
+        F.min(F.when(finite, F.col("_v"))).alias("_flo"),
+        F.max(F.when(finite, F.col("_v"))).alias("_fhi"),
+    )
+    k = F.ceil(F.col("_n") / 2)
+    in_neg = k <= F.col("_cneg")
+    in_fin = k <= F.col("_cneg") + F.col("_cfin")
+    in_pos = k <= F.col("_cneg") + F.col("_cfin") + F.col("_cpos")
+
+    def band(finite_value: str):
+        return (
+            F.when(in_neg, F.lit(float("-inf")))
+            .when(in_fin, F.col(finite_value))
+            .when(in_pos, F.lit(float("inf")))
+            .otherwise(F.lit(float("nan")))
+        )
+
+    state = stats.select(
+        *keys,
+        "_n",
+        band("_flo").alias("_lo"),
+        band("_fhi").alias("_hi"),
+        F.when(~in_neg & in_fin, k - F.col("_cneg")).otherwise(F.lit(1)).alias("_k"),
+        F.when(~in_neg & in_fin, F.col("_cfin")).otherwise(F.lit(1)).alias("_m"),
     )
     state = materialize(state, "median-state")
     done = (F.col("_lo") == F.col("_hi")) | (F.col("_m") <= exact_rows)
