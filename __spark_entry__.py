@@ -49,6 +49,13 @@ from urbanframe.plans.roundtrip import (
 from urbanframe.session import scratch_path
 from urbanframe.sources import parse_csv_lines, read_csv, read_geojson_properties, read_lines, read_table
 
+try:  # the training-data operators are optional: everything else works without them
+    from urbanframe.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith("urbanframe.llm"):
+        raise
+    llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 STRATEGIES = ("default", "broadcast", "merge", "shuffle_hash")
 
@@ -291,6 +298,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[fn.__name__] = fn
     for s in STRATEGIES[1:]:
         out[f"op_equi_join_{s}"] = partial(op_equi_join, strategy=s)
+    if llm_queries is not None:
+        out.update(llm_queries.queries())
     return out
 
 
@@ -448,4 +457,6 @@ def oracle_sql() -> dict[str, str]:
     out.update(_OPS)
     for s in STRATEGIES[1:]:
         out[f"op_equi_join_{s}"] = _OPS["op_equi_join"]
+    if llm_queries is not None:
+        out.update(llm_queries.oracle_sql())
     return out
