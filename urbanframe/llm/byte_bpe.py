@@ -29,7 +29,7 @@ from urbanframe.llm.batches import list_array, text_slices
 from urbanframe.llm.pretokens import compile_pattern, safe_piece
 
 WIDE = 64  # longest pre-token, in bytes, that is merged side by side with others
-CACHE_PIECES = 600_000  # about 120 MB a worker; emptied when full
+CACHE_PIECES = 400_000  # about 80 MB a worker; emptied when full
 _NO_PAIR = np.int64(1) << 60
 
 
@@ -54,8 +54,8 @@ class PairRanks:
                 if left is not None and right is not None:
                     pairs[left * self.width + right] = rank
         self.table = pairs
-        # open addressing, at most a sixteenth full: a vectorised dictionary
-        self.bits = max(8, (16 * len(pairs)).bit_length())
+        # open addressing, at most an eighth full: a vectorised dictionary
+        self.bits = max(8, (8 * len(pairs)).bit_length())
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.ranks = np.full(1 << self.bits, _NO_PAIR, dtype=np.int64)
         left_over = np.array(list(pairs), dtype=np.int64)
@@ -209,27 +209,19 @@ def _merge_rows(tokens: list[bytes], size: int, pairs: PairRanks) -> Iterator[by
 
 
 class ByteBpe:
-    """A rank file and a split pattern: texts to ids and back."""
+    """A rank file and a split pattern: texts to ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.whole = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
         self.pattern = compile_pattern(pattern)
         self.pairs = PairRanks(ranks)
         self.cache: dict[str, bytes | bool] = {}  # piece -> packed ids; False: not to be cut off
-        top = self.pairs.width
-        self.sizes = np.zeros(top, dtype=np.int64)
-        for token, rank in ranks.items():
-            self.sizes[rank] = len(token)
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
-        blob = np.zeros(int(self.sizes.sum()), dtype=np.uint8)
-        for token, rank in ranks.items():
-            blob[self.starts[rank] : self.starts[rank] + len(token)] = np.frombuffer(token, dtype=np.uint8)
-        self.blob = blob
 
     # ------------------------------------------------------------ encoding
     def _segments(self, segments: list[str]) -> list[bytes]:
         """Packed ids of text segments, each split by the pattern on its own."""
-        split = list(map(self.pattern.findall, segments))
+        # a segment of letters after at most one space is one pre-token
+        split = [[s] if s[1:].isalpha() and (s[0] == " " or s[0].isalpha()) else self.pattern.findall(s) for s in segments]
         tokens = list({t for tokens in split for t in tokens})
         raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
         ids = dict(zip(tokens, self._merged(raw)))
@@ -289,7 +281,19 @@ class ByteBpe:
             out[i] = ids
         return out
 
-    # ------------------------------------------------------------ decoding
+
+class ByteDecoder:
+    """Ids of a rank file back to bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1]
+        self.blob = np.zeros(int(self.sizes.sum()), dtype=np.uint8)
+        for token, rank in ranks.items():
+            self.blob[self.starts[rank] : self.starts[rank] + len(token)] = np.frombuffer(token, dtype=np.uint8)
+
     def decode_flat(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
         """All bytes of consecutive id lists, and the byte length of each list."""
         sizes = self.sizes[ids]
@@ -302,11 +306,16 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> ByteBpe:
-    """One codec per worker process; its tables and cache serve all its tasks."""
+def encoder(path: str, pattern: str) -> ByteBpe:
+    """One encoder per worker process; its tables and cache serve all its tasks."""
     return ByteBpe(load_ranks(path), pattern)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> ByteDecoder:
+    return ByteDecoder(load_ranks(path))
+
+
 def byte_bpe_encode(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of every row's whole text.
 
@@ -315,7 +324,7 @@ def byte_bpe_encode(df: DataFrame, id_col: str, text_col: str, ranks_path: str,
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(ranks_path, pattern)
+        bpe = encoder(ranks_path, pattern)
         for batch in text_slices(batches, "text"):
             packed = bpe.encode_texts([t or "" for t in batch.column(1).to_pylist()])
             ids = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
@@ -327,11 +336,11 @@ def byte_bpe_encode(df: DataFrame, id_col: str, text_col: str, ranks_path: str,
     return rows.mapInArrow(encode, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def byte_bpe_decode(df: DataFrame, id_col: str, ids_col: str, ranks_path: str, pattern: str) -> DataFrame:
+def byte_bpe_decode(df: DataFrame, id_col: str, ids_col: str, ranks_path: str) -> DataFrame:
     """``id_col``, ``ids_col`` and ``decoded`` (bytes) of every row's ids (null: no bytes)."""
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(ranks_path, pattern)
+        bpe = decoder(ranks_path)
         for batch in text_slices(batches, "ids", 4 << 20):
             column = batch.column(1)
             counts = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], dtype=np.int64)

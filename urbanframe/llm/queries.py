@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanframe.llm.byte_bpe import byte_bpe_decode, byte_bpe_encode
+from urbanframe.llm.packing import pack_sequences
 from urbanframe.llm.quality import quality_verdicts
+from urbanframe.llm.wavelet import token_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +20,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and digest both."""
     ranks = tokenizer_files.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe_encode(table(spark, sf_dir, "documents"), "doc_id", "text", ranks, tokenizer_files.PATTERN)
-    decoded = byte_bpe_decode(encoded, "doc_id", "ids", ranks, tokenizer_files.PATTERN)
+    decoded = byte_bpe_decode(encoded, "doc_id", "ids", ranks)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -32,10 +34,24 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 2048 tokens as possible."""
+    path = tokenizer_files.path("byte_bpe_50k.json")
+    return pack_sequences(table(spark, sf_dir, "documents"), "doc_id", "text", path, end_id=0, capacity=2048)
+
+
+def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids through wavelet-matrix shard files."""
+    path = tokenizer_files.path("word_bpe_49k.json")
+    return token_shards(table(spark, sf_dir, "documents"), "doc_id", "text", path, end_id=2)
+
+
 def queries() -> dict:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op5_quality": op5_quality,
+        "op7_packing": op7_packing,
+        "op8_wavelet": op8_wavelet,
     }
 
 
