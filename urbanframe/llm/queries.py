@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers as tokenizer_files
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanframe.llm.byte_bpe import byte_bpe_decode, byte_bpe_encode
+from urbanframe.llm.langid import identify_language, train_language_model
+from urbanframe.llm.lm_scoring import score_documents, train_losses
+from urbanframe.llm.neighbours import nearest_neighbours
 from urbanframe.llm.packing import pack_sequences
 from urbanframe.llm.quality import quality_verdicts
+from urbanframe.llm.token_counts import count_tokens
 from urbanframe.llm.wavelet import token_shards
 
 
@@ -29,11 +33,30 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out() -> Column:
+    """Rows that language training may not see."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    net = train_language_model(docs, "doc_id", "text", "lang", ~held_out())
+    found = identify_language(docs, "doc_id", "text", net)
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and the cascade's verdict for every document."""
     return quality_verdicts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of unigram pieces of every document."""
+    path = tokenizer_files.path("piece_bpe_32k.model")
+    return count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of 2048 tokens as possible."""
     path = tokenizer_files.path("byte_bpe_50k.json")
@@ -46,12 +69,31 @@ def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), "doc_id", "text", path, end_id=2)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the documents labelled as good (target) and all others."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    labelled = docs.join(good, "doc_id", "left")
+    losses = train_losses(labelled, "text", F.col("quality") == 1)
+    return score_documents(docs, "doc_id", "text", losses)
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest by inner product for every 20th vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op4_langid": op4_langid,
         "op5_quality": op5_quality,
+        "op6_token_counts": op6_token_counts,
         "op7_packing": op7_packing,
         "op8_wavelet": op8_wavelet,
+        "op9_lm_scoring": op9_lm_scoring,
+        "op10_neighbours": op10_neighbours,
     }
 
 
