@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanframe.llm.batches import text_slices
+from urbanframe.session import shuffle_cleanup
 
 BOUNDARY, OTHER = 0, 1  # classes
 CLASSES = 128
@@ -114,10 +115,16 @@ def loss_table(counts: np.ndarray, classes: int) -> np.ndarray:
     return -np.log2(p3).astype(np.float32).ravel()
 
 
-def train_losses(df: DataFrame, text_col: str, target: Column, classes: int = CLASSES) -> Losses:
-    """Both models from the whole of ``df``; the driver sees at most ``classes ** 3`` sums."""
-    class_of = byte_classes(df, text_col, classes)
-    sums = trigram_counts(df, text_col, target, class_of, classes).toPandas()
+def train_losses(
+    df: DataFrame, text_col: str, target: Column, classes: int = CLASSES, corpus: DataFrame | None = None
+) -> Losses:
+    """Both models from the whole of ``df``; the driver sees at most ``classes ** 3`` sums.
+
+    ``corpus`` may name the same texts in a cheaper form for the byte counts.
+    """
+    class_of = byte_classes(df if corpus is None else corpus, text_col, classes)
+    with shuffle_cleanup(df.sparkSession):
+        sums = trigram_counts(df, text_col, target, class_of, classes).toPandas()
     tables = []
     for side in ("target", "background"):
         dense = np.zeros(classes**3, dtype=np.int64)

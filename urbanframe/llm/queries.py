@@ -12,6 +12,7 @@ from urbanframe.llm.lm_scoring import score_documents, train_losses
 from urbanframe.llm.neighbours import nearest_neighbours
 from urbanframe.llm.packing import pack_sequences
 from urbanframe.llm.quality import quality_verdicts
+from urbanframe.llm.substrings import remove_repeated_passages
 from urbanframe.llm.token_counts import count_tokens
 from urbanframe.llm.wavelet import token_shards
 
@@ -33,6 +34,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every word in a 35-word window that occurs more than once."""
+    cut = remove_repeated_passages(table(spark, sf_dir, "documents"), "doc_id", "text", window=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def held_out() -> Column:
     """Rows that language training may not see."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -74,7 +81,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     labelled = docs.join(good, "doc_id", "left")
-    losses = train_losses(labelled, "text", F.col("quality") == 1)
+    losses = train_losses(labelled, "text", F.col("quality") == 1, corpus=docs)
     return score_documents(docs, "doc_id", "text", losses)
 
 
@@ -87,6 +94,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_substrings": op2_substrings,
         "op4_langid": op4_langid,
         "op5_quality": op5_quality,
         "op6_token_counts": op6_token_counts,
