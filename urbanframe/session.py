@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,23 +54,33 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` (or the SparkContext's current checkpoint dir).
-    Only when neither is set, as in local tests, a private folder is created and
-    registered so ``DataFrame.checkpoint()`` works.  On a cluster the setting must
-    name shared storage (HDFS/S3/...); a machine-local folder would not survive the
-    loss of an executor.
+    It is, in this order, the SparkContext's checkpoint folder, the setting
+    ``spark.checkpoint.dir``, or a folder under ``spark.sql.warehouse.dir``.  On a
+    cluster it must be storage that the driver and all executors share: a folder
+    on the local file system is refused there unless ``spark.checkpoint.dir``
+    names it, which states that every machine mounts it.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="urbanframe-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(named)
+        return sc.getCheckpointDir() or named
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    if not sc.master.startswith("local") and _is_local_path(spark, folder):
+        raise ValueError(
+            f"intermediate tables need shared storage, but {folder} is local to each machine; set spark.checkpoint.dir"
+        )
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
+
+
+def _is_local_path(spark: SparkSession, folder: str) -> bool:
+    """True if ``folder`` lies on a machine's own file system (its scheme is ``file``)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -78,15 +89,53 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+# frees a query's shuffle files as soon as the query has ended
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Within the block, every finished query drops its shuffle files."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()``, but computes the plan only once (a
     reliable RDD checkpoint runs it a second time to write it) and stores it
     columnar and compressed.  The files live on the cluster's shared storage, so
-    losing an executor does not lose them.
+    losing an executor does not lose them; the shuffle files behind them are no
+    longer needed and are dropped at once.  :func:`remove_intermediate` deletes
+    the folders of results that have been consumed.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with shuffle_cleanup(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     # the schema is known: passing it skips reading Parquet footers to infer it
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: dict[str, list[str]] = {}  # application -> folders that materialize() has written
+
+
+def remove_intermediate(spark: SparkSession) -> int:
+    """Delete every intermediate folder this application wrote; returns their number.
+
+    Call it when all results built on them have been written or collected.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
