@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from urbanframe.llm.byte_bpe import byte_bpe_decode, byte_bpe_encode
 from urbanframe.llm.langid import identify_language, train_language_model
 from urbanframe.llm.lm_scoring import score_documents, train_losses
+from urbanframe.llm.near_duplicates import near_duplicate_classes
 from urbanframe.llm.neighbours import nearest_neighbours
 from urbanframe.llm.packing import pack_sequences
 from urbanframe.llm.quality import quality_verdicts
@@ -40,6 +41,11 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def held_out() -> Column:
     """Rows that language training may not see."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -95,6 +101,7 @@ def queries() -> dict:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_substrings": op2_substrings,
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_langid": op4_langid,
         "op5_quality": op5_quality,
         "op6_token_counts": op6_token_counts,
