@@ -50,9 +50,10 @@ from urbanframe.session import scratch_path
 from urbanframe.sources import parse_csv_lines, read_csv, read_geojson_properties, read_lines, read_table
 
 try:  # the training-data operators are optional: everything else works without them
+    import corpus_pipeline
     from urbanframe.llm import queries as llm_queries
 except ModuleNotFoundError as missing:
-    if not (missing.name or "").startswith("urbanframe.llm"):
+    if not (missing.name or "").startswith(("urbanframe.llm", "corpus_pipeline")):
         raise
     llm_queries = None
 
@@ -300,6 +301,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         out[f"op_equi_join_{s}"] = partial(op_equi_join, strategy=s)
     if llm_queries is not None:
         out.update(llm_queries.queries())
+        out["pipeline"] = corpus_pipeline.run
     return out
 
 
@@ -459,4 +461,6 @@ def oracle_sql() -> dict[str, str]:
         out[f"op_equi_join_{s}"] = _OPS["op_equi_join"]
     if llm_queries is not None:
         out.update(llm_queries.oracle_sql())
+        if corpus_pipeline.ORACLE_SQL is not None:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
