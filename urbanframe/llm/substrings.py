@@ -170,6 +170,7 @@ def _count_hot(strings: DataFrame, window: int) -> DataFrame:
 
     single = strings.select("digest", "packed", "n").mapInArrow(run, "digest binary, r int, window binary, n long")
     often = single.groupBy("window").agg(F.sum("n").alias("_n")).filter("_n > 1").select("window")
+    often = materialize(often, "repeated-hot-windows")
     return single.join(often, "window").groupBy("digest").agg(F.collect_set("r").alias("windows"))
 
 
@@ -181,6 +182,8 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, h
     mins = materialize(_minimisers(keyed, window, gram), "minimisers")
     each = mins.select("k1", "k2", F.explode(F.arrays_zip("hash", "at", "n")).alias("s")).select("k1", "k2", "s.*")
     often = each.groupBy("hash").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("hash")
+    # a table of its own: both sides of the join are then plain exchanges, which Spark splits if a hash is hot
+    often = materialize(often, "repeated-minimisers")
     kept = each.join(often, "hash").groupBy("k1", "k2").agg(F.collect_set(F.struct("hash", "at", "n")).alias("kept"))
     kept = materialize(kept, "kept-minimisers")
     texts = keyed.join(kept, ["k1", "k2"]).select("k1", "k2", "text", "kept")
