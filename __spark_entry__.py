@@ -40,6 +40,7 @@ from urbanframe.plans.queries import (
 )
 from urbanframe.plans.roundtrip import (
     BLOCK_PROPERTIES,
+    convert_and_count,
     csv_folders,
     csv_parquet_round_trip,
     geojson_round_trip,
@@ -47,7 +48,7 @@ from urbanframe.plans.roundtrip import (
     write_feature_collections,
 )
 from urbanframe.session import scratch_path
-from urbanframe.sources import parse_csv_lines, read_csv, read_geojson_properties, read_lines, read_table
+from urbanframe.sources import parse_csv_lines, read_csv, read_geojson_properties, read_lines, read_table, write_result
 
 try:  # the training-data operators are optional: everything else works without them
     import corpus_pipeline
@@ -77,7 +78,7 @@ def q1_share(spark: SparkSession, sf_dir: str, bucket: str = "native", keep_uncl
 
 def q1_share_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1 with CSV input: the crimes written as two CSV folders, read in one scan."""
-    paths = csv_folders(spark, inputs.crimes_with_times(spark, sf_dir), "crimes-csv", "DR_NO")
+    paths = csv_folders(spark, inputs.crimes_with_times(spark, sf_dir), "crimes-csv")
     return street_time_share(read_table(spark, paths, fmt="csv"), premis_value="click")
 
 
@@ -99,7 +100,7 @@ def q3_per_capita_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     dropped.  Keys are trimmed and only positive incomes are kept, as in the
     line-parsing form of the query.
     """
-    folders = csv_folders(spark, inputs.zip_income(spark, sf_dir), "income-text", "Zip Code", sep=";")
+    folders = csv_folders(spark, inputs.zip_income(spark, sf_dir), "income-text", sep=";")
     names = ["Zip Code", "Estimated Median Income"]
     income = parse_csv_lines(read_lines(spark, folders), names, sep=";").filter(
         F.col("Zip Code").isNotNull() & (F.col("Zip Code") != F.lit(names[0]))
@@ -111,18 +112,18 @@ def q3_per_capita_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3 from files, as the original job reads them: census blocks from GeoJSON
     (features exploded, properties flattened) and income from a ``;``-separated CSV."""
     blocks = read_geojson_properties(
-        spark, write_feature_collections(spark, inputs.census_blocks(spark, sf_dir)), BLOCK_PROPERTIES
+        spark, write_feature_collections(spark, inputs.census_blocks(spark, sf_dir)), BLOCK_PROPERTIES, layout="lines"
     )
-    income_csv = csv_folders(spark, inputs.zip_income(spark, sf_dir), "income-csv", "Zip Code", sep=";")
+    income_csv = csv_folders(spark, inputs.zip_income(spark, sf_dir), "income-csv", sep=";")
     return per_capita_income(blocks, read_csv(spark, income_csv, sep=";"))
 
 
 def q4_nearest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q4 from CSV files: crimes from two CSV folders, stations from one; text columns
     are cast at use (``try_cast``)."""
-    crimes = read_csv(spark, csv_folders(spark, inputs.crime_points(spark, sf_dir), "crimes-points", "DR_NO"))
+    crimes = read_csv(spark, csv_folders(spark, inputs.crime_points(spark, sf_dir), "crimes-points"))
     stations_csv = scratch_path(spark, "stations-csv")
-    inputs.stations(spark, sf_dir).write.option("header", "true").csv(stations_csv)
+    write_result(inputs.stations(spark, sf_dir), stations_csv)
     return nearest_station_summary(crimes, read_csv(spark, stations_csv))
 
 
@@ -256,6 +257,55 @@ def op_geojson_scan(spark, sf_dir):
     return geojson_round_trip(spark, inputs.census_blocks(spark, sf_dir))
 
 
+# ------------------------------------------------------------------ hostile input, derived from whole tables
+def op_csv_round_trip_hostile(spark, sf_dir):
+    """NULL keys, quotes, separators, blanks, backslashes and line breaks through CSV."""
+    return csv_parquet_round_trip(spark, inputs.hostile_orders(spark, sf_dir))
+
+
+def op_convert_count(spark, sf_dir):
+    return convert_and_count(spark, inputs.table(spark, sf_dir, "orders"))
+
+
+def op_lower_median_wide(spark, sf_dir):
+    """Values over the whole range of doubles: a range that overflows, and log-spread inside."""
+    return lower_median(inputs.wide_values(spark, sf_dir), "g", "v", name="median", count_name="n")
+
+
+def op_lower_median_bigint(spark, sf_dir):
+    """Integers beyond 2**53, which a double cannot tell apart."""
+    o = inputs.table(spark, sf_dir, "orders")
+    v = F.lit(9007199254740993) + (F.col("o_orderkey") * 7) % 1009
+    return lower_median(o.select("o_orderpriority", v.alias("v")), "o_orderpriority", "v", name="median", count_name="n")
+
+
+def q1_share_hostile(spark, sf_dir, bucket="udf"):
+    return street_time_share(inputs.hostile_times(spark, sf_dir), premis_value="click", bucket=bucket)
+
+
+def q3_per_capita_blank_zip(spark, sf_dir):
+    """Blocks and incomes whose ZIP is empty or blank take no part."""
+    blocks, income = inputs.census_blocks(spark, sf_dir), inputs.zip_income(spark, sf_dir)
+
+    def blanked(df, name):
+        return df.withColumn(
+            name, F.when(F.col(name) == "90004", "").when(F.col(name) == "90007", "   ").otherwise(F.col(name))
+        )
+
+    return per_capita_income(blanked(blocks, "ZCTA20"), blanked(income, "Zip Code"))
+
+
+def q4_nearest_far(spark, sf_dir):
+    """Every crime 5 degrees north and east of the stations' area."""
+    far = inputs.crime_points(spark, sf_dir).withColumn("LAT", F.col("LAT") + 5.0).withColumn("LON", F.col("LON") + 5.0)
+    return nearest_station_summary(far, inputs.stations(spark, sf_dir))
+
+
+def q4_nearest_clustered(spark, sf_dir):
+    """Nearly all stations in one dense patch, a few spread out."""
+    return nearest_station_summary(inputs.crime_points(spark, sf_dir), inputs.clustered_stations(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "q1_share_native": partial(q1_share, bucket="native"),
@@ -295,10 +345,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op_csv_parquet_round_trip,
         op_geojson_scan,
         op_tuple_text_round_trip,
+        op_csv_round_trip_hostile,
+        op_convert_count,
+        op_lower_median_wide,
+        op_lower_median_bigint,
+        q3_per_capita_blank_zip,
+        q4_nearest_far,
+        q4_nearest_clustered,
     ):
         out[fn.__name__] = fn
     for s in STRATEGIES[1:]:
         out[f"op_equi_join_{s}"] = partial(op_equi_join, strategy=s)
+    out["q1_share_udf_hostile"] = q1_share_hostile
+    out["q1_share_native_hostile"] = partial(q1_share_hostile, bucket="native")
     if llm_queries is not None:
         out.update(llm_queries.queries())
         out["pipeline"] = corpus_pipeline.run
@@ -373,6 +432,20 @@ _Q4_NATION = _Q4.replace(
 )
 assert _Q4_NATION != _Q4
 
+_Q4_FAR = _Q4.replace("as lat,", "+ 5.0::double as lat,", 1).replace("as lon\n           from lineitem", "+ 5.0::double as lon\n           from lineitem")
+_Q4_CLUSTERED = _Q4.replace(
+    """33.72::double + ((s_suppkey * 613) % 1009) / 1009.0::double * 0.60::double as slat""",
+    """33.72::double + ((s_suppkey * 613) % 1009) / 1009.0::double * case when s_suppkey % 50 = 0 then 0.60::double else 0.03::double end as slat""",
+).replace(
+    """-118.60::double + ((s_suppkey * 977) % 1013) / 1013.0::double * 0.45::double as slon""",
+    """-118.60::double + ((s_suppkey * 977) % 1013) / 1013.0::double * case when s_suppkey % 50 = 0 then 0.45::double else 0.03::double end as slon""",
+)
+_Q1_HOSTILE = _Q1.replace(
+    "try_cast(lpad(cast((event_id * 37) % 2500 as varchar), 4, '0') as integer)",
+    """try_cast(case event_id % 7 when 0 then '3000000000' when 1 then '99999999999' when 2 then '-5' when 3 then 'noon'
+                    when 4 then '' when 5 then '  930 ' else lpad(cast((event_id * 37) % 2500 as varchar), 4, '0') end as integer)""",
+)
+
 _OPS = {
     "op_argmin": """
 select k, price, orderkey from (
@@ -413,6 +486,20 @@ select l_returnflag, sum(l_quantity) as q, cast(sum(l_linenumber) as bigint) as
     "op_lower_median": """
 select o_orderpriority, quantile_disc(o_totalprice, 0.5) as median, count(o_totalprice) as n
 from orders where o_totalprice is not null group by o_orderpriority""",
+    "op_csv_round_trip_hostile": """
+select case when o_orderkey % 5 = 0 then null else o_orderkey end as "key", o_custkey,
+       case o_orderkey % 6 when 0 then 'a "b", c' when 1 then 'one' || chr(10) || 'two' || chr(13) || 'x'
+            when 2 then '  blanks  ' when 3 then 'back\\slash \\n, "end\\' when 4 then null
+            else o_orderpriority || ';' || cast(o_orderkey as varchar) end as note
+from orders""",
+    "op_convert_count": "select count(*) as n from orders",
+    "op_lower_median_wide": """
+select o_orderpriority as g, count(v) as n, quantile_disc(v, 0.5) as median from (
+  select o_orderpriority, case o_orderkey % 4 when 0 then 1.7e308::double when 1 then -1.7e308::double
+         else cast('1e' || cast(o_custkey % 600 - 300 as varchar) as double) end as v from orders) x group by 1""",
+    "op_lower_median_bigint": """
+select o_orderpriority, count(v) as n, quantile_disc(v, 0.5) as median from (
+  select o_orderpriority, 9007199254740993 + (o_orderkey * 7) % 1009 as v from orders) x group by 1""",
     "op_null_island_filter": """
 select c_custkey from (
   select c_custkey, case when c_custkey % 11 = 0 then null else cast(c_custkey % 3 as double) end as lat,
@@ -456,6 +543,10 @@ def oracle_sql() -> dict[str, str]:
     out["q3_per_capita_text_lines"] = _Q3_BASE + " and mi > 0"
     out["q3_per_capita_geojson"] = _Q3_BASE
     out["q4_nearest_csv"] = _Q4
+    out["q1_share_udf_hostile"] = out["q1_share_native_hostile"] = _Q1_HOSTILE
+    out["q3_per_capita_blank_zip"] = _Q3_BASE + " and zip not in ('90004', '90007')"
+    out["q4_nearest_far"] = _Q4_FAR
+    out["q4_nearest_clustered"] = _Q4_CLUSTERED
     out.update(_OPS)
     for s in STRATEGIES[1:]:
         out[f"op_equi_join_{s}"] = _OPS["op_equi_join"]

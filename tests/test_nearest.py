@@ -114,21 +114,45 @@ def test_hot_id_holding_a_third_of_the_points(spark):
     check(spark, points, sites, strategy="merge")
 
 
-def test_points_far_from_every_site_skip_empty_levels(spark, monkeypatch):
+def _pairs_per_point(spark, monkeypatch, points, sites):
+    """Pairs tested in the near pass plus sites listed for the far pass, per point."""
+    from pyspark.sql import functions as F
+
     from urbanframe.operators import spatial
 
-    passes = []
-    original = spatial._best_per_id
+    pairs = []
+    near = spatial._best_near
 
-    def counting(*args, **kwargs):
-        passes.append(args[2])
-        return original(*args, **kwargs)
+    def counting_near(pts, cells, h):
+        keyed = pts.selectExpr("_id", *spatial._UNIT).selectExpr(*spatial._cell_sql("_p", h, ("_cx", "_cy", "_cz")))
+        pairs.append(keyed.join(cells, F.expr("_cx = _scx AND _cy = _scy AND _cz = _scz")).count())
+        return near(pts, cells, h)
 
-    monkeypatch.setattr(spatial, "_best_per_id", counting)
-    rng = np.random.default_rng(9)
-    sites = [(f"L{i:02d}", float(34 + rng.uniform(-0.2, 0.2)), float(-118.3 + rng.uniform(-0.2, 0.2))) for i in range(40)]
-    points = [(i, float(40.7 + rng.uniform(-0.1, 0.1)), float(-74.0 + rng.uniform(-0.1, 0.1))) for i in range(300)]
+    monkeypatch.setattr(spatial, "_best_near", counting_near)
+    monkeypatch.setattr(spatial, "_pruned", _counting_pruned(spatial._pruned, pairs))
     check(spark, points, sites)
-    # without skipping, ~11 doublings separate the start cell size from 3,900 km;
-    # the box distance is used from the second pass on
-    assert len(passes) <= 4, passes
+    return sum(pairs) / len(points)
+
+
+def _counting_pruned(original, pairs):
+    def run(state, lo, hi, keep):
+        out = original(state, lo, hi, keep)
+        if "_rank" in keep:
+            pairs.append(out.count())  # sites listed for all point cells together
+        return out
+    return run
+
+
+def test_far_points_meet_few_sites(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    sites = [(f"L{i:04d}", float(34 + rng.uniform(0, 0.5)), float(-118 + rng.uniform(0, 0.5))) for i in range(2000)]
+    points = [(i, float(39 + rng.uniform(0, 0.5)), float(-113 + rng.uniform(0, 0.5))) for i in range(1500)]
+    assert _pairs_per_point(spark, monkeypatch, points, sites) <= 64
+
+
+def test_clustered_sites_meet_their_neighbourhood_only(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    patch = [(f"C{i:04d}", float(34 + rng.uniform(0, 0.05)), float(-118 + rng.uniform(0, 0.05))) for i in range(1980)]
+    spread = [(f"S{i:04d}", float(30 + rng.uniform(0, 10)), float(-125 + rng.uniform(0, 10))) for i in range(20)]
+    points = [(i, float(34 + rng.uniform(0, 0.05)), float(-118 + rng.uniform(0, 0.05))) for i in range(1500)]
+    assert _pairs_per_point(spark, monkeypatch, points, patch + spread) <= 64

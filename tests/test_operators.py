@@ -15,8 +15,8 @@ from urbanframe.operators import (
     top_k_per_group,
     union_all,
 )
-from urbanframe.operators.joins import JOIN_STRATEGIES, row_count_at_most, with_strategy
-from urbanframe.plans.inspect import plan_operators
+from urbanframe.operators.joins import JOIN_STRATEGIES, measured_bytes, with_strategy
+from urbanframe.plans.inspect import plan_operators, plan_text
 
 
 def lower_median_np(values):
@@ -24,8 +24,8 @@ def lower_median_np(values):
     return float(v[int(np.ceil(len(v) / 2)) - 1])
 
 
-@pytest.mark.parametrize("exact_rows", [100_000, 5])
-def test_lower_median_matches_numpy(spark, exact_rows):
+@pytest.mark.parametrize("accuracy", [10_000, 5])
+def test_lower_median_matches_numpy(spark, accuracy):
     rng = np.random.default_rng(11)
     data = []
     # one hot group with a third of the rows, heavy duplicates, an outlier, negatives
@@ -37,7 +37,7 @@ def test_lower_median_matches_numpy(spark, exact_rows):
             data.append((g, float(rng.normal(0, 1e3))))
     data += [("one", 7.0), (None, 3.0), (None, 1.0), ("nulls", None)]
     df = spark.createDataFrame(data, "g string, v double")
-    got = {r["g"]: (r["median"], r["n"]) for r in lower_median(df, "g", "v", count_name="n", buckets=16, exact_rows=exact_rows).collect()}
+    got = {r["g"]: (r["median"], r["n"]) for r in lower_median(df, "g", "v", count_name="n", accuracy=accuracy).collect()}
     want = {}
     for g in {d[0] for d in data}:
         vals = [d[1] for d in data if d[0] == g and d[1] is not None]
@@ -48,7 +48,7 @@ def test_lower_median_matches_numpy(spark, exact_rows):
 
 def test_lower_median_equals_percentile_disc(spark):
     df = spark.range(0, 1001).select((F.col("id") % 7).alias("g"), ((F.col("id") * 7919) % 1013).cast("double").alias("v"))
-    ours = {r["g"]: r["median"] for r in lower_median(df, "g", "v", buckets=8, exact_rows=10).collect()}
+    ours = {r["g"]: r["median"] for r in lower_median(df, "g", "v", accuracy=10).collect()}
     builtin = {
         r["g"]: r["m"]
         for r in df.groupBy("g").agg(F.expr("percentile_disc(0.5) within group (order by v)").alias("m")).collect()
@@ -104,12 +104,57 @@ def test_all_strategies_same_rows(spark):
 
 def test_broadcast_falls_back_when_too_big(spark):
     right = spark.range(100).select(F.col("id").alias("rk"))
-    assert row_count_at_most(right, 100) and not row_count_at_most(right, 99)
-    marked = with_strategy(right, "broadcast", max_broadcast_rows=10)
+    assert measured_bytes(right) == 100 * 24
+    marked = with_strategy(right, "broadcast", max_broadcast_bytes=2399)
     out = spark.range(100).join(marked, F.col("id") == F.col("rk"))
     assert "SortMergeJoin" in plan_operators(out)
 
 
+def test_few_wide_rows_are_not_broadcast(spark):
+    wide = spark.range(5).select(F.col("id").alias("rk"), F.repeat(F.lit("x"), F.lit(10_000)).alias("t"), F.array("id").alias("a"))
+    assert 50_000 < measured_bytes(wide) < 52_000
+    out = spark.range(100).join(with_strategy(wide, "broadcast", max_broadcast_bytes=40_000), F.col("id") == F.col("rk"))
+    assert "BroadcastHashJoin" not in plan_operators(out)
+
+
+def test_size_measure_sends_no_rows_to_one_task(spark):
+    frame = spark.range(100).select(F.col("id").cast("string").alias("t"))
+    # the plan behind measured_bytes: a partial sum below the only exchange
+    plan = plan_text(frame.select(F.octet_length("t").alias("w")).agg(F.sum("w")))
+    assert "partial_sum" in plan and "Limit" not in plan
+
+
+def _median_passes(monkeypatch):
+    from urbanframe.operators import quantile
+
+    states = []
+    original = quantile.materialize
+    monkeypatch.setattr(quantile, "materialize", lambda df, name: states.append(name) or original(df, name))
+    return states
+
+
+@pytest.mark.parametrize("values", [
+    [float(i) for i in range(20)] + [-1.7e308, 1.7e308],
+    [10.0 ** (i % 600 - 300) for i in range(4000)],
+    [5.0] * 1000,
+])
+def test_lower_median_ends_in_few_passes(spark, monkeypatch, values):
+    states = _median_passes(monkeypatch)
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    assert lower_median(df, "g", "v").first()["median"] == lower_median_np(values)
+    assert len(states) <= 5, states
+
+
+def test_lower_median_keeps_the_type(spark):
+    big = 9007199254740993
+    longs = spark.createDataFrame([("g", big), ("g", big), ("g", big), ("h", big - 1), ("h", big), ("h", big + 1)], "g string, v long")
+    assert {r["g"]: r["median"] for r in lower_median(longs, "g", "v").collect()} == {"g": big, "h": big}
+    text = spark.createDataFrame([("g", "2"), ("g", "x"), ("g", "1"), ("g", None)], "g string, v string")
+    assert lower_median(text, "g", "v", count_name="n").first().asDict() == {"g": "g", "median": 1.0, "n": 2}
+    with pytest.raises(TypeError):
+        lower_median(text.select("g", F.array("v").alias("v")), "g", "v")
+
+
 def test_unknown_strategy_rejected(spark):
     with pytest.raises(ValueError):
         with_strategy(spark.range(1), "shuffle_replicate_nl")
@@ -135,13 +180,13 @@ def test_run_log_parsing(spark):
     assert [tuple(r) for r in median_lines(lines).collect()] == [("q1 csv", 3.5)]
 
 
-@pytest.mark.parametrize("exact_rows", [1, 100_000])
-def test_lower_median_orders_infinities_and_nan_like_spark(spark, exact_rows):
+@pytest.mark.parametrize("accuracy", [2, 10_000])
+def test_lower_median_orders_infinities_and_nan_like_spark(spark, accuracy):
     nan, inf = float("nan"), float("inf")
     rows = [("a", 1.0), ("a", nan), ("a", nan), ("b", -inf), ("b", 2.0), ("b", inf), ("c", nan), ("d", 1.0),
             ("d", 2.0), ("d", nan), ("e", -inf), ("e", -inf), ("e", 5.0), ("f", inf), ("f", inf), ("f", 1.0), ("f", 3.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    ours = {r["g"]: r["median"] for r in lower_median(df, "g", "v", buckets=4, exact_rows=exact_rows).collect()}
+    ours = {r["g"]: r["median"] for r in lower_median(df, "g", "v", accuracy=accuracy).collect()}
     builtin = {
         r["g"]: r["m"]
         for r in df.groupBy("g").agg(F.expr("percentile_disc(0.5) within group (order by v)").alias("m")).collect()

@@ -37,7 +37,7 @@ def test_csv_second_file_same_order_is_read(spark, tmp_path):
 def test_csv_reordered_header_is_rejected(spark, tmp_path):
     a = write_text(tmp_path / "a.csv", "ID,AREA,Premis\n1,7,STREET\n")
     b = write_text(tmp_path / "b.csv", "Premis,ID,AREA\nSTREET,2,8\n")
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="(?i)header"):
         read_csv(spark, [a, b]).collect()
 
 
@@ -101,7 +101,7 @@ def test_geojson_line_delimited_collections(spark, tmp_path):
     )
     p = write_text(tmp_path / "blocks.jsonl", lines + "\n")
     props = T.StructType([T.StructField("ZCTA20", T.StringType()), T.StructField("POP20", T.LongType())])
-    got = sorted(tuple(r) for r in read_geojson_properties(spark, p, props, multi_line=False).collect())
+    got = sorted(tuple(r) for r in read_geojson_properties(spark, p, props, layout="lines").collect())
     assert got == [("90001", 1), ("90001", 3), ("90002", 2)]
 
 
@@ -115,3 +115,38 @@ def test_default_output_path_and_result_formats(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(out).collect()] == [("Night", 33.33)]
     with pytest.raises(ValueError):
         write_result(df, out, fmt="xml")
+
+
+def test_geojson_feature_lines_split(spark, tmp_path):
+    features = [f'{{"type": "Feature", "properties": {{"ZCTA20": "{90000 + i}", "POP20": {i}}}, "geometry": null}}' for i in range(50)]
+    doc = '{"type": "FeatureCollection",\n"features": [\n' + ",\n".join(features) + "\n]}\n"
+    p = write_text(tmp_path / "big.geojson", doc)
+    props = T.StructType([T.StructField("ZCTA20", T.StringType()), T.StructField("POP20", T.LongType())])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = read_geojson_properties(spark, p, props, layout="feature_lines")
+        assert df.rdd.getNumPartitions() > 2
+        assert sorted(tuple(r) for r in df.collect()) == [(str(90000 + i), i) for i in range(50)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_line_breaks_are_refused_or_escaped(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb"), (2, "c\\n\r"), (3, None)], "k int, t string")
+    with pytest.raises(Exception, match="line break"):
+        write_result(df, str(tmp_path / "refused"))
+    write_result(df, str(tmp_path / "escaped"), newlines="escape")
+    back = read_csv(spark, str(tmp_path / "escaped"), escaped_newlines=True)
+    assert sorted(tuple(r) for r in back.collect()) == [("1", "a\nb"), ("2", "c\\n\r"), ("3", None)]
+
+
+def test_round_trips_keep_null_keys(spark):
+    from urbanframe.plans.roundtrip import csv_folders, csv_parquet_round_trip
+
+    df = spark.createDataFrame([(None, 'a "b", c'), (1, "x\ny"), (2, "z")], "k long, t string")
+    assert sorted(map(repr, map(tuple, csv_parquet_round_trip(spark, df).collect()))) == sorted(map(repr, map(tuple, df.collect())))
+    plain = df.filter("t <> 'x\ny'")
+    assert read_csv(spark, csv_folders(spark, plain, "t"), columns=["k", "t"]).count() == 2

@@ -8,7 +8,6 @@ operator collects rows to the driver.  Sub-packages:
 * ``operators`` relational building blocks (share of total, top-k, argmin, joins,
                 exact nearest-site search, lower median, run-log parsing)
 * ``plans``     the four composite queries and plan inspection helpers
-* ``streaming`` intentionally empty: the workload has no streaming operators
 """
 
 from urbanframe.session import build_session, checkpoint_dir

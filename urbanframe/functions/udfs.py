@@ -30,6 +30,7 @@ def classify_periods(hhmm: pd.Series) -> pd.Series:
     t = pd.Series(
         pd.to_numeric(as_text, errors="coerce").to_numpy(dtype="float64", na_value=np.nan), index=hhmm.index
     ).where(integral)
+    t = t.where(t.between(-(2**31), 2**31 - 1))  # as a cast to int: longer numbers are malformed
     conditions = [
         t.between(*MORNING),
         t.between(*AFTERNOON),

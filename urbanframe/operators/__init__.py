@@ -4,7 +4,7 @@ from urbanframe.operators.joins import (
     checked_broadcast,
     cross_join_count,
     equi_join,
-    row_count_at_most,
+    measured_bytes,
     with_strategy,
 )
 from urbanframe.operators.nested import explode_array, flatten_struct, json_fields
@@ -30,7 +30,7 @@ __all__ = [
     "median_lines",
     "nearest_site",
     "nearest_site_summary",
-    "row_count_at_most",
+    "measured_bytes",
     "share_of_total",
     "top_k_per_group",
     "union_all",

@@ -10,9 +10,9 @@ default        chosen by Catalyst + AQE    broadcast when the side's size estima
                                            ``spark.sql.autoBroadcastJoinThreshold``, or
                                            when AQE measures its shuffle output under
                                            the adaptive threshold; else sort-merge
-broadcast      BroadcastHashJoin           only after the right side is proven to hold
-                                           at most ``max_broadcast_rows`` rows;
-                                           otherwise falls back to ``merge``
+broadcast      BroadcastHashJoin           only after the right side is measured to hold
+                                           at most ``max_broadcast_bytes``; otherwise
+                                           ``merge`` (logged)
 merge          SortMergeJoin               scales to any size; AQE splits skewed keys
 shuffle_hash   ShuffledHashJoin            no sort; builds a hash table per partition
 =============  ==========================  ==========================================
@@ -23,40 +23,61 @@ materialises every pair of rows, which does not survive large inputs.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 JOIN_STRATEGIES = ("default", "broadcast", "merge", "shuffle_hash")
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
+_log = logging.getLogger(__name__)
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+def measured_bytes(df: DataFrame) -> int:
+    """Size of ``df`` in memory, measured: rows times fixed widths plus the text and nested data.
 
-    Counts a ``limit(max_rows + 1)`` of the frame, so the check stops early on a big
-    input instead of counting it whole.
+    One partial + final aggregation over the frame; no row is moved.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame | None:
-    """``broadcast(df)`` if its row count is proven <= ``max_rows``, else ``None``."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else None
+    fixed, varying = 16, []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)):
+            fixed += 8
+        else:
+            fixed += 16
+            c = F.col(f"`{f.name}`")
+            if not isinstance(f.dataType, (T.StringType, T.BinaryType)):
+                c = F.to_json(F.struct(c))
+            varying.append(F.coalesce(F.octet_length(c), F.lit(0)).cast("long"))
+    width = F.lit(fixed).cast("long")
+    for w in varying:
+        width = width + w
+    return int(df.select(width.alias("w")).agg(F.sum("w").alias("w")).first()["w"] or 0)
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame | None:
+    """``broadcast(df)`` if its measured size is at most ``max_bytes``, else ``None``."""
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else None
 
 
 def with_strategy(
-    right: DataFrame, strategy: str, max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS
+    right: DataFrame, strategy: str, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES
 ) -> DataFrame:
-    """Mark the build (right) side of a join with the requested strategy."""
+    """Mark the build (right) side of a join with the requested strategy.
+
+    A side too large to broadcast is merged instead; that choice is logged.
+    """
     if strategy not in JOIN_STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; choose one of {JOIN_STRATEGIES}")
     if strategy == "default":
         return right
     if strategy == "broadcast":
-        small = checked_broadcast(right, max_broadcast_rows)
-        return small if small is not None else right.hint("merge")
+        small = checked_broadcast(right, max_broadcast_bytes)
+        if small is None:
+            _log.warning("join side is larger than %d bytes: merge join instead of broadcast", max_broadcast_bytes)
+            return right.hint("merge")
+        return small
     return right.hint(strategy)
 
 
@@ -67,7 +88,7 @@ def equi_join(
     right_keys: str | Sequence[str],
     strategy: str = "default",
     how: str = "inner",
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Join on ``left_keys[i] == right_keys[i]`` (names may differ on each side).
 
@@ -77,7 +98,7 @@ def equi_join(
     rk = [right_keys] if isinstance(right_keys, str) else list(right_keys)
     if len(lk) != len(rk):
         raise ValueError("left and right key lists differ in length")
-    r = with_strategy(right, strategy, max_broadcast_rows)
+    r = with_strategy(right, strategy, max_broadcast_bytes)
     cond = [left[a] == r[b] for a, b in zip(lk, rk)]
     return left.join(r, cond, how)
 

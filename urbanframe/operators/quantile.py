@@ -1,40 +1,54 @@
 """Exact lower median (``percentile_disc(0.5)``) per group without one-task groups.
 
 Spark's ``percentile_disc`` keeps every distinct value of a group in one task's
-memory, so a group holding a third of the input would have to fit one executor.
-Here the k-th smallest value (k = ceil(n / 2), NULLs ignored) is found by
-narrowing a value range per group:
-
-* pass 0: per group ``n``, ``min``, ``max`` (partial + final aggregation);
-* each pass: rows inside their group's current range are bucketed into
-  ``buckets`` equal-width buckets and counted per (group, bucket) -- again a
-  partial aggregation, so no group is gathered anywhere -- and the bucket holding
-  the k-th value becomes the new range (its own min and max);
-* a group is finished when its range holds one distinct value, or at most
-  ``exact_rows`` rows; those few rows are then ranked with a window.
-
-Bucketing is monotone in the value, so cumulative bucket counts locate the k-th
-value exactly.  Infinite and NaN values are placed by count (they order as
--Infinity < finite < +Infinity < NaN, as in Spark) and never enter the search.  Per-pass state is one row per group, written as Parquet to the shared
-checkpoint folder.
+memory.  Here the k-th smallest value (k = ceil(n / 2), NULLs ignored) is bracketed
+instead, by the same steps at every size:
+
+* a mergeable quantile sketch of the values still in question (bounded memory per
+  group and task) gives two split values just below and above rank k;
+* one exact count of the values below, at, between and above the two splits tells
+  where rank k lies: at a split (done) or in one of the open intervals, which is
+  what remains in question.
+
+Both are partial + final aggregations.  Every pass removes at least the least and
+the greatest remaining value, so the search always ends; a pass cuts the rows in
+question by a factor of hundreds whatever their distribution, and a sketch that
+still holds every value ends it at once.
+
+Infinite and NaN values are placed by count (they order as -Infinity < finite <
++Infinity < NaN, as in Spark) and never enter the search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from urbanframe.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, row_count_at_most
+from urbanframe.operators.joins import DEFAULT_MAX_BROADCAST_BYTES, measured_bytes
 from urbanframe.session import materialize
 
+ACCURACY = 10_000  # samples a sketch may hold
+# ranks asked of a sketch: evenly spaced ones, and dense ones around the middle
+_RANKS = sorted({i / 200 for i in range(201)} | {0.5 + s * d for s in (-1, 1) for d in (1e-4, 3e-4, 1e-3, 2e-3)})
+
 
-def _join_state(data: DataFrame, state: DataFrame, keys: list[str], cols: list[str], max_broadcast_rows: int) -> DataFrame:
-    """Attach per-group ``cols`` of ``state`` to ``data`` (NULL-safe on the keys)."""
-    s = state.select(*[F.col(k).alias(f"_s_{k}") for k in keys], *cols)
-    if row_count_at_most(s, max_broadcast_rows):
-        s = F.broadcast(s)
+def _typed(df: DataFrame, value: str) -> tuple[Column, T.DataType]:
+    """The value column in its own numeric type; text is read as a double (bad text: NULL)."""
+    kind = df.schema[value].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(value), kind
+    if isinstance(kind, T.StringType):
+        return F.col(value).try_cast("double"), T.DoubleType()
+    raise TypeError(f"lower_median needs a numeric or text column, not {kind.simpleString()}")
+
+
+def _attach(data: DataFrame, state: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Join per-group state to ``data`` (NULL-safe on the keys)."""
+    s = state.withColumnsRenamed({k: f"_s_{k}" for k in keys})
+    s = F.broadcast(s) if small else s
     cond = [data[k].eqNullSafe(s[f"_s_{k}"]) for k in keys]
     return data.join(s, cond, "inner").drop(*[f"_s_{k}" for k in keys])
 
@@ -45,95 +59,99 @@ def lower_median(
     value: str,
     name: str = "median",
     count_name: str | None = None,
-    buckets: int = 4096,
-    exact_rows: int = 100_000,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    accuracy: int = ACCURACY,
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Per group: the discrete lower median of ``value`` (and optionally its count).
 
     Equals ``percentile_disc(0.5) WITHIN GROUP (ORDER BY value)``: for 1, 2, 3, 10
-    it is 2, not the interpolated 2.5.  Groups whose values are all NULL are absent.
+    it is 2, not the interpolated 2.5.  The result keeps the type of ``value``
+    (text: double).  Groups whose values are all NULL are absent.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    # Spark orders doubles as -Infinity < finite < +Infinity < NaN.  Counting the
-    # four bands tells which one holds the k-th value; only a finite answer needs
-    # the range search, which then runs over the finite values alone.
-    finite = ~F.isnan("_v") & (F.abs(F.col("_v")) < F.lit(float("inf")))
-    data = values.filter(finite)
-    stats = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("_v") == F.lit(float("-inf"))).alias("_cneg"),
-        F.count_if(finite).alias("_cfin"),
-        F.count_if(F.col("_v") == F.lit(float("inf"))).alias("_cpos"),
-        F.min(F.when(finite, F.col("_v"))).alias("_flo"),
-        F.max(F.when(finite, F.col("_v"))).alias("_fhi"),
-    )
-    k = F.ceil(F.col("_n") / 2)
-    in_neg = k <= F.col("_cneg")
-    in_fin = k <= F.col("_cneg") + F.col("_cfin")
-    in_pos = k <= F.col("_cneg") + F.col("_cfin") + F.col("_cpos")
-
-    def band(finite_value: str):
-        return (
-            F.when(in_neg, F.lit(float("-inf")))
-            .when(in_fin, F.col(finite_value))
-            .when(in_pos, F.lit(float("inf")))
-            .otherwise(F.lit(float("nan")))
+    column, kind = _typed(df, value)
+    v, lo, hi, k = (F.col(c) for c in ("_v", "_lo", "_hi", "_k"))
+    values = df.select(*keys, column.alias("_v")).filter(v.isNotNull())
+    data, state = values, None
+    middle = F.ceil(F.col("_n") / 2)
+    none = F.lit(None).cast(kind)
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        infinity = F.lit(float("inf")).cast(kind)
+        finite = ~F.isnan(v) & (F.abs(v) < infinity)
+        data = values.filter(finite)
+        stats = values.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.count_if(v == -infinity).alias("_c0"),
+            F.count_if(finite).alias("_c1"),
+            F.count_if(v == infinity).alias("_c2"),
         )
-
-    state = stats.select(
-        *keys,
-        "_n",
-        band("_flo").alias("_lo"),
-        band("_fhi").alias("_hi"),
-        F.when(~in_neg & in_fin, k - F.col("_cneg")).otherwise(F.lit(1)).alias("_k"),
-        F.when(~in_neg & in_fin, F.col("_cfin")).otherwise(F.lit(1)).alias("_m"),
-    )
+        c0, c1, c2 = F.col("_c0"), F.col("_c1"), F.col("_c2")
+        found = (
+            F.when(middle <= c0, -infinity)
+            .when(middle <= c0 + c1, none)
+            .when(middle <= c0 + c1 + c2, infinity)
+            .otherwise(F.lit(float("nan")).cast(kind))
+        )
+        state = stats.select(*keys, "_n", (middle - c0).alias("_k"), none.alias("_lo"), none.alias("_hi"), found.alias("_ans"))
+    else:
+        stats = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        state = stats.select(*keys, "_n", middle.alias("_k"), none.alias("_lo"), none.alias("_hi"), none.alias("_ans"))
     state = materialize(state, "median-state")
-    done = (F.col("_lo") == F.col("_hi")) | (F.col("_m") <= exact_rows)
+    # one row a group, now and in every pass; a pass carries a sketch answer of len(_RANKS) doubles as well
+    small = measured_bytes(state) * 2 * len(_RANKS) <= max_broadcast_bytes
+
     while True:
-        active = state.filter(~done)
-        if active.isEmpty():
+        open_ = state.filter(F.col("_ans").isNull())
+        if open_.isEmpty():
             break
-        ranged = _join_state(data, active, keys, ["_lo", "_hi"], max_broadcast_rows).filter(
-            F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        inside = (lo.isNull() | (v > lo)) & (hi.isNull() | (v < hi))
+        rows = _attach(data, open_.select(*keys, "_lo", "_hi"), keys, small).filter(inside)
+        # integers and decimals are sketched relative to the interval's lower end: a
+        # double then tells neighbours apart once the interval is narrow
+        base = F.coalesce(lo, F.lit(0)).cast("decimal(38,0)") if not isinstance(kind, T.FractionalType) else None
+        x = v if base is None else v.cast("decimal(38,0)") - base
+        sketch = rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_m"),
+            F.min(v).alias("_min"),
+            F.max(v).alias("_max"),
+            F.percentile_approx(x.cast("double"), _RANKS, accuracy).alias("_q"),
         )
-        bucket = F.least(
-            F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(buckets)),
-            F.lit(buckets - 1),
-        ).cast("int")
-        hist = ranged.groupBy(*keys, bucket.alias("_b")).agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")
-        )
-        # at most `buckets` rows per group reach this window
-        cum = F.sum("_c").over(
-            Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        sketch = _attach(sketch, open_.select(*keys, "_k", "_lo"), keys, small)
+
+        # the last asked rank below k and the first above it
+        ranks = F.array(*[F.lit(r) for r in _RANKS])
+        below = F.size(F.filter(ranks, lambda r: r * F.col("_m") < k - F.col("_m") / accuracy))
+        above = F.size(F.filter(ranks, lambda r: r * F.col("_m") < k + F.col("_m") / accuracy)) + 1
+
+        def split(at: Column, up: bool) -> Column:
+            q = F.element_at("_q", F.greatest(F.lit(1), F.least(at, F.lit(len(_RANKS)))))
+            if base is not None:
+                q = (F.ceil(q) if up else F.floor(q)).cast("decimal(38,0)") + base
+            return F.greatest(F.col("_min"), F.least(F.col("_max"), q.try_cast(kind)))
+
+        splits = sketch.select(*keys, split(below, False).alias("_a"), split(above, True).alias("_b"))
+        a, b = F.col("_a"), F.col("_b")
+        both = _attach(rows.drop("_lo", "_hi"), splits, keys, small)
+        counts = both.groupBy(*keys, "_a", "_b").agg(
+            F.count_if(v < a).alias("_c0"),
+            F.count_if(v == a).alias("_c1"),
+            F.count_if((v > a) & (v < b)).alias("_c2"),
+            F.count_if((v == b) & (b > a)).alias("_c3"),
         )
-        located = _join_state(
-            hist.withColumn("_cum", cum), active, keys, ["_n", "_k"], max_broadcast_rows
-        ).filter((F.col("_cum") - F.col("_c") < F.col("_k")) & (F.col("_cum") >= F.col("_k")))
-        narrowed = located.select(
+        c = _attach(counts, open_.select(*keys, "_n", "_k", "_lo", "_hi"), keys, small)
+        e0 = F.col("_c0")
+        e1 = e0 + F.col("_c1")
+        e2 = e1 + F.col("_c2")
+        e3 = e2 + F.col("_c3")
+        stepped = c.select(
             *keys,
             "_n",
-            F.col("_bmin").alias("_lo"),
-            F.col("_bmax").alias("_hi"),
-            (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_k"),
-            F.col("_c").alias("_m"),
+            F.when(k <= e0, k).when(k <= e2, k - e1).otherwise(k - e3).alias("_k"),
+            F.when(k <= e0, lo).when(k <= e2, a).otherwise(b).alias("_lo"),
+            F.when(k <= e0, a).when(k <= e2, b).otherwise(hi).alias("_hi"),
+            F.when((k > e0) & (k <= e1), a).when((k > e2) & (k <= e3), b).otherwise(none).alias("_ans"),
         )
-        state = materialize(state.filter(done).unionByName(narrowed), "median-state")
-
-    single = state.filter(F.col("_lo") == F.col("_hi")).select(*keys, F.col("_lo").alias(name), "_n")
-    rest = state.filter(F.col("_lo") != F.col("_hi"))
-    ranked = _join_state(data, rest, keys, ["_lo", "_hi", "_k", "_n"], max_broadcast_rows).filter(
-        F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    )
-    # at most `exact_rows` rows per group reach this window
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))
-    picked = ranked.withColumn("_rn", rn).filter(F.col("_rn") == F.col("_k")).select(
-        *keys, F.col("_v").alias(name), "_n"
-    )
-    out = single.unionByName(picked)
-    if count_name:
-        return out.withColumnRenamed("_n", count_name)
-    return out.drop("_n")
+        state = materialize(state.filter(F.col("_ans").isNotNull()).unionByName(stepped), "median-state")
+
+    out = state.select(*keys, F.col("_ans").alias(name), "_n")
+    return out.withColumnRenamed("_n", count_name) if count_name else out.drop("_n")

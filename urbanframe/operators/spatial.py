@@ -11,23 +11,22 @@ product, but the product is never built:
    monotonically with the great-circle distance, so a 3-D grid of cell size ``h``
    blocks exactly: any site within chord ``h`` of a point lies in one of the 27
    cells around the point's cell.  No special case at poles or the date line.
-3. Level by level, each site is copied into the 27 cells around its own and the
-   points are equi-joined to them on the cell id (a hash/merge/broadcast join,
-   never a nested loop).  Only pairs with chord <= h are kept (about pi per
-   point): a farther site can never be proven at this level.  Per id the best
-   candidate is ``min(struct(distance, label rank))``.  If its chord,
-   2 sin(d / 2R), is <= h with a relative margin far above floating-point error,
-   every site that could beat or tie it was kept, so the id is final.  Other ids
-   are searched again at a coarser level (as coarse as keeps that pass's work
-   within twice the first pass's candidate volume).  At
-   ``h >= 4`` (twice the sphere's diameter) every site is a candidate, so the
-   search always ends with exact answers.
-4. Each pass's per-id result is written as Parquet to the shared checkpoint folder,
-   which cuts the lineage between passes and survives executor loss.
-
-The starting ``h`` follows the site density (about one site per cell), then is
-halved while the densest cell holds more than ``max_sites_per_cell`` sites, so a
-hot spot of sites does not make every nearby point meet all of them.
+3. Near pass.  Each site is copied into the 27 cells around its own and the points
+   are equi-joined to them on the cell id.  Only pairs with chord <= h are kept.
+   An id whose best chord is provably within ``h`` is final.  ``h`` is about one
+   site per cell, halved while the densest cell holds more than
+   ``max_sites_per_cell``, so a dense patch of sites costs its own neighbourhood.
+4. Far pass, for all ids left open at once.  Candidates are decided per occupied
+   cell of open points, not per point: from the whole sphere down a pyramid of
+   occupied site cells, a site cell stays a candidate of a point cell only if its
+   least possible distance is no more than the smallest greatest distance among
+   the point cell's candidates (on tight bounding boxes).  Each open point then
+   meets its cell's short list of sites.  The bound keeps every site that can be
+   nearest to any point of the cell, ties included, so the result is the argmin.
+
+The points' source is read twice at most: once for the near pass, once to write
+the open points.  What each pass finds is written as Parquet to the shared
+checkpoint folder, which cuts the lineage and survives executor loss.
 """
 
 from __future__ import annotations
@@ -36,17 +35,19 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urbanframe.functions.scalars import EARTH_RADIUS_KM, haversine_sql, to_double, unit_vector
-from urbanframe.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, JOIN_STRATEGIES, with_strategy
+from urbanframe.operators.joins import DEFAULT_MAX_BROADCAST_BYTES, JOIN_STRATEGIES, with_strategy
 from urbanframe.session import materialize
 
-# Relative slack on the "chord <= h" proof: distances are computed to ~1e-15, so
-# 1e-9 keeps the proof sound without any practical cost.
-PROOF_MARGIN = 1e-9
+# Slack of every distance comparison: coordinates of unit vectors are exact to about
+# 1e-15, so a relative 1e-9 plus an absolute 1e-13 keeps the proofs sound.
+RELATIVE_MARGIN, ABSOLUTE_MARGIN = 1e-9, 1e-13
 MIN_CELL = 1e-7  # unit-sphere chord, about 0.6 m on Earth
 MAX_CELL = 4.0  # larger than the sphere's diameter: every site is a candidate
-DEFAULT_MAX_SITES_PER_CELL = 256
+DEFAULT_MAX_SITES_PER_CELL = 12
+MAX_PYRAMID_LEVEL = 20  # leaf cells of 4 / 2**20 of the unit sphere, about 24 m
 
 
 def _offsets() -> Column:
@@ -119,12 +120,12 @@ def _densest_cell(sites: DataFrame, h: float) -> int:
 
 def initial_cell_size(
     sites: DataFrame, max_sites_per_cell: int = DEFAULT_MAX_SITES_PER_CELL
-) -> tuple[float, int, list[tuple[float, float]]]:
-    """(cell size, distinct site positions, sites' bounding box per axis).
+) -> tuple[float, int, float, float]:
+    """(cell size of the near pass, distinct site positions, cell size of the average density, extent).
 
-    One aggregation gives the count and the box; the cell size is about one site
-    per cell over the box's largest face, then halved while the densest cell holds
-    more than ``max_sites_per_cell`` sites.
+    One aggregation gives the count and the bounding box; the average density is
+    one site per cell over the box's largest face.  The near pass halves that while
+    the densest cell holds more than ``max_sites_per_cell`` sites.
     """
     axes = ("_sx", "_sy", "_sz")
     stats = sites.agg(
@@ -134,32 +135,13 @@ def initial_cell_size(
     ).first()
     n = int(stats["n"])
     if n == 0:
-        return MAX_CELL, 0, []
-    box = [(stats[f"lo{c}"], stats[f"hi{c}"]) for c in axes]
-    extents = sorted((hi - lo for lo, hi in box), reverse=True)
+        return MAX_CELL, 0, MAX_CELL, MAX_CELL
+    extents = sorted((stats[f"hi{c}"] - stats[f"lo{c}"] for c in axes), reverse=True)
     area = max(extents[0] * extents[1], MIN_CELL * MIN_CELL)
-    h = min(max(math.sqrt(area / n), MIN_CELL), MAX_CELL)
+    spread = h = min(max(math.sqrt(area / n), MIN_CELL), MAX_CELL)
     while n > max_sites_per_cell and h > MIN_CELL and _densest_cell(sites, h) > max_sites_per_cell:
         h = max(h / 2, MIN_CELL)
-    return h, n, box
-
-
-def _first_useful_level_sql(box: list[tuple[float, float]], h0: float) -> str:
-    """SQL text: the smallest level whose cell size reaches the point's chord
-    distance to the sites' bounding box.
-
-    No site is nearer than that distance, so every smaller level is certain to
-    give the point no candidate at all.
-    """
-    vec = (
-        "cos(radians(_lat)) * cos(radians(_lon))",
-        "cos(radians(_lat)) * sin(radians(_lon))",
-        "sin(radians(_lat))",
-    )
-    gap = "sqrt(" + " + ".join(
-        f"pow(greatest(0.0D, {lo!r}D - ({v}), ({v}) - {hi!r}D), 2)" for v, (lo, hi) in zip(vec, box)
-    ) + ")"
-    return f"CASE WHEN {gap} > {h0!r}D THEN CAST(ceil(log2({gap} / {h0!r}D)) AS INT) ELSE 0 END"
+    return h, n, spread, extents[0]
 
 
 def _site_cells(sites: DataFrame, h: float) -> DataFrame:
@@ -174,47 +156,39 @@ def _site_cells(sites: DataFrame, h: float) -> DataFrame:
     )
 
 
-def _best_per_id(points: DataFrame, cells: DataFrame, h: float, useful_level: str | None = None) -> DataFrame:
-    """Per id: best candidate ``(distance_km, rank)`` within chord ``h``, or NULL.
+_UNIT = (
+    "cos(radians(_lat)) * cos(radians(_lon)) AS _px",
+    "cos(radians(_lat)) * sin(radians(_lon)) AS _py",
+    "sin(radians(_lat)) AS _pz",
+)
+
+
+def _cell_sql(prefix: str, h: float, names: tuple[str, str, str]) -> list[str]:
+    return [f"CAST(floor({prefix}{axis} / {h!r}D) AS BIGINT) AS {name}" for axis, name in zip("xyz", names)]
 
-    Only pairs with chord <= h are kept: a farther site can never be a proven
-    answer at this cell size, and dropping it before the aggregation keeps about
-    pi candidates per point instead of 27 cells' worth.
-    ``min(struct(distance, rank))`` picks the smallest distance and, on an exact
-    tie, the smallest label; it is reduced map-side before the shuffle.  Every id
-    of ``points`` appears in the result, with NULL when it had no candidate.  With
-    ``useful_level`` it also carries ``_g``: the smallest useful level over the
-    id's points that had no candidate (NULL when every point had one).
 
-    Expressions are SQL text: this plan is rebuilt on every pass.
+def _best_near(points: DataFrame, cells: DataFrame, h: float) -> DataFrame:
+    """Per id: best candidate ``(distance_km, rank)`` within chord ``h``, or NULL.
+
+    A farther site can never be a proven answer at this cell size; dropping it
+    before the aggregation keeps few candidates per point.  ``min(struct(distance,
+    rank))`` picks the smallest distance and, on an exact tie, the smallest label;
+    it is reduced map-side before the shuffle.
     """
-    keyed = points.selectExpr(
-        "_id", "_lat", "_lon",
-        "cos(radians(_lat)) * cos(radians(_lon)) AS _px",
-        "cos(radians(_lat)) * sin(radians(_lon)) AS _py",
-        "sin(radians(_lat)) AS _pz",
-    ).selectExpr(
-        "*",
-        f"CAST(floor(_px / {h!r}D) AS BIGINT) AS _cx",
-        f"CAST(floor(_py / {h!r}D) AS BIGINT) AS _cy",
-        f"CAST(floor(_pz / {h!r}D) AS BIGINT) AS _cz",
-    )
+    keyed = points.selectExpr("_id", "_lat", "_lon", *_UNIT).selectExpr("*", *_cell_sql("_p", h, ("_cx", "_cy", "_cz")))
     # equi-keys (cell) plus the chord test in one left outer join: a point without
     # any site within chord h keeps a single row with NULL site columns
     within = F.expr(
         "_cx = _scx AND _cy = _scy AND _cz = _scz"
         f" AND sqrt(pow(_px - _sx, 2) + pow(_py - _sy, 2) + pow(_pz - _sz, 2)) <= {h!r}D"
     )
-    best = (
-        f"CASE WHEN _slat IS NOT NULL THEN named_struct('distance_km', "
-        f"{haversine_sql('_lat', '_lon', '_slat', '_slon')}, 'rank', _rank) END AS _b"
-    )
-    if useful_level is None:
-        return keyed.join(cells, within, "left").selectExpr("_id", best).groupBy("_id").agg(F.min("_b").alias("_b"))
-    # evaluated only for points without any candidate
-    useful = f"CASE WHEN _slat IS NULL THEN {useful_level} END AS _g"
-    pairs = keyed.join(cells, within, "left").selectExpr("_id", useful, best)
-    return pairs.groupBy("_id").agg(F.min("_b").alias("_b"), F.min("_g").alias("_g"))
+    pairs = keyed.join(cells, within, "left").selectExpr("_id", f"CASE WHEN _slat IS NOT NULL THEN {_CANDIDATE} END AS _b")
+    return pairs.groupBy("_id").agg(F.min("_b").alias("_b"))
+
+
+_CANDIDATE = (
+    f"named_struct('distance_km', {haversine_sql('_lat', '_lon', '_slat', '_slon')}, 'rank', _rank)"
+)
 
 
 def _chord_of(distance_km: Column) -> Column:
@@ -222,22 +196,74 @@ def _chord_of(distance_km: Column) -> Column:
     return F.lit(2.0) * F.sin(distance_km / F.lit(2.0 * EARTH_RADIUS_KM))
 
 
-def _next_level(level: int, top: int, n_open: int, n_sites: int, budget: float) -> int:
-    """Coarsest level above ``level`` whose expected candidate pairs fit ``budget``.
+def _site_pyramid(sites: DataFrame, levels: list[int]) -> DataFrame:
+    """Occupied site cells of ``levels`` (cell size ``4 / 2**level``) with tight boxes.
 
-    At level L a point meets about pi * 4**L sites (cell size ``h0 * 2**L`` with
-    about one site per base cell), never more than all of them.  Jumping several
-    levels at once saves passes for the few ids left open, while the work of a
-    later pass stays within twice the first pass's candidate volume; at least one
-    level is always climbed.
+    ``node`` names a cell as text, ``parent`` the cell two levels up (first level: ``root``).
     """
-    best = level + 1
-    for cand in range(level + 2, top + 1):
-        if n_open * min(n_sites, math.pi * 4.0**cand) <= budget:
-            best = cand
-        else:
-            break
-    return min(best, top)
+
+    def name(level: str) -> str:
+        parts = ", ':', ".join(f"CAST(floor(_s{axis} / (4.0D / pow(2.0D, {level}))) AS BIGINT)" for axis in "xyz")
+        return f"concat({level}, '/', {parts})"
+
+    each = sites.selectExpr("_sx", "_sy", "_sz", f"explode(array({', '.join(map(str, levels))})) AS level")
+    named = each.selectExpr(
+        "*", f"{name('level')} AS node", f"CASE WHEN level = {levels[0]} THEN 'root' ELSE {name('(level - 2)')} END AS parent"
+    )
+    boxes = [f(f"_s{axis}").alias(f"_{kind}{axis}") for axis in "xyz" for kind, f in (("lo", F.min), ("hi", F.max))]
+    return named.groupBy("level", "node", "parent").agg(*boxes)
+
+
+_SITE_BOX = [f"_{k}{a}" for a in "xyz" for k in ("lo", "hi")]
+
+
+def _gaps(lo: str, hi: str) -> tuple[str, str]:
+    """SQL text of the least and the greatest chord between the point cell's box and a box."""
+    least = [f"pow(greatest(0.0D, {lo}{a} - _phi{a}, _plo{a} - {hi}{a}), 2)" for a in "xyz"]
+    most = [f"pow(greatest({hi}{a} - _plo{a}, _phi{a} - {lo}{a}), 2)" for a in "xyz"]
+    return f"sqrt({' + '.join(least)})", f"sqrt({' + '.join(most)})"
+
+
+_POINT_BOX = [f"_p{k}{a}" for a in "xyz" for k in ("lo", "hi")]
+
+
+def _pruned(state: DataFrame, lo: str, hi: str, keep: list[str]) -> DataFrame:
+    """Keep a point cell's candidates that can hold the nearest site of one of its points."""
+    least, most = _gaps(lo, hi)
+    rows = state.selectExpr(*keep, f"{least} AS _least", f"min({most}) OVER (PARTITION BY _pc) AS _bound")
+    return rows.where(f"_least <= _bound * {1 + RELATIVE_MARGIN!r}D + {ABSOLUTE_MARGIN!r}D")
+
+
+def _best_far(
+    points: DataFrame, sites: DataFrame, n_sites: int, h: float, extent: float, max_broadcast_bytes: int
+) -> DataFrame:
+    """Per id of the open ``points``: its best ``(distance_km, rank)`` over all sites."""
+    keyed = points.selectExpr("_id", "_lat", "_lon", *_UNIT)
+    cell = " , ':', ".join(f"CAST(floor(_p{a} / {h!r}D) AS BIGINT)" for a in "xyz")
+    keyed = keyed.withColumn("_pc", F.expr(f"concat({cell})"))
+    boxes = [f(f"_p{a}").alias(f"_p{k}{a}") for a in "xyz" for k, f in (("lo", F.min), ("hi", F.max))]
+    state = keyed.groupBy("_pc").agg(*boxes).withColumn("node", F.lit("root"))
+    last = min(MAX_PYRAMID_LEVEL, max(0, math.ceil(math.log2(MAX_CELL / h))))
+    # cells at least as wide as all sites together: at most two along each axis
+    first = min(last, max(0, math.floor(math.log2(MAX_CELL / max(extent, MIN_CELL)))))
+    levels = list(range(last, first - 1, -2))[::-1]  # every second level: fewer, wider steps
+    pyramid = materialize(_site_pyramid(sites, levels), "site-pyramid")
+    small = n_sites * len(levels) * _PYRAMID_BYTES <= max_broadcast_bytes
+    for step, level in enumerate(levels):
+        below = pyramid.where(f"level = {level}").selectExpr("node AS child", "parent", *_SITE_BOX)
+        # at most 64 cells in the first level, and 64 for each of the level above
+        below = F.broadcast(below) if small or step == 0 else below.hint("merge")
+        state = state.join(below, F.col("node") == F.col("parent"))
+        state = _pruned(state, "_lo", "_hi", ["_pc", *_POINT_BOX, "child AS node"])
+        if not small and step % 2:
+            state = materialize(state, "nearest-cells")
+    leaf = ", ':', ".join(f"CAST(floor(_s{a} / {MAX_CELL / 2.0**last!r}D) AS BIGINT)" for a in "xyz")
+    placed = sites.selectExpr("_rank", "_slat", "_slon", "_sx", "_sy", "_sz", f"concat({last}, '/', {leaf}) AS leaf")
+    placed = F.broadcast(placed) if small else placed.hint("merge")
+    state = state.join(placed, F.col("node") == F.col("leaf"))
+    lists = _pruned(state, "_s", "_s", ["_pc", "_rank", "_slat", "_slon"])
+    pairs = keyed.select("_id", "_lat", "_lon", "_pc").join(lists, "_pc").selectExpr("_id", f"{_CANDIDATE} AS _b")
+    return pairs.groupBy("_id").agg(F.min("_b").alias("_b"))
 
 
 def nearest_site(
@@ -250,102 +276,58 @@ def nearest_site(
     site_lat: str,
     site_lon: str,
     strategy: str = "default",
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
     max_sites_per_cell: int = DEFAULT_MAX_SITES_PER_CELL,
 ) -> DataFrame:
     """Per point id: ``id_col, distance_km, <site_label>`` of its nearest site.
 
-    Pass 0 searches every id at the base cell size; ids not proven there are
-    searched again at a coarser cell size, and so on, all open ids of a pass
-    together (see :func:`_next_level` for how far a pass climbs).  Each pass's
-    result is written to the shared checkpoint folder.
-
     ``strategy`` picks the physical join between points and the cell-keyed sites
     (see :mod:`urbanframe.operators.joins`).  ``default`` and ``broadcast``
-    broadcast the sites only when their 27 copies are proven to fit
-    ``max_broadcast_rows`` (from the exact site count) and sort-merge join
-    otherwise; ``merge`` and ``shuffle_hash`` always shuffle both sides.
+    broadcast the sites only when their 27 copies fit ``max_broadcast_bytes`` (from
+    the exact site count and fixed row width) and sort-merge join otherwise;
+    ``merge`` and ``shuffle_hash`` always shuffle both sides.
     """
     if strategy not in JOIN_STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; choose one of {JOIN_STRATEGIES}")
     spark = points.sparkSession
     site_pos = materialize(clean_sites(sites, site_label, site_lat, site_lon), "nearest-sites")
     clean = clean_points(points, id_col, lat, lon)
-    h0, n_sites, box = initial_cell_size(site_pos, max_sites_per_cell)
-    useful_level = _first_useful_level_sql(box, h0) if box else "0"
-    top = max(0, math.ceil(math.log2(MAX_CELL / h0)))  # at this level every site is a candidate
-    finals: list[DataFrame] = []
-    remaining = clean
-    level = 0
-    budget = None
-    while n_sites > 0:
-        h = h0 * 2.0**level  # an exact power-of-two scaling of the base size
-        cells = _site_cells(site_pos, h)
-        # The site count is known exactly, so the broadcast decision is made on a
-        # proven size (27 copies per site), not on Catalyst's estimate, which does
-        # not see the 27-fold copy made by the generator.
-        fits = 27 * n_sites <= max_broadcast_rows
-        if strategy in ("default", "broadcast") and fits:
-            cells = F.broadcast(cells)
-        elif strategy in ("default", "broadcast"):
-            cells = with_strategy(cells, "merge")
-        else:
-            cells = with_strategy(cells, strategy)
-        # pass 0 (all points) skips the box distance; later passes (open points only)
-        # compute it so that points far from every site can jump ahead
-        best = materialize(
-            _best_per_id(remaining, cells, h, useful_level if finals else None), "nearest-best"
-        )
-        proven = _chord_of(F.col("_b.distance_km")) <= F.lit(h * (1.0 - PROOF_MARGIN))
-        finals.append(
-            best.filter(proven).select(
-                F.col("_id").alias(id_col), F.col("_b.distance_km").alias("distance_km"), F.col("_b.rank").alias("_rank")
-            )
-        )
-        # ids not proven at this cell size (including ids without any candidate)
-        # are searched again, all together, at a coarser one
-        is_open = F.col("_b").isNull() | ~proven
-        unproven = best.filter(is_open).select("_id")
-        counts = best.agg(
-            F.count(F.lit(1)).alias("ids"),
-            F.count_if(is_open).alias("open"),
-            (F.min(F.when(is_open, F.coalesce(F.col("_g"), F.lit(0)))) if "_g" in best.columns else F.lit(0)).alias(
-                "useful"
-            ),
-        ).first()
-        n_open = counts["open"]
-        if budget is None:
-            # twice the candidate pairs of pass 0 (about pi per id at the base size);
-            # the estimate overshoots near the edge of the sites, where half of a
-            # point's neighbourhood is empty
-            budget = 2.0 * math.pi * max(counts["ids"], 1)
-        if n_open == 0:
-            break
-        if level >= top:
-            raise RuntimeError("nearest_site: ids left unproven at the level covering every site")
-        # levels below the first useful one of every open id are certainly empty:
-        # skip them (same candidate work, fewer passes for points far from all sites)
-        level = max(_next_level(level, top, n_open, n_sites, budget), min(int(counts["useful"] or 0), top))
-        open_ids = unproven.select(F.col("_id").alias("_oid"))  # a filter of the pass just written
-        if n_open <= max_broadcast_rows:
-            open_ids = F.broadcast(open_ids)
-        # NULL-safe: points without an id form one group, as in the grouping above
-        remaining = clean.join(open_ids, clean["_id"].eqNullSafe(open_ids["_oid"]), "left_semi")
-    if not finals:
+    h, n_sites, spread, extent = initial_cell_size(site_pos, max_sites_per_cell)
+    if n_sites == 0:
         return spark.createDataFrame(
             [], points.select(F.col(id_col)).schema.add("distance_km", "double").add(
                 site_label, sites.schema[site_label].dataType
             )
         )
-    out = finals[0]
-    for part in finals[1:]:
-        out = out.unionByName(part)
+    cells = _site_cells(site_pos, h)
+    # Catalyst's estimate does not see the 27-fold copy made by the generator
+    fits = 27 * n_sites * _SITE_CELL_BYTES <= max_broadcast_bytes
+    if strategy in ("default", "broadcast"):
+        cells = F.broadcast(cells) if fits else with_strategy(cells, "merge")
+    else:
+        cells = with_strategy(cells, strategy)
+    near = materialize(_best_near(clean, cells, h), "nearest-best")
+    proven = F.col("_b").isNotNull() & (
+        _chord_of(F.col("_b.distance_km")) <= F.lit(h * (1 - RELATIVE_MARGIN) - ABSOLUTE_MARGIN)
+    )
+    best = near.filter(proven)
+    n_open = near.filter(~proven).count()
+    if n_open:
+        open_ids = near.filter(~proven).select(F.col("_id").alias("_oid"))
+        if isinstance(near.schema["_id"].dataType, T.NumericType) and n_open * 24 <= max_broadcast_bytes:
+            open_ids = F.broadcast(open_ids)
+        # NULL-safe: points without an id form one group, as in the grouping above
+        rest = materialize(clean.join(open_ids, clean["_id"].eqNullSafe(open_ids["_oid"]), "left_semi"), "open-points")
+        best = best.unionByName(_best_far(rest, site_pos, n_sites, spread, extent, max_broadcast_bytes))
+    out = best.select(F.col("_id").alias(id_col), F.col("_b.distance_km").alias("distance_km"), F.col("_b.rank").alias("_rank"))
     labels = site_pos.select("_rank", F.col("_label").alias(site_label))
-    if 0 < n_sites <= max_broadcast_rows:
-        labels = F.broadcast(labels)
     return out.join(labels, "_rank").drop("_rank")
 
 
+_PYRAMID_BYTES = 200  # two cell names of at most 70 characters and a box
+_SITE_CELL_BYTES = 80  # rank, two coordinates, three vector parts, three cell numbers, row header
+
+
 def nearest_site_summary(nearest: DataFrame, site_label: str, digits: int = 3) -> DataFrame:
     """Per site: mean distance of the ids assigned to it and their number (``#``)."""
     return (

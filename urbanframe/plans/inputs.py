@@ -115,3 +115,44 @@ def nation_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat = F.lit(33.72) + ((k * 7) % 25) / F.lit(25.0) * F.lit(0.60)
     lon = F.lit(-118.60) + ((k * 11) % 25) / F.lit(25.0) * F.lit(0.45)
     return n.select(F.col("n_name").alias("DIVISION"), lat.alias("Y"), lon.alias("X"))
+
+
+def hostile_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> crimes whose time text is over-long, signed, blank, padded or no number."""
+    ev = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    odd = {0: "3000000000", 1: "99999999999", 2: "-5", 3: "noon", 4: "", 5: "  930 "}
+    text = F.lpad(((k * 37) % 2500).cast("string"), 4, "0")
+    for rest, value in odd.items():
+        text = F.when(k % 7 == rest, F.lit(value)).otherwise(text)
+    return ev.select(F.col("event_type").alias("Premis Desc"), text.alias("TIME OCC"))
+
+
+def hostile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders -> ``key`` (NULL for every fifth), ``o_custkey`` and a ``note`` that CSV finds hard."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    odd = {0: 'a "b", c', 1: "one\ntwo\rx", 2: "  blanks  ", 3: 'back\\slash \\n, "end\\', 4: None}
+    note = F.concat("o_orderpriority", F.lit(";"), k.cast("string"))
+    for rest, value in odd.items():
+        note = F.when(k % 6 == rest, F.lit(value)).otherwise(note)
+    return o.select(F.when(k % 5 != 0, k).alias("key"), "o_custkey", note.alias("note"))
+
+
+def wide_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders -> ``g``, ``v``: both ends of the doubles and powers of ten from -300 to 299."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 4
+    power = F.concat(F.lit("1e"), (F.col("o_custkey") % 600 - 300).cast("string")).cast("double")
+    v = F.when(k == 0, F.lit(1.7e308)).when(k == 1, F.lit(-1.7e308)).otherwise(power)
+    return o.select(F.col("o_orderpriority").alias("g"), v.alias("v"))
+
+
+def clustered_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier -> stations, all but every fiftieth inside a patch of 0.03 degrees."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    spread = k % 50 == 0
+    lat = F.lit(33.72) + ((k * 613) % 1009) / F.lit(1009.0) * F.when(spread, F.lit(0.60)).otherwise(F.lit(0.03))
+    lon = F.lit(-118.60) + ((k * 977) % 1013) / F.lit(1013.0) * F.when(spread, F.lit(0.45)).otherwise(F.lit(0.03))
+    return s.select(F.col("s_name").alias("DIVISION"), lat.alias("Y"), lon.alias("X"))

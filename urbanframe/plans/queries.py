@@ -8,15 +8,13 @@ its per-pass results to the shared checkpoint folder).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanframe.functions.scalars import CRIME_TS_FORMAT, parse_money, parse_timestamp, time_of_day, to_long
 from urbanframe.functions.udfs import time_of_day_udf
-from urbanframe.operators.aggregate import share_of_total
-from urbanframe.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, equi_join
+from urbanframe.operators.aggregate import keyed_sums, share_of_total
+from urbanframe.operators.joins import DEFAULT_MAX_BROADCAST_BYTES, equi_join
 from urbanframe.operators.spatial import nearest_site, nearest_site_summary
 from urbanframe.operators.window import top_k_per_group
 
@@ -90,35 +88,25 @@ def top_months_sql(
 ) -> DataFrame:
     """Same result as :func:`top_months`, written as a SQL string over a temp view.
 
-    The year/month keys are computed in a derived table, so GROUP BY never binds to
-    a same-named input column.
+    Column name, format and ``k`` are bound parameters, and the timestamp is parsed
+    once.  The keys get names of their own, so GROUP BY never binds to a same-named
+    input column.
     """
-    view = f"crimes_{uuid.uuid4().hex}"
-    crimes.createOrReplaceTempView(view)
-    quoted = date_col.replace("`", "``")
-    result = crimes.sparkSession.sql(
-        f"""
-        SELECT year, month, crime_total, ranking
-        FROM (
-            SELECT year, month, crime_total,
-                   RANK() OVER (PARTITION BY year ORDER BY crime_total DESC) AS ranking
-            FROM (
-                SELECT year, month, COUNT(*) AS crime_total
-                FROM (
-                    SELECT year(try_to_timestamp(`{quoted}`, '{fmt}')) AS year,
-                           month(try_to_timestamp(`{quoted}`, '{fmt}')) AS month
-                    FROM {view}
-                ) keyed
-                GROUP BY year, month
-            ) monthly
-        ) ranked
-        WHERE ranking <= {int(k)}
-        ORDER BY year, ranking, month
+    return crimes.sparkSession.sql(
         """
+        WITH stamped AS (
+            SELECT try_to_timestamp(IDENTIFIER(:date_col), :fmt) AS ts FROM {crimes}
+        ), monthly AS (
+            SELECT year(ts) AS y, month(ts) AS m, count(*) AS total FROM stamped GROUP BY ALL
+        ), ranked AS (
+            SELECT *, rank() OVER (PARTITION BY y ORDER BY total DESC) AS place FROM monthly
+        )
+        SELECT y AS year, m AS month, total AS crime_total, place AS ranking
+        FROM ranked WHERE place <= :k ORDER BY y, place, m
+        """,
+        args={"date_col": "`" + date_col.replace("`", "``") + "`", "fmt": fmt, "k": int(k)},
+        crimes=crimes,
     )
-    # the result is already analysed against the view's plan; the name is not needed
-    crimes.sparkSession.catalog.dropTempView(view)
-    return result
 
 
 # --------------------------------------------------------------------------- Q3
@@ -132,31 +120,28 @@ def per_capita_income(
     income_zip_col: str = INCOME_ZIP,
     income_col: str = INCOME_VALUE,
     min_income: float | None = None,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Per ZIP: median household income x households / population, rounded to 2.
 
-    Columns ``zipcode, per_capita_income``.  Blocks are summed per (trimmed) ZIP and
-    ZIPs with population <= 0 are dropped; income text such as ``$52,806`` is
+    Columns ``zipcode, per_capita_income``.  Blocks are summed per (trimmed) ZIP;
+    empty ZIPs and ZIPs with population <= 0 are dropped; income text such as ``$52,806`` is
     parsed and unparseable rows dropped (``min_income`` additionally requires
     income > that value).  Duplicate ZIPs in the income table fan out.
     """
-    zip_stats = (
-        blocks.groupBy(F.trim(F.col(zip_col)).alias("zipcode"))
-        .agg(
-            F.sum(to_long(pop_col)).alias("population"),
-            F.coalesce(F.sum(to_long(housing_col)), F.lit(0)).alias("households"),
-        )
-        .filter(F.col("population") > 0)
+    key = F.trim(F.col(zip_col))
+    people = blocks.filter(key != "").select(
+        key.alias("zipcode"), to_long(pop_col).alias("people"), to_long(housing_col).alias("homes")
+    )
+    per_zip = keyed_sums(people, "zipcode", {"people": "people", "homes": "homes"}).filter("people > 0")
+    dollars = parse_money(income_col)
+    wanted = dollars.isNotNull() if min_income is None else dollars > F.lit(float(min_income))
+    offers = income.filter(wanted & (F.trim(F.col(income_zip_col)) != "")).select(
+        F.trim(F.col(income_zip_col)).alias("income_zip"), dollars.alias("dollars")
     )
-    inc = income.select(
-        F.trim(F.col(income_zip_col)).alias("income_zip"), parse_money(income_col).alias("median_income")
-    ).filter(F.col("median_income").isNotNull())
-    if min_income is not None:
-        inc = inc.filter(F.col("median_income") > F.lit(float(min_income)))
-    joined = equi_join(zip_stats, inc, "zipcode", "income_zip", strategy, max_broadcast_rows=max_broadcast_rows)
-    value = F.col("median_income") * F.col("households") / F.col("population")
-    return joined.select("zipcode", F.round(value, 2).alias("per_capita_income")).orderBy("zipcode")
+    matched = equi_join(per_zip, offers, "zipcode", "income_zip", strategy, max_broadcast_bytes=max_broadcast_bytes)
+    per_head = F.col("dollars") * F.coalesce("homes", F.lit(0)) / F.col("people")
+    return matched.select("zipcode", F.round(per_head, 2).alias("per_capita_income")).orderBy("zipcode")
 
 
 # --------------------------------------------------------------------------- Q4
@@ -170,7 +155,7 @@ def nearest_station_summary(
     division: str = STATION_NAME,
     station_lat: str = STATION_LAT,
     station_lon: str = STATION_LON,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Per station division: crimes whose nearest station it is, and their mean distance.
 
@@ -180,6 +165,6 @@ def nearest_station_summary(
     """
     nearest = nearest_site(
         crimes, stations, crime_id, lat, lon, division, station_lat, station_lon,
-        strategy=strategy, max_broadcast_rows=max_broadcast_rows,
+        strategy=strategy, max_broadcast_bytes=max_broadcast_bytes,
     ).withColumnRenamed(division, "division")
     return nearest_site_summary(nearest, "division")

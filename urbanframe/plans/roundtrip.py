@@ -1,63 +1,55 @@
 """Write-and-read-back jobs for the file sources and sinks.
 
-Both write into a fresh folder under the session's shared checkpoint folder
-(``spark.checkpoint.dir``), never a machine-local temporary folder.
+All write into a fresh folder under the session's shared folder for intermediate
+tables (:func:`urbanframe.session.checkpoint_dir`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urbanframe.session import scratch_path
+from urbanframe.session import materialize, scratch_path
 from urbanframe.sources.readers import read_csv, read_geojson_properties, read_lines
-from urbanframe.sources.sinks import write_parquet, write_result, write_tuple_text
+from urbanframe.sources.sinks import convert_csv_to_parquet, write_parquet, write_result, write_tuple_text
+
 
+def _halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two parts that hold every row of ``df`` once, whatever its values.
+
+    The rows are computed once, with their side, and stored; a hash of the whole
+    row (NULLs included) picks the side.
+    """
+    side = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) % 2 == 0
+    stored = materialize(df.withColumn("_first_half", side), "halves")
+    return tuple(stored.filter(F.col("_first_half") == want).drop("_first_half") for want in (True, False))
 
-def csv_parquet_round_trip(spark: SparkSession, df: DataFrame, split_key: str | None = None) -> DataFrame:
+
+def csv_parquet_round_trip(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` -> two CSV folders with different column orders -> Parquet -> typed ``df``.
 
-    The rows are split over the two CSV folders by the parity of ``split_key``
-    (default: first column), so together they hold every row once.  Each folder is
-    read with its own header and the two are matched by column *name*; reading
-    both in one scan would bind the second by position.  The union is converted
-    to Parquet and read back with the original column types.
+    Each folder is read with its own header and the two are matched by column
+    *name*; reading both in one scan would bind the second by position.  The union
+    is converted to Parquet and read back with the original column types.  NULLs,
+    quotes, separators, blanks and line breaks survive.
     """
     cols = df.columns
-    key = split_key or cols[0]
     base = scratch_path(spark, "csv-roundtrip")
-    even, odd = f"{base}/a", f"{base}/b"
-    write_result(df.filter(F.col(key) % 2 == 0).select(*cols), even)
-    write_result(df.filter(F.col(key) % 2 != 0).select(*reversed(cols)), odd)
-    merged = read_csv(spark, even).unionByName(read_csv(spark, odd))
-    write_parquet(merged, f"{base}/parquet")
+    parts = []
+    for name, half, order in zip("ab", _halves(df), (cols, cols[::-1])):
+        write_result(half.select(*[F.col(f"`{c}`") for c in order]), f"{base}/{name}", newlines="escape")
+        parts.append(read_csv(spark, f"{base}/{name}", columns=order, escaped_newlines=True))
+    write_parquet(parts[0].unionByName(parts[1]), f"{base}/parquet")
     back = spark.read.parquet(f"{base}/parquet")
-    return back.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in df.schema.fields])
-
-
-_COLLECTION_HEAD = '{"type": "FeatureCollection", "features": ['
-_COLLECTION_TAIL = "]}"
+    return back.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in df.schema.fields])
 
 
-def _feature_collections(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One FeatureCollection per partition: head line, one feature per line, tail line."""
-    started = False
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        lines = pdf["feature"].astype(str)
-        if started:
-            lines = "," + lines
-        else:
-            lines = pd.concat([pd.Series([_COLLECTION_HEAD]), lines.iloc[:1], "," + lines.iloc[1:]])
-            started = True
-        yield pd.DataFrame({"value": lines.to_numpy()})
-    if started:
-        yield pd.DataFrame({"value": [_COLLECTION_TAIL]})
+def convert_and_count(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` as CSV folders -> one Parquet table -> its row count (``n``)."""
+    out = scratch_path(spark, "converted")
+    n = convert_csv_to_parquet(spark, csv_folders(spark, df, "convert-csv"), out)
+    return spark.createDataFrame([(n,)], "n long")
 
 
 BLOCK_PROPERTIES = T.StructType(
@@ -70,44 +62,41 @@ BLOCK_PROPERTIES = T.StructType(
 
 
 def write_feature_collections(spark: SparkSession, blocks: DataFrame) -> str:
-    """Write blocks as multi-line GeoJSON files, one FeatureCollection per partition.
+    """Write blocks as GeoJSON, one small FeatureCollection per line; returns the folder.
 
-    Returns the folder.  Writing and reading both stay parallel across files.
+    The lines are built with ``to_json`` alone, and a file of such lines is split
+    across tasks when it is read (``layout="lines"``).
     """
     out = scratch_path(spark, "geojson")
-    feature = F.to_json(
-        F.struct(
-            F.lit("Feature").alias("type"),
-            F.struct("ZCTA20", "POP20", "HOUSING20").alias("properties"),
-            F.struct(
-                F.lit("Point").alias("type"), F.array(F.lit(-118.25), F.lit(34.05)).alias("coordinates")
-            ).alias("geometry"),
-        )
+    place = F.struct(F.lit("Point").alias("type"), F.array(F.lit(-118.25), F.lit(34.05)).alias("coordinates"))
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct("ZCTA20", "POP20", "HOUSING20").alias("properties"),
+        place.alias("geometry"),
     )
-    lines = blocks.select(feature.alias("feature")).mapInPandas(_feature_collections, "value string")
-    lines.write.mode("overwrite").text(out)
+    line = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")))
+    blocks.select(line.alias("value")).write.mode("overwrite").text(out)
     return out
 
 
 def geojson_round_trip(spark: SparkSession, blocks: DataFrame) -> DataFrame:
-    """Blocks -> multi-line GeoJSON files -> read back -> population and housing per ZIP."""
-    props = read_geojson_properties(spark, write_feature_collections(spark, blocks), BLOCK_PROPERTIES)
+    """Blocks -> GeoJSON lines -> read back -> population and housing per ZIP."""
+    folder = write_feature_collections(spark, blocks)
+    props = read_geojson_properties(spark, folder, BLOCK_PROPERTIES, layout="lines")
     return props.groupBy(F.col("ZCTA20").alias("zipcode")).agg(
         F.sum("POP20").alias("population"), F.sum("HOUSING20").alias("households")
     )
 
 
-def csv_folders(spark: SparkSession, df: DataFrame, name: str, split_key: str, sep: str = ",") -> list[str]:
-    """Write ``df`` as two CSV folders with headers (rows split by parity of ``split_key``).
+def csv_folders(spark: SparkSession, df: DataFrame, name: str, sep: str = ",") -> list[str]:
+    """Write ``df`` as two CSV folders with headers, like the two period files of the crime data.
 
-    Together the folders hold every row once, like the two period files of the
-    crime data.  Returns the two folder paths.
+    Together the folders hold every row once.  Returns the two folder paths.
     """
     base = scratch_path(spark, name)
-    paths = [f"{base}/even", f"{base}/odd"]
-    parity = F.col(split_key).try_cast("bigint") % 2
-    for path, part in zip(paths, (parity == 0, parity != 0)):
-        df.filter(part).write.mode("overwrite").option("header", "true").option("sep", sep).csv(path)
+    paths = [f"{base}/a", f"{base}/b"]
+    for path, half in zip(paths, _halves(df)):
+        write_result(half, path, sep=sep)
     return paths
 
 

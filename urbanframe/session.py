@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +52,31 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application.
+
+    Functions that run in workers are pickled by reference, so a worker must be
+    able to import the package wherever the driver was started.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(sc._temp_dir) / "urbanframe-package.zip"  # read by the driver alone, which serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(Path(package.name) / f.relative_to(package)))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,17 @@ CSV_OPTIONS = {
 }
 
 
+# line breaks inside a value, as the CSV sink writes them (backslash first)
+ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _restored(name: str) -> Column:
+    """A text column with the sink's escapes undone, left to right in one pass."""
+    c = F.replace(F.col(f"`{name}`"), F.lit("\\\\"), F.lit("\0"))  # a written backslash, set aside
+    c = F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.replace(c, F.lit("\0"), F.lit("\\")).alias(name)
+
+
 def _paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
@@ -42,6 +53,7 @@ def read_csv(
     paths: str | Sequence[str],
     sep: str = ",",
     columns: Sequence[str] | None = None,
+    escaped_newlines: bool = False,
 ) -> DataFrame:
     """Read one or more delimited files with a header into all-string columns.
 
@@ -49,11 +61,13 @@ def read_csv(
     ``enforceSchema=false`` every file's own header is validated against them while
     the scan runs (in the executors, per file), so a later file with reordered
     columns raises instead of silently shifting values.  Values are kept as text;
-    cast them at use sites with the ``try_*`` helpers.
+    cast them at use sites with the ``try_*`` helpers.  ``escaped_newlines`` undoes
+    the escapes of ``write_result(..., newlines="escape")``.
     """
     ps = _paths(paths)
     names = list(columns) if columns is not None else csv_header(spark, ps[0], sep)
-    return spark.read.schema(string_schema(names)).options(**CSV_OPTIONS).option("sep", sep).csv(ps)
+    rows = spark.read.schema(string_schema(names)).options(**CSV_OPTIONS).option("sep", sep).csv(ps)
+    return rows.select(*[_restored(n) for n in names]) if escaped_newlines else rows
 
 
 def read_table(
@@ -90,17 +104,25 @@ def geojson_schema(properties: T.StructType) -> T.StructType:
 
 
 def read_geojson_properties(
-    spark: SparkSession, paths: str | Sequence[str], properties: T.StructType, multi_line: bool = True
+    spark: SparkSession, paths: str | Sequence[str], properties: T.StructType, layout: str = "document"
 ) -> DataFrame:
-    """Read FeatureCollection documents and return one row per feature's properties.
-
-    ``multi_line=True`` reads pretty-printed documents: such a file cannot be split,
-    so each *file* is one task (many files read in parallel).  ``multi_line=False``
-    reads line-delimited collections -- one FeatureCollection per line -- which
-    Spark splits across tasks like any text file.  For a single very large
-    document, convert it once with :func:`urbanframe.sources.sinks.write_parquet`.
+    """One row per feature's properties, from FeatureCollection files of one ``layout``.
+
+    * ``document``: any pretty-printed collection; a file cannot be split, so each
+      *file* is one task;
+    * ``lines``: one FeatureCollection per line, split across tasks like any text;
+    * ``feature_lines``: one large collection that holds each feature on a line of
+      its own (as most converters write it); its lines are split across tasks, and
+      the lines that open and close the collection are skipped.
     """
-    reader = spark.read.schema(geojson_schema(properties)).option("multiLine", "true" if multi_line else "false")
+    if layout == "feature_lines":
+        feature = geojson_schema(properties)["features"].dataType.elementType
+        line = F.regexp_replace(F.trim("value"), r",$", "")
+        rows = read_lines(spark, paths).select(line.alias("line")).filter(F.col("line").rlike(r'^\{.*"properties".*\}$'))
+        return rows.select(F.from_json("line", feature).alias("f")).select("f.properties.*")
+    if layout not in ("document", "lines"):
+        raise ValueError(f"unknown GeoJSON layout {layout!r}")
+    reader = spark.read.schema(geojson_schema(properties)).option("multiLine", str(layout == "document").lower())
     return flatten_features(reader.json(_paths(paths)))
 
 

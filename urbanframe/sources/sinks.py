@@ -4,10 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from urbanframe.sources.readers import read_csv
+from urbanframe.sources.readers import ESCAPES, read_csv
+
+
+def _one_line(df: DataFrame, newlines: str) -> DataFrame:
+    """Text columns made safe for a line-based file.
+
+    ``escape`` writes backslash, line feed and carriage return as ``\\\\``, ``\\n``
+    and ``\\r`` (:func:`read_csv` restores them with ``escaped_newlines=True``);
+    ``refuse`` fails the job on the first line break, before it can split a row.
+    """
+    if newlines not in ("refuse", "escape"):
+        raise ValueError("newlines must be 'refuse' or 'escape'")
+
+    def safe(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        if newlines == "escape":
+            for plain, written in ESCAPES:
+                c = F.replace(c, F.lit(plain), F.lit(written))
+            return c.alias(name)
+        broken = F.contains(c, F.lit("\n")) | F.contains(c, F.lit("\r"))
+        return F.when(broken, F.raise_error(F.lit(f"line break in column {name}"))).otherwise(c).alias(name)
+
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return df.select(*[safe(n) if n in text else F.col(f"`{n}`") for n in df.columns])
 
 
 def write_result(
@@ -16,17 +40,22 @@ def write_result(
     fmt: str = "csv",
     single_file: bool = False,
     mode: str = "overwrite",
+    sep: str = ",",
+    newlines: str = "refuse",
 ) -> None:
     """Write a query result (CSV with header by default).
 
-    ``single_file=True`` coalesces to one task; use it only for small results.
+    CSV keeps quotes, separators and outer blanks; see :func:`_one_line` for line
+    breaks inside values.  ``single_file=True`` coalesces to one task; use it only
+    for small results.
     """
     target = df.coalesce(1) if single_file else df
-    writer = target.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", "true").option("escape", '"').csv(out)
+        writer = _one_line(target, newlines).write.mode(mode).option("header", "true").option("escape", '"')
+        writer = writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+        writer.option("sep", sep).csv(out)
     elif fmt == "parquet":
-        writer.parquet(out)
+        target.write.mode(mode).parquet(out)
     else:
         raise ValueError(f"unsupported format {fmt!r}")
 
