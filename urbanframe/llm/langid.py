@@ -196,7 +196,7 @@ def identify_language(df: DataFrame, id_col: str, text_col: str, net: ByteCnn) -
     return rows.mapInArrow(predict, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_identified(df: DataFrame, text_col: str, net: ByteCnn, least_score: float = 0.5) -> DataFrame:
+def keep_identified(df: DataFrame, text_col: str, net: ByteCnn, least_score: float = 0.35) -> DataFrame:
     """The rows of ``df`` with a determined language of at least ``least_score``; columns unchanged."""
     at = df.columns.index(text_col)
 
