@@ -47,7 +47,7 @@ def list_array(values: np.ndarray, lengths: Iterable[int], kind: pa.DataType) ->
 class BoundedCache(dict):
     """A dictionary that computes missing values and is emptied when it is full."""
 
-    def __init__(self, compute: Callable, limit: int = 300_000):
+    def __init__(self, compute: Callable, limit: int = 1_000_000):
         super().__init__()
         self.compute, self.limit = compute, limit
 
