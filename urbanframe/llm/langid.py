@@ -25,6 +25,7 @@ WIDTHS = (2, 3, 4)
 OVERLAP = max(WIDTHS) - 1
 UNDETERMINED = "und"
 _BLOCK = 256  # windows evaluated at once
+SLACK = 4  # rows ranked per row drawn, when training rows are chosen
 
 
 def windows_of(data: bytes) -> np.ndarray:
@@ -139,10 +140,22 @@ def _gradients(net: ByteCnn, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -
 
 
 def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[bytes, str]]:
-    """At most ``per_language`` windows of each language, one a row, drawn by a hash of the id."""
+    """At most ``per_language`` windows of each language, one a row, drawn by a hash of id and text.
+
+    A share of that hash, from the language's number of rows, keeps about
+    ``SLACK * per_language`` rows of each language before they are ranked, so that
+    no common language is sorted whole.  Fewer than ``per_language`` come of a
+    larger language only if most of its texts are null or empty.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    key = F.xxhash64("id")
+    rows = rows.filter(F.col("lang").isNotNull())
+    counts = rows.groupBy("lang").count().collect()  # one row a language, as the network has outputs
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, SLACK * per_language / r["count"]))])
+    rows = rows.filter(F.col("text").isNotNull() & (F.length("text") > 0))
+    key = F.xxhash64("id", "text")
+    rows = rows.filter(F.pmod(key, F.lit(1 << 30)) < share[F.col("lang")] * F.lit(float(1 << 30)))
     at = F.pmod(key, F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
     drawn = rows.select("lang", key.alias("k"), F.substring(F.col("text"), at, F.lit(WINDOW)).alias("t"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("k", "t"))
