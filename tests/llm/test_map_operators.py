@@ -123,3 +123,11 @@ def test_lm_score_equals_a_direct_computation(spark):
             assert got[i]["target_bits"] == pytest.approx(np.mean(bits, dtype=float), rel=1e-5)
     p = 2.0 ** -losses.target.astype(float).reshape(-1, 16)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+
+
+def test_language_sample_is_bounded_and_full_for_common_and_rare_languages(spark):
+    rows = [(i, f"text number {i}", "common") for i in range(4000)] + [(9000 + i, f"rare {i}", "rare") for i in range(7)]
+    df = spark.createDataFrame(rows + [(9900, None, "rare"), (9901, "x", None)], "doc_id int, text string, lang string")
+    drawn = langid.labelled_sample(df, "doc_id", "text", "lang", per_language=100)
+    assert [sum(lang == g for _, lang in drawn) for g in ("common", "rare")] == [100, 7] and len(set(drawn)) == 107
+    assert drawn == langid.labelled_sample(df.orderBy(F.desc("doc_id")), "doc_id", "text", "lang", per_language=100)
