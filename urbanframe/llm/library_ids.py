@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -27,7 +27,7 @@ _PLAIN = re.compile("[!-~\xa1-į]+")
 
 
 def _pack(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class LibraryEncoder:
@@ -87,9 +87,13 @@ class LibraryEncoder:
 
     # lower-case vocabulary that drops white space
     def _lower_piece(self, piece: str) -> bytes:
-        if _PLAIN.fullmatch(piece):
-            return self._tokens(self.pattern.findall(piece.lower()))
-        return self._whole(piece)
+        if not _PLAIN.fullmatch(piece):
+            return self._whole(piece)
+        tokens = self.pattern.findall(piece.lower())
+        if tokens == [piece]:
+            return self._tokens(tokens)
+        # a plain pre-token is a piece of its own: "Word," shares the entries of "word" and ","
+        return b"".join(map(self.cache.__getitem__, tokens))
 
     def _encode_lower(self, text: str) -> bytes:
         return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))

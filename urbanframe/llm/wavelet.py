@@ -85,9 +85,9 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, current = [], ids.astype(np.uint32)
+        planes, current = [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
-            bit = ((current >> np.uint32(level)) & np.uint32(1)).astype(bool)
+            bit = (current & current.dtype.type(1 << level)) != 0
             planes.append(Plane(np.packbits(bit), len(ids)))
             current = np.concatenate((current[~bit], current[bit]))
         return cls(planes, len(ids))
@@ -103,19 +103,15 @@ class WaveletMatrix:
         return out
 
     def all_ids(self) -> np.ndarray:
-        """Every id in order: the planes are followed for all places at once."""
-        if not self.size:
-            return np.zeros(0, dtype=np.uint32)
-        out, at = np.zeros(self.size, dtype=np.uint32), np.arange(self.size, dtype=np.int32)
-        for plane in self.planes:
-            bits = np.unpackbits(plane.packed, count=self.size)
-            ones = np.cumsum(bits, dtype=np.int32)
-            place = np.arange(self.size, dtype=np.int32)
-            target = np.where(bits, ones + np.int32(plane.zeros - 1), place - ones)
-            out <<= np.uint32(1)
-            out |= bits[at]
-            at = target[at]
-        return out
+        """Every id in order: from the last plane up, each partition is undone, reading in order."""
+        below = np.zeros(self.size, dtype=np.uint32)
+        for level, plane in enumerate(reversed(self.planes)):
+            bit = np.unpackbits(plane.packed, count=self.size).view(bool)
+            out = np.empty_like(below)
+            out[~bit] = below[: plane.zeros]
+            out[bit] = below[plane.zeros :] | np.uint32(1 << level)
+            below = out
+        return below
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
         """Places of ``symbol`` from [lo, hi), in the order below the last plane."""
