@@ -86,7 +86,8 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the documents labelled as good (target) and all others."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    labelled = docs.join(good, "doc_id", "left")
+    # one join strategy at every size: texts are dealt once, and a hot key is split
+    labelled = docs.join(good.hint("merge"), "doc_id", "left")
     losses = train_losses(labelled, "text", F.col("quality") == 1, corpus=docs)
     return score_documents(docs, "doc_id", "text", losses)
 
