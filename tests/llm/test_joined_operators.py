@@ -90,6 +90,33 @@ def test_near_duplicate_classes_against_brute_force(spark):
     assert kept.columns == df.columns and kept.count() == len(groups)
 
 
+def edited(rng, words, share, prefix):
+    """``words`` with a share of them, anywhere, replaced by new ones."""
+    out = list(words)
+    for n, i in enumerate(rng.sample(range(len(out)), int(share * len(out)))):
+        out[i] = f"{prefix}x{n}"
+    return out
+
+
+def test_every_similar_pair_of_a_bucket_is_found(spark):
+    rng = random.Random(11)
+    original = [f"w{i}" for i in range(300)]
+    texts = [original] + [edited(rng, original, rng.uniform(0.10, 0.15), f"v{v}") for v in range(300)]
+    words = [near_duplicates.word_hashes(" ".join(t).encode()) for t in texts]
+    keys = [set(near_duplicates.text_sketches(w).tolist()) for w in words]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(keys[i] & keys[j]) >= near_duplicates.AGREE and label[i] != label[j]:
+                if near_duplicates.similar(words[i], words[j]):
+                    low, high = sorted((label[i], label[j]))
+                    label = [low if x == high else x for x in label]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = near_duplicates.near_duplicate_classes(df, "doc_id", "text").collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(label))
+    assert Counter(label)[0] > 150
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (7, 7)], "a long, b long")
     assert {(r[0], r[1]) for r in components(links).collect()} == {(i, 0) for i in range(21)} | {(100, 100), (101, 100)}
