@@ -117,6 +117,21 @@ def test_every_similar_pair_of_a_bucket_is_found(spark):
     assert Counter(label)[0] > 150
 
 
+@pytest.mark.parametrize("similarity", [0.95, 0.9, 0.85, 0.8])
+@pytest.mark.parametrize("n", [10, 15, 20, 35, 60, 300])
+def test_sketches_reach_the_similarity_that_is_asked_for(n, similarity):
+    rng = random.Random(n)
+    met = 0
+    for trial in range(400):
+        a = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        b = edited(rng, a, 1 - similarity + 1e-9, f"e{trial}")
+        x, y = (near_duplicates.word_hashes(" ".join(t).encode()) for t in (a, b))
+        assert near_duplicates.similar(x, y)
+        both = set(near_duplicates.text_sketches(x).tolist()) & set(near_duplicates.text_sketches(y).tolist())
+        met += len(both) >= near_duplicates.AGREE
+    assert met >= 0.98 * 400
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (7, 7)], "a long, b long")
     assert {(r[0], r[1]) for r in components(links).collect()} == {(i, 0) for i in range(21)} | {(100, 100), (101, 100)}
