@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -125,6 +126,38 @@ def test_lm_score_equals_a_direct_computation(spark):
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
 
 
+def test_word_score_equals_a_direct_computation_over_all_words(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 2000)
+    rng = random.Random(5)
+    vocab = [f"слово{i}" if i % 2 else f"字{i}" for i in range(900)]  # more words and bytes than any class table
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randint(1, 40))), rng.choice([True, False, None])) for i in range(300)]
+    rows += [(900, None, True), (901, " \n", None), rows[0], (None, rows[1][1], False)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, good boolean").repartition(5)
+    got = lm_scoring.score_by_words(df, "doc_id", "text", F.col("good")).collect()
+    one, two = ({True: Counter(), False: Counter()} for _ in range(2))
+    for _, text, good in rows:
+        if words := (text or "").split():
+            one[bool(good)].update([*words, 0])
+            two[bool(good)].update(zip([0, *words], [*words, 0]))
+    kinds = len(one[True] | one[False])
+
+    def bits(words, side):
+        def p(before, w):
+            smooth = lm_scoring.PRIOR * (one[side][w] + 1) / (one[side].total() + kinds)
+            return (two[side][before, w] + smooth) / (one[side][before] + lm_scoring.PRIOR)
+
+        return -sum(np.log2(p(*pair)) for pair in zip([0, *words], words)) / len(words)
+
+    expected = []
+    for i, text, _ in rows:
+        words = (text or "").split()
+        both = [bits(words, side) for side in (True, False)] if words else [None, None]
+        expected.append((str(i), len(words), *(x if x is None else round(x, 6) for x in both)))
+    rounded = [(str(r[0]), r[1], *(x if x is None else round(x, 6) for x in r[2:4])) for r in got]
+    assert sorted(rounded, key=str) == sorted(expected, key=str)
+    assert lm_scoring.score_by_words(df.limit(0), "doc_id", "text", F.col("good")).count() == 0
+
+
 def test_language_sample_is_bounded_and_full_for_common_and_rare_languages(spark):
     rows = [(i, f"text number {i}", "common") for i in range(4000)] + [(9000 + i, f"rare {i}", "rare") for i in range(7)]
     df = spark.createDataFrame(rows + [(9900, None, "rare"), (9901, "x", None)], "doc_id int, text string, lang string")

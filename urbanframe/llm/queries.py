@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from urbanframe.llm.byte_bpe import byte_bpe_decode, byte_bpe_encode
 from urbanframe.llm.langid import identify_language, train_language_model
-from urbanframe.llm.lm_scoring import score_documents, train_losses
+from urbanframe.llm.lm_scoring import score_by_words
 from urbanframe.llm.near_duplicates import near_duplicate_classes
 from urbanframe.llm.neighbours import nearest_neighbours
 from urbanframe.llm.packing import pack_sequences
@@ -88,8 +88,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # one join strategy at every size: texts are dealt once, and a hot key is split
     labelled = docs.join(good.hint("merge"), "doc_id", "left")
-    losses = train_losses(labelled, "text", F.col("quality") == 1, corpus=docs)
-    return score_documents(docs, "doc_id", "text", losses)
+    return score_by_words(labelled, "doc_id", "text", F.col("quality") == 1)
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
