@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanframe.llm.byte_bpe import byte_bpe_decode, byte_bpe_encode
+from urbanframe.llm.conversations import audit_conversations, damaged
 from urbanframe.llm.langid import identify_language, train_language_model
+from urbanframe.llm.lexical import ranked_search
 from urbanframe.llm.lm_scoring import score_by_words
 from urbanframe.llm.near_duplicates import near_duplicate_classes
 from urbanframe.llm.neighbours import nearest_neighbours
@@ -15,6 +17,7 @@ from urbanframe.llm.packing import pack_sequences
 from urbanframe.llm.quality import quality_verdicts
 from urbanframe.llm.substrings import remove_repeated_passages
 from urbanframe.llm.token_counts import count_tokens
+from urbanframe.llm.toxicity import toxicity_scores
 from urbanframe.llm.wavelet import token_shards
 
 
@@ -97,6 +100,33 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by its nearest labelled examples; ``evidence``: their ids, nearest first."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    found = toxicity_scores(docs, "doc_id", "text", labels, "doc_id", "toxic", ~held)
+    return found.select(
+        "doc_id",
+        F.coalesce(held, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.col("evidence.example").alias("evidence"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for every benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return ranked_search(docs, "doc_id", "text", items, "item_id", "text", k=10)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage by checksum."""
+    names = ("conv_id", "turn", "role", "text")
+    rows = damaged(table(spark, sf_dir, "conversations"), *names)
+    return audit_conversations(rows, *names, present=F.col("present"))
+
+
 def queries() -> dict:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -109,6 +139,9 @@ def queries() -> dict:
         "op8_wavelet": op8_wavelet,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_neighbours": op10_neighbours,
+        "op11_toxicity": op11_toxicity,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
