@@ -20,10 +20,8 @@ cost; the order at the first difference therefore holds for every continuation.
 from __future__ import annotations
 
 import hashlib
-import struct
-import tempfile
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,7 +48,7 @@ INITIALS = "sua?"
 TRUNCATED, DOOMED = 4, 8
 
 _PRIME, _BASE = (1 << 61) - 1, 0x9E3779B97F4A7C1
-SPOOL_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 CACHED_ROWS = 64
 
 
@@ -169,49 +167,16 @@ def _insert(trie: AuditTrie, best: list[tuple[int, int] | None]) -> None:
                 changed = True
 
 
-class _Rows:
-    """Role and text of a conversation's rows: in memory, beyond a size in an unnamed file."""
-
-    def __init__(self) -> None:
-        self.held: list[tuple[str, str]] = []
-        self.size, self.file = 0, None
-
-    def append(self, role: str, text: str) -> None:
-        self.held.append((role, text))
-        self.size += len(role) + len(text) + 120
-        if self.size > SPOOL_BYTES:
-            if self.file is None:
-                self.file = tempfile.TemporaryFile()
-            for pair in self.held:
-                for value in pair:
-                    raw = value.encode("utf-8", "surrogatepass")
-                    self.file.write(struct.pack("<Q", len(raw)) + raw)
-            self.held, self.size = [], 0
-
-    def __iter__(self) -> Iterator[tuple[str, str]]:
-        if self.file is not None:
-            self.file.seek(0)
-            while head := self.file.read(8):
-                role = self._value(head)
-                yield role, self._value(self.file.read(8))
-            self.file.close()
-        yield from self.held
-
-    def _value(self, head: bytes) -> str:
-        return self.file.read(struct.unpack("<Q", head)[0]).decode("utf-8", "surrogatepass")
-
-
 class _Conversation:
-    """What is gathered of one conversation while its rows pass."""
+    """What is gathered of one conversation while its rows pass, without their texts."""
 
-    def __init__(self, key, cached) -> None:
-        self.key, self.cached = key, cached
-        self.codes, self.rows, self.seen = bytearray(), _Rows(), set()
+    def __init__(self, key) -> None:
+        self.key, self.codes, self.seen = key, bytearray(), set()
         self.blank = self.duplicate = self.truncated = self.illegal = 0
         self.turns, self.first, self.last = 0, None, None
         self.before: str | None = None
 
-    def add(self, turn: int | None, role: str, text: str) -> None:
+    def add(self, turn: int | None, role: str, mark: bytes, blank: bool, ended: bool) -> None:
         if turn is not None:  # turns rise, so another one than the last is new
             if self.last != turn:
                 self.turns += 1
@@ -221,59 +186,72 @@ class _Conversation:
         if self.before is not None and self.before + initial not in LEGAL_PAIRS:
             self.illegal += 1
         self.before = initial
-        mark = hashlib.blake2b(f"{len(role)}:{role}{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        body = text.rstrip(SPACES)
         code = INITIALS.find(initial) if initial and initial in INITIALS[:3] else 3
-        if not body:
+        if blank:
             self.blank += 1
             code |= DOOMED
-        elif mark in self.seen:
+        elif (role, mark) in self.seen:
             self.duplicate += 1
             code |= DOOMED
-        elif body[-1] not in ENDS:
+        elif not ended:
             self.truncated += 1
             code |= TRUNCATED
-        self.seen.add(mark)
+        self.seen.add((role, mark))
         self.codes.append(code)
-        self.rows.append(role, text)
 
-    def audit(self) -> tuple[int, str]:
+    def summary(self, cached: BoundedCache) -> tuple:
         codes = bytes(self.codes)
-        return self.cached[codes] if len(codes) <= CACHED_ROWS else cheapest_audit(codes)
-
-    def gaps(self) -> int:
-        return 0 if self.first is None else self.last - self.first + 1 - self.turns
-
-    def repaired(self, audit: str) -> Iterator[tuple[str, str]]:
-        """Role and text of the rows after the edits."""
-        state, rows = START, iter(self.rows)
-        for edit in audit:
-            role, text = ("", "") if edit == "I" else next(rows)
-            if edit == "D":
-                continue
-            if edit != "K":
-                role = ROLES[EXPECTED[state]]
-            state = STEP[state, role[:1]]
-            yield role, text
+        cost, audit = cached[codes] if len(codes) <= CACHED_ROWS else cheapest_audit(codes)
+        gaps = 0 if self.first is None else self.last - self.first + 1 - self.turns
+        return self.key, gaps, self.blank, self.duplicate, self.truncated, self.illegal, cost, audit
 
 
-def _conversations(batches: Iterable[pa.RecordBatch]) -> Iterator[_Conversation]:
-    """Conversations of a partition that is sorted by key, turn, role and text."""
+def _audits(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Summaries of a partition's conversations; its rows are in order."""
     cached = BoundedCache(cheapest_audit, 200_000)
     now: _Conversation | None = None
-    for batch in text_slices(batches, "text"):
-        for key, present, turn, role, text in zip(*(c.to_pylist() for c in batch.columns)):
+    for batch in batches:
+        for key, present, turn, role, mark, blank, ended in zip(*(c.to_pylist() for c in batch.columns)):
             if now is None or now.key != key:
                 if now is not None:
-                    yield now
-                now = _Conversation(key, cached)
+                    yield now.summary(cached)
+                now = _Conversation(key)
             if present:
-                now.add(turn, role, text)
+                now.add(turn, role, mark, blank, ended)
     if now is not None:
-        yield now
+        yield now.summary(cached)
+
 
+def _repaired(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(key, audit row or None, place, role, text) as the rows pass behind their audit.
+
+    The audit's own row comes first, with a place of -1.  Nothing but the audit is held.
+    """
+    key, audit, at, state, place = None, "", 0, START, 0
 
-def _in_order(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, present: Column | None) -> DataFrame:
+    def inserts() -> Iterator[tuple]:
+        nonlocal at, state, place
+        while at < len(audit) and audit[at] == "I":
+            role = ROLES[EXPECTED[state]]
+            yield key, None, place, role, ""
+            at, place, state = at + 1, place + 1, STEP[state, role[0]]
+
+    for batch in text_slices(batches, "text"):
+        for k, kind, role, text, summary in zip(*(batch.column(n).to_pylist() for n in ("conv", "kind", "role", "text", "s"))):
+            if kind == 0:
+                key, audit, at, state, place = k, summary["audit"], 0, START, 0
+                yield key, summary, -1, None, None
+                yield from inserts()
+                continue
+            edit, at = audit[at], at + 1
+            if edit != "D":
+                role = role if edit == "K" else ROLES[EXPECTED[state]]
+                yield key, None, place, role, text
+                place, state = place + 1, STEP[state, role[:1]]
+            yield from inserts()
+
+
+def _plain(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, present: Column | None) -> DataFrame:
     kept = F.lit(True) if present is None else F.coalesce(present, F.lit(False))
     rows = df.select(
         F.col(conv_col).alias("conv"),
@@ -282,10 +260,37 @@ def _in_order(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_c
         F.coalesce(F.col(role_col), F.lit(" ")).alias("role"),
         F.when(kept, F.coalesce(F.col(text_col), F.lit(" "))).alias("text"),
     )
-    return rows.repartition("conv").sortWithinPartitions("conv", F.asc_nulls_first("turn"), "role", "text")
+    return rows.withColumn("mark", F.unhex(F.md5("text")))
+
+
+def _ordered(rows: DataFrame, *first: str) -> DataFrame:
+    return rows.repartition("conv").sortWithinPartitions("conv", *first, F.asc_nulls_first("turn"), "role", "mark")
 
 
-_SUMMARY = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+_COUNTS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+
+
+def _summaries(rows: DataFrame) -> DataFrame:
+    """``conv``, the counts and the audit of every conversation; no text travels."""
+    body = F.rtrim(F.col("text"), F.lit(SPACES))
+    flagged = rows.select(
+        "conv", "present", "turn", "role", "mark",
+        (F.length(body) == 0).alias("blank"),
+        F.right(body, F.lit(1)).isin(*ENDS).alias("ended"),
+    )
+    key_type = to_arrow_type(rows.schema["conv"].dataType)
+    fields = (["conv", *_COUNTS, "audit"], [key_type, *[pa.int64()] * len(_COUNTS), pa.string()])
+    shown = rows.schema["conv"].dataType.simpleString()
+    schema = f"conv {shown}, {', '.join(f'{n} long' for n in _COUNTS)}, audit string"
+    return _ordered(flagged).mapInArrow(lambda batches: _in_batches(_audits(batches), fields), schema)
+
+
+def _behind_audits(rows: DataFrame) -> DataFrame:
+    """Every conversation's audit (kind 0), then its rows in order (kind 1)."""
+    summaries = _summaries(rows)
+    audits = summaries.select("conv", F.lit(0).alias("kind"), F.struct(*_COUNTS, "audit").alias("s"))
+    texts = rows.filter("present").select("conv", F.lit(1).alias("kind"), "turn", "role", "mark", "text")
+    return _ordered(audits.unionByName(texts, allowMissingColumns=True), "kind")
 
 
 def audit_conversations(
@@ -297,42 +302,41 @@ def audit_conversations(
     ``gaps`` counts missing turns between the least and the largest; ``blank``,
     ``duplicate`` and ``truncated`` count rows by their first fault; ``illegal`` counts
     neighbours whose initials are none of su, ua, au.  Rows are taken by turn (nulls
-    first), ties by role and text, so repeated rows are neighbours and the second is a
-    duplicate.  A null role or text counts as one space; null ids form one conversation.
-    Rows where ``present`` is not true only name their conversation: without other rows
-    it has zeros, an empty audit and the hash of nothing.  An empty role and roles of
-    other initials have no legal place and are reroled or deleted.  Other columns are
-    never read; an empty table gives an empty result.
-
-    Rows pass in sorted order through one task per conversation, since the hash is a
-    running one: a task holds one code, one digest and the trie's nodes of each row (about
-    1 KB a row), and texts beyond 32 MB wait in an unnamed file of the task.
+    first), ties by role and the text's digest, so repeated rows are neighbours and the
+    second is a duplicate.  A null role or text counts as one space; null ids form one
+    conversation.  Rows where ``present`` is not true only name their conversation: without
+    other rows it has zeros, an empty audit and the hash of nothing.  An empty role and
+    roles of other initials have no legal place and are reroled or deleted.  Other columns
+    are never read; an empty table gives an empty result.
+
+    The hash is a running one, so a conversation's rows pass through one task in order.
+    The first pass carries no texts and holds a code, a digest and the trie's nodes of each
+    row of a conversation (about 1 KB); the second holds its audit and one batch of rows.
     """
 
-    def audits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for c in _conversations(batches):
-            cost, audit = c.audit()
-            digest, joint = hashlib.sha256(), b""
-            for role, text in c.repaired(audit):
-                digest.update(joint + f"{role}:{text}".encode("utf-8", "surrogatepass"))
-                joint = b"\n"
-            out.append((c.key, c.gaps(), c.blank, c.duplicate, c.truncated, c.illegal, cost, audit, digest.hexdigest()))
-            if len(out) >= 4096:
-                yield _batch(out, fields)
-                out = []
-        if out:
-            yield _batch(out, fields)
-
-    rows = _in_order(df, conv_col, turn_col, role_col, text_col, present)
-    kind = rows.schema["conv"].dataType.simpleString()
-    longs = ", ".join(f"{n} long" for n in _SUMMARY)
-    names = ["conv", *_SUMMARY, "audit", "repaired_sha256"]
+    def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(_digested(batches), fields)
+
+    rows = _behind_audits(_plain(df, conv_col, turn_col, role_col, text_col, present))
     key_type = to_arrow_type(rows.schema["conv"].dataType)
-    fields = (names, [key_type, *[pa.int64()] * len(_SUMMARY), pa.string(), pa.string()])
-    return rows.mapInArrow(audits, f"conv {kind}, {longs}, audit string, repaired_sha256 string").withColumnRenamed(
-        "conv", conv_col
-    )
+    names = ["conv", *_COUNTS, "audit", "repaired_sha256"]
+    fields = (names, [key_type, *[pa.int64()] * len(_COUNTS), pa.string(), pa.string()])
+    longs = ", ".join(f"{n} long" for n in _COUNTS)
+    schema = f"conv {rows.schema['conv'].dataType.simpleString()}, {longs}, audit string, repaired_sha256 string"
+    return rows.mapInArrow(digests, schema).withColumnRenamed("conv", conv_col)
+
+
+def _digested(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    head, digest = None, hashlib.sha256()
+    for key, summary, place, role, text in _repaired(batches):
+        if summary is not None:
+            if head is not None:
+                yield (*head, digest.hexdigest())
+            head, digest = (key, *(summary[n] for n in _COUNTS), summary["audit"]), hashlib.sha256()
+        else:
+            digest.update((b"\n" if place else b"") + f"{role}:{text}".encode("utf-8", "surrogatepass"))
+    if head is not None:
+        yield (*head, digest.hexdigest())
 
 
 def repair_conversations(
@@ -344,29 +348,32 @@ def repair_conversations(
     :func:`audit_conversations`; conversations without a row left give none.
     """
 
-    def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held = 0
-        for c in _conversations(batches):
-            for place, (role, text) in enumerate(c.repaired(c.audit()[1])):
-                out.append((c.key, place, role, text))
-                held += len(text) + 64
-                if held > SPOOL_BYTES:
-                    yield _batch(out, fields)
-                    out, held = [], 0
-        if out:
-            yield _batch(out, fields)
-
-    rows = _in_order(df, conv_col, turn_col, role_col, text_col, present)
-    kind = rows.schema["conv"].dataType.simpleString()
+    def repaired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_only = ((key, place, role, text) for key, summary, place, role, text in _repaired(batches) if summary is None)
+        return _in_batches(rows_only, fields, lambda row: 64 + len(row[3]))
+
+    rows = _behind_audits(_plain(df, conv_col, turn_col, role_col, text_col, present))
     key_type = to_arrow_type(rows.schema["conv"].dataType)
     fields = (["conv", "place", "role", "text"], [key_type, pa.int64(), pa.string(), pa.string()])
-    return rows.mapInArrow(rows_of, f"conv {kind}, place long, role string, text string").withColumnRenamed("conv", conv_col)
+    schema = f"conv {rows.schema['conv'].dataType.simpleString()}, place long, role string, text string"
+    return rows.mapInArrow(repaired, schema).withColumnRenamed("conv", conv_col)
 
 
-def _batch(rows: list[tuple], fields: tuple[list[str], list[pa.DataType]]) -> pa.RecordBatch:
+def _in_batches(
+    rows: Iterable[tuple], fields: tuple[list[str], list[pa.DataType]], size: Callable[[tuple], int] = lambda row: 1024
+) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of about ``BATCH_BYTES`` by ``size``."""
     names, kinds = fields
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+    out: list[tuple] = []
+    held = 0
+    for row in rows:
+        out.append(row)
+        held += size(row)
+        if held >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
 
 def damaged(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
