@@ -44,6 +44,30 @@ def test_intermediate_folders_can_be_removed(spark):
     session._written[spark.sparkContext.applicationId] = kept
 
 
+def test_a_scope_owns_its_tables_and_keeps_what_it_is_told(spark):
+    def folder(table):
+        return Path(table._intermediate_path.removeprefix("file:"))
+
+    with session.Intermediates(spark) as outer:
+        with session.Intermediates(spark) as inner:
+            first, second, result = (session.materialize(spark.range(n), "t") for n in (1, 2, 3))
+            path = session.owned_path(spark, "plain-files")
+            spark.range(2).write.csv(path)
+            session.release(first)
+            assert not folder(first).exists() and folder(second).exists()
+            inner.keep(result)
+        assert not folder(second).exists() and not Path(path.removeprefix("file:")).exists()
+        assert result.count() == 3  # it now belongs to the outer block
+        outer.keep(result)
+    assert result.count() == 3
+    session.release(result)
+    assert not folder(result).exists()
+    with pytest.raises(RuntimeError), session.Intermediates(spark):
+        lost = session.materialize(spark.range(4), "t")
+        raise RuntimeError
+    assert not folder(lost).exists()
+
+
 def test_workers_that_cannot_import_the_package(tmp_path):
     script = tmp_path / "job.py"
     script.write_text(

@@ -138,28 +138,89 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     reliable RDD checkpoint runs it a second time to write it) and stores it
     columnar and compressed.  The files live on the cluster's shared storage, so
     losing an executor does not lose them; the shuffle files behind them are no
-    longer needed and are dropped at once.  :func:`remove_intermediate` deletes
-    the folders of results that have been consumed.
+    longer needed and are dropped at once.  The folder belongs to the innermost
+    open :class:`Intermediates`, else to the application (:func:`remove_intermediate`).
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = owned_path(spark, name)
     with shuffle_cleanup(spark):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     # the schema is known: passing it skips reading Parquet footers to infer it
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._intermediate_path = path
+    return back
+
+
+def owned_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder as :func:`scratch_path` gives it, deleted with its owner's other folders."""
+    path = scratch_path(spark, name)
+    scopes = _scopes.get(spark.sparkContext.applicationId)
+    if scopes:
+        scopes[-1]._paths.append(path)
+    else:
+        _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
 
+_written: dict[str, list[str]] = {}  # application -> folders outside of any scope
+_scopes: dict[str, list["Intermediates"]] = {}  # application -> open scopes, the innermost last
 
-_written: dict[str, list[str]] = {}  # application -> folders that materialize() has written
+
+class Intermediates:
+    """Owner of the scratch folders written inside its ``with`` block.
+
+    Tables that have had their last reader are deleted at once by :func:`release`; at
+    the end of the block the rest goes, but for the tables handed to :meth:`keep`,
+    which pass to the enclosing owner.  Deleted on an error, too.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: list[str] = []
+        self._kept: list[str] = []
+
+    def __enter__(self) -> "Intermediates":
+        _scopes.setdefault(self.spark.sparkContext.applicationId, []).append(self)
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """Let ``table``, a result of :func:`materialize`, outlive the block."""
+        self._kept.append(table._intermediate_path)
+        return table
+
+    def __exit__(self, *error: object) -> None:
+        app = self.spark.sparkContext.applicationId
+        open_scopes = _scopes[app]
+        open_scopes.remove(self)
+        kept = [p for p in self._paths if p in self._kept]
+        for p in self._paths:
+            if p not in self._kept:
+                _delete(self.spark, p)
+        (open_scopes[-1]._paths if open_scopes else _written.setdefault(app, [])).extend(kept)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the folders of materialized tables whose last reader has ended."""
+    for table in tables:
+        path = table._intermediate_path
+        app = table.sparkSession.sparkContext.applicationId
+        for owner in [_written.get(app, []), *(s._paths for s in _scopes.get(app, []))]:
+            if path in owner:
+                owner.remove(path)
+        _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remove_intermediate(spark: SparkSession) -> int:
-    """Delete every intermediate folder this application wrote; returns their number.
+    """Delete every intermediate folder this application wrote and still owns; returns their number.
 
     Call it when all results built on them have been written or collected.
     """
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
     return len(paths)
