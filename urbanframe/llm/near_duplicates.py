@@ -5,19 +5,20 @@ number, so that repeats count.  A sketch takes the ``picked`` labelled k-mers of
 least hash and keeps them in the order in which they stand in the text: texts
 agree on a sketch only if they share those k-mers in the same order, which follows
 edit similarity rather than the mere set of k-mers.  ``sketches`` independent
-sketches are taken.  Their number, ``k`` and the agreement asked for follow from the
-similarity: of two long texts 0.8 similar by scattered edits, 0.8 ** 3 of the 3-mers
-survive, a sketch of one k-mer agrees with probability 0.34, and two of 20 agree in
-99.7 % of cases.  Short texts are sketched by 2-mers, of which edits spoil fewer.
-
-Texts with equal word sequences are one node from the start.  Nodes that agree on
-a sketch share a bucket, and nodes that meet in ``AGREE`` buckets are a candidate
-pair.  Two leaders of each bucket are compared with its members first, which brings
-the bulk of a large group into one class.  Then every candidate pair that is not
-yet of one class is compared, in every bucket: no bucket is capped and no member
-dropped.  A near duplicate is missed only if the two texts agree on too few
-sketches, never because of the other texts of a bucket.  The price is that texts
-of one bucket which are no near duplicates are paired in full.
+sketches are taken, and texts that agree on one are a candidate pair.  Their number,
+``k`` and ``picked`` follow from the similarity: of two long texts 0.8 similar by
+scattered edits, 0.8 ** 3 of the 3-mers survive, both k-mers of a sketch agree with
+probability 0.12, and one of 48 sketches does in 99.7 % of cases.  Short texts are
+sketched by 2-mers, of which edits spoil fewer.
+
+Texts with equal word sequences are one node from the start; nodes that agree on a
+sketch share a bucket.  Two leaders of each bucket are compared with its members
+first, which brings the bulk of a large group into one class.  Then every pair of a
+bucket that is not yet of one class is compared, unless the counts of the two texts'
+words alone show that they are too far apart (an edit changes two counts at most).
+No bucket is capped and no member dropped: a near duplicate is missed only if the
+two texts agree on no sketch, never because of the other texts of a bucket.  The
+price is that texts of one bucket which are no near duplicates meet pair by pair.
 
 A candidate pair is verified by the word edit distance, computed inside a band
 around the diagonal: ``1 - distance / longer length >= similarity``.  Linked nodes
@@ -38,16 +39,15 @@ from pyspark.sql import functions as F
 from urbanframe.llm.batches import list_array, text_slices
 from urbanframe.llm.components import components
 from urbanframe.llm.words import mixed, row_keys, word_hashes
-from urbanframe.session import materialize
+from urbanframe.session import materialize, release
 
 K = 3
 SHORT, SHORT_K = 32, 2  # texts of fewer words, and their k-mers
 SIMILARITY = 0.8
-SKETCHES = 20
-PICKED = 1
-AGREE = 2  # buckets in which a candidate pair meets
+SKETCHES = 48
+PICKED = 2
 TURNS = 2  # leaders of a bucket
-HOT = 64  # nodes of a bucket that is paired as it is
+TALLIES = 64  # counters of a text's words, by hash
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 20  # hashed k-mers held at once
 
@@ -55,7 +55,8 @@ _CELLS = 1 << 20  # hashed k-mers held at once
 def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     """Hash of every k-mer with its occurrence number, in text order.
 
-    A text of fewer than ``k`` words has one k-mer: all of it.
+    The number enters every hash, 0 too, so that a text that repeats a k-mer agrees with
+    one that does not on all the others.  A text of fewer than ``k`` words has one k-mer: all of it.
     """
     n = max(1, len(words) - k + 1)
     value = np.zeros(n, dtype=np.uint64)
@@ -65,13 +66,11 @@ def labelled_kmers(words: np.ndarray, k: int = K) -> np.ndarray:
     order = np.argsort(value, kind="stable")
     ranked = value[order]
     new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    if not new.all():
-        first = np.flatnonzero(new)
-        nth = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-        label = np.empty(n, dtype=np.uint64)
-        label[order] = nth.astype(np.uint64)
-        value = mixed(value + label * _FOLD)
-    return value
+    first = np.flatnonzero(new)
+    nth = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+    label = np.empty(n, dtype=np.uint64)
+    label[order] = nth.astype(np.uint64)
+    return mixed(value + label * _FOLD)
 
 
 def order_sketches(kmers: np.ndarray, sketches: int = SKETCHES, picked: int = PICKED, seed: int = 1) -> np.ndarray:
@@ -195,17 +194,21 @@ def _sketched(keyed: DataFrame, k: int, sketches: int, picked: int, similarity:
 
 
 def _word_lists(texts: DataFrame) -> DataFrame:
-    """``node, words``: packed 32-bit word hashes of one row of each node."""
+    """``node, words, tally``: packed 32-bit word hashes of one row of each node, and its words counted by hash."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 4 << 20):
-            packed = [
-                (word_hashes(t.encode("utf-8", "surrogatepass")) >> np.uint64(32)).astype("<u4").tobytes()
-                for t in batch.column(1).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "words"])
+            packed, tallies = [], []
+            for text in batch.column(1).to_pylist():
+                words = word_hashes(text.encode("utf-8", "surrogatepass"))
+                packed.append((words >> np.uint64(32)).astype("<u4").tobytes())
+                tallies.append(np.bincount((words % np.uint64(TALLIES)).astype(np.int64), minlength=TALLIES))
+            counts = list_array(np.concatenate([np.zeros(0, np.int64), *tallies]), [TALLIES] * len(tallies), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(packed, pa.binary()), counts], names=["node", "words", "tally"]
+            )
 
-    return texts.mapInArrow(run, "node binary, words binary")
+    return texts.mapInArrow(run, "node binary, words binary, tally array<int>")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -237,72 +240,62 @@ def _near(similarity: float) -> Column:
     return F.abs(F.col("an") - F.col("bn")) <= F.greatest("an", "bn") * F.lit(1 - similarity) + F.lit(1e-9)
 
 
-def _led(shared: DataFrame, similarity: float, agree: int, turn: int) -> DataFrame:
-    """Pairs ``a, b`` of a member and its leader that meet in ``agree`` buckets.
+def _led(shared: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs ``a, b`` of a member and its bucket's leader.
 
     A bucket is led by its node of least hash, so that a node leads in most of its buckets or in few.
     """
     drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")
     leaders = shared.groupBy("bucket").agg(F.min(drawn).alias("l")).select("bucket", F.col("l.node").alias("b"), F.col("l.n").alias("bn"))
     led = shared.withColumnsRenamed({"node": "a", "n": "an"}).join(materialize(leaders, "leaders"), "bucket")
-    return _met(led.filter((F.col("a") != F.col("b")) & _near(similarity)), agree)
-
-
-def _met(pairs: DataFrame, agree: int) -> DataFrame:
-    """Pairs ``a, b`` that occur at least ``agree`` times."""
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= agree).select("a", "b")
+    return led.filter((F.col("a") != F.col("b")) & _near(similarity)).select("a", "b")
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """``members`` of the buckets that hold two classes or more, with the bucket's size ``c``."""
+    """``members`` of the buckets that hold two classes or more."""
     label = F.xxhash64("label")
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min(label).alias("l"), F.max(label).alias("m"))
-    return members.join(materialize(sizes.filter("l <> m").select("bucket", "c"), "open-buckets"), "bucket")
+    spans = members.groupBy("bucket").agg(F.min(label).alias("l"), F.max(label).alias("m"))
+    return members.join(materialize(spans.filter("l <> m").select("bucket"), "open-buckets"), "bucket")
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """Every pair ``a, b`` (a < b) of a bucket whose nodes are of different classes, once per bucket."""
-    a = members.select("bucket", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-    b = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
+def _untested(shared: DataFrame, links: DataFrame, tallies: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` (a < b) of a bucket that ``links`` have not brought into one class.
+
+    Pairs whose lengths or word counts rule the similarity out are left away at once.
+    """
+    members = shared.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = materialize(members, "members")
+    members = materialize(_open(members).join(tallies, "node"), "open-members")
+    a = members.select("bucket", *(F.col(c).alias(n) for c, n in _SIDE_A))
+    b = members.select("bucket", *(F.col(c).alias(n) for c, n in _SIDE_B))
     apart = (F.col("a") < F.col("b")) & (F.col("al") != F.col("bl"))
-    return a.join(b.hint("merge"), "bucket").filter(apart & _near(similarity)).select("a", "b")
+    longer = F.greatest("an", "bn")
+    # every edit moves a word's count on either side by one at most
+    moved = F.aggregate(F.zip_with("at", "bt", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    alike = moved <= 2 * (longer * F.lit(1 - similarity) + F.lit(1e-9))
+    pairs = a.join(b.hint("merge"), "bucket").filter(apart & _near(similarity) & alike)
+    return materialize(pairs.select("a", "b").distinct(), "untested")
 
 
-def _untested(shared: DataFrame, nodes: DataFrame, links: DataFrame, similarity: float, agree: int) -> DataFrame:
-    """All pairs ``a, b`` that meet in ``agree`` buckets and that ``links`` have not brought into one class.
+_SIDE_A = (("node", "a"), ("n", "an"), ("label", "al"), ("tally", "at"))
+_SIDE_B = (("node", "b"), ("n", "bn"), ("label", "bl"), ("tally", "bt"))
 
-    Buckets of up to ``HOT`` nodes are paired as they are.  A larger one is first
-    divided by a second bucket of its nodes, which a pair that meets twice shares as
-    well; what then is in one bucket is paired whatever its size.
-    """
-    labels = components(links)
-    members = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = materialize(_open(materialize(members, "members")), "open-members")
-    pairs = _met(_across(members.filter(F.col("c") <= HOT), similarity), agree)
-    hot = members.filter(F.col("c") > HOT)
-    if agree > 1:
-        keys = nodes.select("node", F.explode("keys").alias("key"))
-        finer = hot.join(keys, "node").filter(F.col("key") != F.col("bucket"))
-        both = F.xxhash64(F.least("bucket", "key"), F.greatest("bucket", "key"))
-        finer = finer.select(both.alias("bucket"), "node", "n", "label").distinct()
-        hot = materialize(_open(materialize(finer, "finer")), "open-finer")
-    rest = _across(hot, similarity).distinct()
-    return materialize(pairs.unionByName(rest).distinct(), "untested")
-
-
-def _links(nodes: DataFrame, keyed: DataFrame, similarity: float, agree: int) -> DataFrame:
+
+def _links(nodes: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
     """Verified links ``a, b`` among ``nodes`` (``node, n, k1, k2, keys``)."""
     shared = materialize(_shared(nodes), "shared")
     words = materialize(_word_lists(_texts_of(shared, nodes, keyed)).dropDuplicates(["node"]), "word-lists")
-    led = _led(shared, similarity, agree, 0)
+    led = _led(shared, similarity, 0)
     for turn in range(1, TURNS):
-        led = led.unionByName(_led(shared, similarity, agree, turn))
-    known = materialize(_verified(led.distinct(), words, similarity), "pairs")
+        led = led.unionByName(_led(shared, similarity, turn))
+    known = materialize(_verified(led.distinct(), words.select("node", "words"), similarity), "pairs")
     # leaders alone do not settle a bucket: whatever they have not joined is compared pair by pair
     linked = known.filter("linked").select("a", "b")
-    more = _untested(shared, nodes, linked, similarity, agree)
+    more = _untested(shared, linked, words.select("node", "tally"), similarity)
+    release(shared)
     tested = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    fresh = materialize(_verified(more.join(tested, ["a", "b"], "left_anti"), words, similarity), "pairs-rest")
+    fresh = materialize(_verified(more.join(tested, ["a", "b"], "left_anti"), words.select("node", "words"), similarity), "pairs-rest")
+    release(words, more)
     return linked.unionByName(fresh.filter("linked").select("a", "b"))
 
 
@@ -320,7 +313,7 @@ def _placed(df: DataFrame, id_col: str, text_col: str, similarity: float, k: int
     members = materialize(_sketched(keyed, k, sketches, picked, similarity), "sketched")
     nodes = members.groupBy("node", "n", "keys").agg(F.min(F.struct("k1", "k2")).alias("r"))
     nodes = materialize(nodes.select("node", "n", "r.k1", "r.k2", "keys"), "nodes")
-    labels = components(_links(nodes, keyed.select("k1", "k2", "text"), similarity, min(AGREE, sketches)))
+    labels = components(_links(nodes, keyed.select("k1", "k2", "text"), similarity))
     placed = members.select("id", "k1", "k2", "node").join(labels, "node", "left")
     return materialize(placed.select("id", "k1", "k2", F.coalesce("label", "node").alias("label")), "placed")
 
