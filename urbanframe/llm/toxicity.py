@@ -32,13 +32,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from urbanframe.llm.batches import BoundedCache, list_array, text_slices
 from urbanframe.session import materialize
 
-PER_LABEL = 2_000  # examples of either label at most
+PER_LABEL = 1_000  # examples of either label at most
 MAX_CHARS = 8_000  # longer labelled texts are no examples
 MAX_TERMS = 4_096
 MIN_CHI_SQUARE = 24.0  # about one in a million by chance
 BEGINNINGS = (4, 5, 6)
 NEIGHBOURS = 15
-BLOCK_EXAMPLES = 32
+BLOCK_EXAMPLES = 64
 SLACK = 1 + 1e-9  # bounds are widened by more than their rounding
 
 _WORD = re.compile(r"[^\W\d_]+")
