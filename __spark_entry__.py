@@ -22,11 +22,14 @@ from urbanframe.operators import (
     equi_join,
     explode_array,
     extract_metric,
+    heavy_key_join,
     json_fields,
     keyed_sums,
     lower_median,
     median_lines,
+    reproducible_avg,
     top_k_per_group,
+    top_k_with_ties,
     union_all,
 )
 from urbanframe.operators.spatial import clean_points
@@ -43,11 +46,15 @@ from urbanframe.plans.roundtrip import (
     convert_and_count,
     csv_folders,
     csv_parquet_round_trip,
+    geojson_document_round_trip,
     geojson_round_trip,
+    mixed_headers_round_trip,
+    quoted_csv_round_trip,
     tuple_text_round_trip,
+    verified_conversion,
     write_feature_collections,
 )
-from urbanframe.session import scratch_path
+from urbanframe.session import owned_path
 from urbanframe.sources import parse_csv_lines, read_csv, read_geojson_properties, read_lines, read_table, write_result
 
 try:  # the training-data operators are optional: everything else works without them
@@ -122,7 +129,7 @@ def q4_nearest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q4 from CSV files: crimes from two CSV folders, stations from one; text columns
     are cast at use (``try_cast``)."""
     crimes = read_csv(spark, csv_folders(spark, inputs.crime_points(spark, sf_dir), "crimes-points"))
-    stations_csv = scratch_path(spark, "stations-csv")
+    stations_csv = owned_path(spark, "stations-csv")
     write_result(inputs.stations(spark, sf_dir), stations_csv)
     return nearest_station_summary(crimes, read_csv(spark, stations_csv))
 
@@ -250,7 +257,7 @@ def op_csv_parquet_round_trip(spark, sf_dir):
 
 
 def op_tuple_text_round_trip(spark, sf_dir):
-    return tuple_text_round_trip(spark, q1_share(spark, sf_dir))
+    return tuple_text_round_trip(spark, q1_share(spark, sf_dir), "day_period", "percentage")
 
 
 def op_geojson_scan(spark, sf_dir):
@@ -263,6 +270,61 @@ def op_csv_round_trip_hostile(spark, sf_dir):
     return csv_parquet_round_trip(spark, inputs.hostile_orders(spark, sf_dir))
 
 
+def op_csv_quoted_newlines(spark, sf_dir):
+    """The same rows with raw line breaks inside quotes, several tasks a file."""
+    return quoted_csv_round_trip(spark, inputs.hostile_orders(spark, sf_dir))
+
+
+def op_csv_mixed_headers(spark, sf_dir):
+    """CSV files whose headers differ in order and in columns, matched by name."""
+    return mixed_headers_round_trip(spark, inputs.hostile_orders(spark, sf_dir), F.col("o_custkey") % 2 == 0, "note")
+
+
+def op_geojson_document(spark, sf_dir):
+    """Whole GeoJSON documents, on one line and pretty-printed, several tasks a file."""
+    rows = inputs.table(spark, sf_dir, "customer").count()
+    return geojson_document_round_trip(spark, inputs.census_blocks(spark, sf_dir), rows)
+
+
+def op_tuple_text_hostile(spark, sf_dir):
+    """Labels with quotes, backslashes and line breaks, the text "None" beside NULL."""
+    return tuple_text_round_trip(spark, inputs.hostile_labels(spark, sf_dir), "label", "value")
+
+
+def op_convert_verified(spark, sf_dir):
+    """Conversion with row count and checksum observed while writing and compared with the files."""
+    o = inputs.table(spark, sf_dir, "orders")
+    return verified_conversion(spark, o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
+def op_top_k_hot_ties(spark, sf_dir):
+    """Two thirds of all rows in one group and all tied."""
+    hot = F.col("o_orderkey") % 3 != 0
+    o = inputs.table(spark, sf_dir, "orders").select(
+        F.when(hot, F.lit(-1)).otherwise(F.col("o_custkey")).cast("long").alias("g"),
+        F.when(hot, F.lit(1.0)).otherwise(F.col("o_totalprice").cast("double")).alias("v"),
+        "o_orderkey",
+    )
+    return top_k_with_ties(o, "g", "v", 3, rank_name="rk").select("g", "o_orderkey", "rk")
+
+
+def op_equi_join_heavy(spark, sf_dir):
+    """A third of the left rows on one key."""
+    li = inputs.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_orderkey") % 3 == 0, F.lit(1)).otherwise(F.col("l_suppkey")).cast("long").alias("key"),
+    )
+    s = inputs.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
+    return heavy_key_join(li, s, "key", "s_suppkey").select("l_orderkey", "l_linenumber", "s_name")
+
+
+def op_reproducible_avg(spark, sf_dir):
+    """Averages that no partitioning changes."""
+    o = inputs.table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_totalprice").cast("double").alias("v"))
+    out = reproducible_avg(o, "o_orderpriority", "v", "average", "n")
+    return out.select("o_orderpriority", F.round("average", 4).alias("average"), "n")
+
+
 def op_convert_count(spark, sf_dir):
     return convert_and_count(spark, inputs.table(spark, sf_dir, "orders"))
 
@@ -346,7 +408,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op_geojson_scan,
         op_tuple_text_round_trip,
         op_csv_round_trip_hostile,
+        op_csv_quoted_newlines,
+        op_csv_mixed_headers,
+        op_geojson_document,
+        op_tuple_text_hostile,
         op_convert_count,
+        op_convert_verified,
+        op_top_k_hot_ties,
+        op_equi_join_heavy,
+        op_reproducible_avg,
         op_lower_median_wide,
         op_lower_median_bigint,
         q3_per_capita_blank_zip,
@@ -442,8 +512,8 @@ _Q4_CLUSTERED = _Q4.replace(
 )
 _Q1_HOSTILE = _Q1.replace(
     "try_cast(lpad(cast((event_id * 37) % 2500 as varchar), 4, '0') as integer)",
-    """try_cast(case event_id % 7 when 0 then '3000000000' when 1 then '99999999999' when 2 then '-5' when 3 then 'noon'
-                    when 4 then '' when 5 then '  930 ' else lpad(cast((event_id * 37) % 2500 as varchar), 4, '0') end as integer)""",
+    """try_cast(case event_id % 8 when 0 then '3000000000' when 1 then '99999999999' when 2 then '-5' when 3 then 'noon'
+                    when 4 then '' when 5 then '  930 ' when 6 then 'x1230' else lpad(cast((event_id * 37) % 2500 as varchar), 4, '0') end as integer)""",
 )
 
 _OPS = {
@@ -488,11 +558,34 @@ select o_orderpriority, quantile_disc(o_totalprice, 0.5) as median, count(o_tota
 from orders where o_totalprice is not null group by o_orderpriority""",
     "op_csv_round_trip_hostile": """
 select case when o_orderkey % 5 = 0 then null else o_orderkey end as "key", o_custkey,
-       case o_orderkey % 6 when 0 then 'a "b", c' when 1 then 'one' || chr(10) || 'two' || chr(13) || 'x'
-            when 2 then '  blanks  ' when 3 then 'back\\slash \\n, "end\\' when 4 then null
+       case o_orderkey % 7 when 0 then 'a "b", c' when 1 then 'one' || chr(10) || 'two' || chr(13) || 'x'
+            when 2 then '  blanks  ' when 3 then 'back\\slash \\n, "end\\' when 4 then null when 5 then 'a' || chr(0) || 'b\\0'
             else o_orderpriority || ';' || cast(o_orderkey as varchar) end as note
 from orders""",
     "op_convert_count": "select count(*) as n from orders",
+    "op_tuple_text_hostile": """
+select case o_orderkey % 7 when 0 then 'None' when 1 then null when 2 then 'it''s ("a"), ''b'')'
+            when 3 then 'back\\slash\\n\\x27' when 4 then 'two' || chr(10) || 'lines' || chr(13) when 5 then ''
+            else o_orderpriority end as label,
+       cast(o_custkey as double) as "value"
+from orders""",
+    "op_convert_verified": """
+select count(*) as n, cast(sum(cast(('0x' || substr(md5(
+         '=' || cast(o_orderkey as varchar) || chr(31) || '=' || cast(o_custkey as varchar) || chr(31)
+         || coalesce('=' || o_orderstatus, '~') || chr(31) || coalesce('=' || o_orderpriority, '~')), 1, 15)) as bigint)) as varchar) as checksum
+from orders""",
+    "op_top_k_hot_ties": """
+select g, o_orderkey, cast(rk as integer) as rk from (
+  select g, o_orderkey, rank() over (partition by g order by v desc) as rk from (
+    select case when o_orderkey % 3 <> 0 then -1 else o_custkey end as g, o_orderkey,
+           case when o_orderkey % 3 <> 0 then 1.0::double else o_totalprice::double end as v from orders) x) y
+where rk <= 3""",
+    "op_equi_join_heavy": """
+select l_orderkey, l_linenumber, s_name from (
+  select l_orderkey, l_linenumber, case when l_orderkey % 3 = 0 then 1 else l_suppkey end as key from lineitem) l
+join supplier on key = s_suppkey""",
+    "op_reproducible_avg": """
+select o_orderpriority, round(favg(o_totalprice::double), 4) as average, count(*) as n from orders group by 1""",
     "op_lower_median_wide": """
 select o_orderpriority as g, count(v) as n, quantile_disc(v, 0.5) as median from (
   select o_orderpriority, case o_orderkey % 4 when 0 then 1.7e308::double when 1 then -1.7e308::double
@@ -543,6 +636,10 @@ def oracle_sql() -> dict[str, str]:
     out["q3_per_capita_text_lines"] = _Q3_BASE + " and mi > 0"
     out["q3_per_capita_geojson"] = _Q3_BASE
     out["q4_nearest_csv"] = _Q4
+    out["op_csv_quoted_newlines"] = _OPS["op_csv_round_trip_hostile"]
+    out["op_csv_mixed_headers"] = f"""
+select "key", o_custkey, case when o_custkey % 2 = 0 then note end as note from ({_OPS["op_csv_round_trip_hostile"]}) x"""
+    out["op_geojson_document"] = _OPS["op_geojson_scan"]
     out["q1_share_udf_hostile"] = out["q1_share_native_hostile"] = _Q1_HOSTILE
     out["q3_per_capita_blank_zip"] = _Q3_BASE + " and zip not in ('90004', '90007')"
     out["q4_nearest_far"] = _Q4_FAR

@@ -115,32 +115,24 @@ def test_hot_id_holding_a_third_of_the_points(spark):
 
 
 def _pairs_per_point(spark, monkeypatch, points, sites):
-    """Pairs tested in the near pass plus sites listed for the far pass, per point."""
+    """Pairs of a point and a site whose distance is computed, per point: all of them, and the most for one id."""
     from pyspark.sql import functions as F
 
     from urbanframe.operators import spatial
 
-    pairs = []
-    near = spatial._best_near
+    rounds = []
+    original = spatial._best_near
 
-    def counting_near(pts, cells, h):
-        keyed = pts.selectExpr("_id", *spatial._UNIT).selectExpr(*spatial._cell_sql("_p", h, ("_cx", "_cy", "_cz")))
-        pairs.append(keyed.join(cells, F.expr("_cx = _scx AND _cy = _scy AND _cz = _scz")).count())
-        return near(pts, cells, h)
+    def counting(keyed, lists):
+        out = original(keyed, lists)
+        rounds.append(out.groupBy("_id").agg(F.count(F.lit(1)).alias("n")))
+        return out
 
-    monkeypatch.setattr(spatial, "_best_near", counting_near)
-    monkeypatch.setattr(spatial, "_pruned", _counting_pruned(spatial._pruned, pairs))
+    monkeypatch.setattr(spatial, "_best_near", counting)
     check(spark, points, sites)
-    return sum(pairs) / len(points)
-
-
-def _counting_pruned(original, pairs):
-    def run(state, lo, hi, keep):
-        out = original(state, lo, hi, keep)
-        if "_rank" in keep:
-            pairs.append(out.count())  # sites listed for all point cells together
-        return out
-    return run
+    each = [r["n"] for counted in rounds for r in counted.collect()]
+    assert len(each) == len(points)  # every point meets one list
+    return max(each)
 
 
 def test_far_points_meet_few_sites(spark, monkeypatch):
@@ -156,3 +148,20 @@ def test_clustered_sites_meet_their_neighbourhood_only(spark, monkeypatch):
     spread = [(f"S{i:04d}", float(30 + rng.uniform(0, 10)), float(-125 + rng.uniform(0, 10))) for i in range(20)]
     points = [(i, float(34 + rng.uniform(0, 0.05)), float(-118 + rng.uniform(0, 0.05))) for i in range(1500)]
     assert _pairs_per_point(spark, monkeypatch, points, patch + spread) <= 64
+
+
+def test_suburbs_of_a_dense_patch_meet_few_sites(spark, monkeypatch):
+    # the points lie around the patch, where one wide cell would list all of it
+    rng = np.random.default_rng(12)
+    patch = [(f"C{i:04d}", float(34 + rng.uniform(0, 0.05)), float(-118 + rng.uniform(0, 0.05))) for i in range(1980)]
+    spread = [(f"S{i:04d}", float(30 + rng.uniform(0, 10)), float(-125 + rng.uniform(0, 10))) for i in range(20)]
+    angles, reach = rng.uniform(0, 2 * np.pi, 2000), rng.uniform(0.1, 0.15, 2000)
+    points = [(i, float(34.025 + r * np.sin(a)), float(-117.975 + r * np.cos(a))) for i, (a, r) in enumerate(zip(angles, reach))]
+    assert _pairs_per_point(spark, monkeypatch, points, patch + spread) <= 64
+
+
+def test_sites_that_no_cell_can_tell_apart(spark):
+    # 90 sites within centimetres, all nearly as near: the last level keeps them on one list
+    sites = [(f"T{i:02d}", 34.0 + i * 1e-9, -118.0) for i in range(90)] + [("far", 35.0, -118.0)]
+    points = [(i, 34.2 + i * 1e-3, -118.1) for i in range(20)]
+    check(spark, points, sites)

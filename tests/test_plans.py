@@ -62,7 +62,7 @@ def test_nearest_site_broadcast_only_after_size_check(spark, monkeypatch):
     monkeypatch.setattr(spatial, "_best_near", recording)
     pts, st = inputs.crime_points(spark, SF), inputs.stations(spark, SF)
     spatial.nearest_site(pts, st, "DR_NO", "LAT", "LON", "DIVISION", "Y", "X", strategy="broadcast", max_broadcast_bytes=240)
-    # 240 bytes cannot hold 27 copies of the sites: the points x cells join is merged
+    # 240 bytes cannot hold the cells' lists: the join of points and lists is merged
     assert seen and "SortMergeJoin" in seen[0] and "BroadcastHashJoin" not in seen[0]
 
 

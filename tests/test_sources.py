@@ -1,11 +1,15 @@
 """Readers and sinks: per-file CSV headers, quoting, GeoJSON, text, Parquet conversion."""
 
+import json
+import random
+from pathlib import Path
+
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urbanframe.sources import (
     convert_csv_to_parquet,
+    csv_headers,
     parse_csv_lines,
     read_csv,
     read_geojson_properties,
@@ -14,6 +18,7 @@ from urbanframe.sources import (
     write_result,
     write_tuple_text,
 )
+from urbanframe.sources.splits import session_settings
 
 
 def write_text(path, text):
@@ -38,7 +43,100 @@ def test_csv_reordered_header_is_rejected(spark, tmp_path):
     a = write_text(tmp_path / "a.csv", "ID,AREA,Premis\n1,7,STREET\n")
     b = write_text(tmp_path / "b.csv", "Premis,ID,AREA\nSTREET,2,8\n")
     with pytest.raises(Exception, match="(?i)header"):
-        read_csv(spark, [a, b]).collect()
+        read_csv(spark, [a, b], columns=["ID", "AREA", "Premis"]).collect()
+
+
+def test_csv_files_are_joined_by_column_name(spark, tmp_path):
+    a = write_text(tmp_path / "a.csv", "ID,AREA,Premis\n1,7,STREET\n")
+    b = write_text(tmp_path / "b.csv", "Premis,ID,AREA\nSTREET,2,8\n")
+    c = write_text(tmp_path / "c.csv", 'Premis,"Odd, ""name""",ID\r\nPARK,x,3\r\n')
+    empty = write_text(tmp_path / "d.csv", "")
+    only_header = write_text(tmp_path / "e.csv", "ID,AREA,Premis\n")
+    names = csv_headers(spark, [a, b, c, empty, only_header])
+    assert {k: len(v) for k, v in names.items()} == {
+        ("ID", "AREA", "Premis"): 2, ("Premis", "ID", "AREA"): 1, ("Premis", 'Odd, "name"', "ID"): 1
+    }
+    for quoted in (False, True):
+        df = read_csv(spark, [a, b, c, empty, only_header], quoted_newlines=quoted)
+        got = {r["ID"]: (r["AREA"], r["Premis"], r['Odd, "name"']) for r in df.collect()}
+        assert got == {"1": ("7", "STREET", None), "2": ("8", "STREET", None), "3": (None, "PARK", "x")}
+
+
+def test_header_catalogue_reads_one_line_of_every_file(spark, tmp_path):
+    paths = [write_text(tmp_path / f"{i:02d}.csv", f"ID,C{i % 3}\n" + "1,2\n" * 5000) for i in range(12)]
+    with session_settings(spark, {"spark.sql.files.maxPartitionBytes": "4000"}):  # many splits a file
+        names = csv_headers(spark, paths)
+    assert {k: len(v) for k, v in names.items()} == {("ID", f"C{i}"): 4 for i in range(3)}
+
+
+PIECES = ["a", "b,c", '""', "\n", "\r\n", "\n\n", "é", "\\", "\\n", "\0", " "]
+
+
+@pytest.mark.parametrize("split_bytes", [40, 100_000])
+def test_quoted_line_breaks_across_splits(spark, tmp_path, split_bytes):
+    rng = random.Random(split_bytes)
+    expected, paths = [], []
+    for f in range(3):
+        lines = ["k,t,u"]
+        for i in range(50):
+            t, u = ("".join(rng.choice(PIECES) for _ in range(rng.randint(0, 6))) for _ in range(2))
+            lines.append(f'{f}-{i},"{t}","{u}"')
+            expected.append((f"{f}-{i}", t.replace('""', '"'), u.replace('""', '"')))
+        paths.append(str(tmp_path / f"{f}.csv"))
+        end = "\r\n" if f == 1 else "\n"
+        Path(paths[-1]).write_bytes((end.join(lines) + (end if f else "")).encode())
+    df = read_csv(spark, paths, quoted_newlines=True, split_bytes=split_bytes)
+    assert sorted(tuple(r) for r in df.collect()) == sorted(expected)
+
+
+def test_one_value_over_many_splits_and_an_open_quote(spark, tmp_path):
+    long = "\n".join(f"line {i}" for i in range(500))
+    p = write_text(tmp_path / "a.csv", f'k,t\n1,"{long}"\n2,x\n3,\n')
+    got = sorted(tuple(r) for r in read_csv(spark, p, quoted_newlines=True, split_bytes=200).collect())
+    assert got == [("1", long), ("2", "x"), ("3", None)]
+    broken = write_text(tmp_path / "broken.csv", 'k,t\n1,"x\n2,y\n')
+    with pytest.raises(ValueError, match="broken.csv.*quote"):
+        read_csv(spark, [p, broken], columns=["k", "t"], quoted_newlines=True)
+
+
+PROPERTIES = T.StructType([T.StructField("z", T.StringType()), T.StructField("n", T.LongType())])
+
+
+def geojson_text(features, layout):
+    body = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x"}}, "features": features, "bbox": [1, [2]]}
+    if layout == "trailing":
+        return "{\n\"type\": \"FeatureCollection\",\n\"features\": [\n" + ",\n".join(map(json.dumps, features)) + "]}"
+    if layout == "several":
+        return "".join(geojson_text(features[i::3], "one line") + "\n \n" for i in range(3))
+    return json.dumps(body, indent=2 if layout == "pretty" else None, ensure_ascii=layout != "pretty")
+
+
+@pytest.mark.parametrize("split_bytes", [60, 100_000])
+@pytest.mark.parametrize("layout", ["one line", "pretty", "trailing", "several"])
+def test_geojson_document_of_any_layout_is_split(spark, tmp_path, layout, split_bytes):
+    rng = random.Random(3)
+    odd = ['}', '{"', "]}", '\\"', "é", "\\\\", "\n", ",{", '"features": [']
+    features = []
+    for i in range(30):
+        z = "".join(rng.choice(odd) for _ in range(rng.randint(0, 5)))
+        shape = {"type": "Polygon", "coordinates": [[[0, 1.5], [2, 3]]], "parts": [{"a": [{}]}, {}]}
+        features.append({"type": "Feature", "properties": {"z": z, "n": i}, "geometry": rng.choice([None, shape])})
+    p = tmp_path / "doc.geojson"
+    p.write_text(geojson_text(features, layout), encoding="utf-8")
+    got = read_geojson_properties(spark, str(p), PROPERTIES, split_bytes=split_bytes).collect()
+    assert sorted((r["n"], r["z"]) for r in got) == [(i, f["properties"]["z"]) for i, f in enumerate(features)]
+
+
+def test_geojson_edges(spark, tmp_path):
+    for i, text in enumerate(['{"type": "FeatureCollection", "features": []}', "", "\n", '{"features": [], "x": {}}\n']):
+        p = write_text(tmp_path / f"{i}.geojson", text)
+        assert read_geojson_properties(spark, p, PROPERTIES).collect() == []
+    cut = write_text(tmp_path / "cut.geojson", '{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"n": 1}}, {"type"')
+    with pytest.raises(ValueError, match="cut.geojson.*ends inside"):
+        read_geojson_properties(spark, cut, PROPERTIES)
+    wrong = write_text(tmp_path / "wrong.geojson", '{"features": [{"type": "Feature", "properties": {"n": oops}}]}')
+    with pytest.raises(Exception):
+        read_geojson_properties(spark, wrong, PROPERTIES).collect()
 
 
 def test_delimited_and_format_switch(spark, tmp_path):
@@ -117,30 +215,13 @@ def test_default_output_path_and_result_formats(spark, tmp_path):
         write_result(df, out, fmt="xml")
 
 
-def test_geojson_feature_lines_split(spark, tmp_path):
-    features = [f'{{"type": "Feature", "properties": {{"ZCTA20": "{90000 + i}", "POP20": {i}}}, "geometry": null}}' for i in range(50)]
-    doc = '{"type": "FeatureCollection",\n"features": [\n' + ",\n".join(features) + "\n]}\n"
-    p = write_text(tmp_path / "big.geojson", doc)
-    props = T.StructType([T.StructField("ZCTA20", T.StringType()), T.StructField("POP20", T.LongType())])
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    try:
-        df = read_geojson_properties(spark, p, props, layout="feature_lines")
-        assert df.rdd.getNumPartitions() > 2
-        assert sorted(tuple(r) for r in df.collect()) == [(str(90000 + i), i) for i in range(50)]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
-        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
-
-
 def test_line_breaks_are_refused_or_escaped(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a\nb"), (2, "c\\n\r"), (3, None)], "k int, t string")
+    df = spark.createDataFrame([(1, "a\nb"), (2, "c\\n\r"), (3, None), (4, "a\0b\\\\n")], "k int, t string")
     with pytest.raises(Exception, match="line break"):
         write_result(df, str(tmp_path / "refused"))
     write_result(df, str(tmp_path / "escaped"), newlines="escape")
     back = read_csv(spark, str(tmp_path / "escaped"), escaped_newlines=True)
-    assert sorted(tuple(r) for r in back.collect()) == [("1", "a\nb"), ("2", "c\\n\r"), ("3", None)]
+    assert sorted(tuple(r) for r in back.collect()) == [("1", "a\nb"), ("2", "c\\n\r"), ("3", None), ("4", "a\0b\\\\n")]
 
 
 def test_round_trips_keep_null_keys(spark):

@@ -21,12 +21,15 @@ from urbanframe.functions.scalars import (
 )
 
 
+TRIMMED = "".join(map(chr, [*range(0x21), 0x7F]))
+
+
 def classify_periods(hhmm: pd.Series) -> pd.Series:
     """Vectorised bucket of HHMM text or numbers; malformed values -> None."""
-    # integer text only ("12.5" is malformed), surrounding blanks allowed, as with
-    # try_cast(... as int)
-    as_text = hhmm.astype("string").str.strip()
-    integral = as_text.str.fullmatch(r"[+-]?\d+").fillna(False).to_numpy(dtype=bool)
+    # integer text only ("12.5" is malformed), surrounded by what try_cast(... as int) trims:
+    # blanks and control characters, but no other white space
+    as_text = hhmm.astype("string").str.strip(TRIMMED)
+    integral = as_text.str.fullmatch(r"[+-]?[0-9]+").fillna(False).to_numpy(dtype=bool)
     t = pd.Series(
         pd.to_numeric(as_text, errors="coerce").to_numpy(dtype="float64", na_value=np.nan), index=hhmm.index
     ).where(integral)

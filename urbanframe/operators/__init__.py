@@ -1,9 +1,11 @@
-from urbanframe.operators.aggregate import argmin, count_at_least, keyed_sums, share_of_total
+from urbanframe.operators.aggregate import argmin, count_at_least, keyed_sums, reproducible_avg, share_of_total
 from urbanframe.operators.joins import (
     JOIN_STRATEGIES,
     checked_broadcast,
     cross_join_count,
     equi_join,
+    heavy_key_join,
+    heavy_keys,
     measured_bytes,
     with_strategy,
 )
@@ -12,7 +14,7 @@ from urbanframe.operators.quantile import lower_median
 from urbanframe.operators.runlog import extract_metric, median_lines
 from urbanframe.operators.setops import union_all
 from urbanframe.operators.spatial import nearest_site, nearest_site_summary
-from urbanframe.operators.window import top_k_per_group
+from urbanframe.operators.window import top_k_per_group, top_k_with_ties
 
 __all__ = [
     "JOIN_STRATEGIES",
@@ -24,6 +26,8 @@ __all__ = [
     "explode_array",
     "extract_metric",
     "flatten_struct",
+    "heavy_key_join",
+    "heavy_keys",
     "json_fields",
     "keyed_sums",
     "lower_median",
@@ -31,8 +35,10 @@ __all__ = [
     "nearest_site",
     "nearest_site_summary",
     "measured_bytes",
+    "reproducible_avg",
     "share_of_total",
     "top_k_per_group",
+    "top_k_with_ties",
     "union_all",
     "with_strategy",
 ]

@@ -85,3 +85,45 @@ def count_at_least(df: DataFrame, keys: str | Sequence[str], minimum: int, name:
         .agg(F.count(F.lit(1)).alias(name))
         .filter(F.col(name) >= minimum)
     )
+
+
+_BIN_BITS = 32  # exponents that share a bin
+_HALF = 42  # bits of the lower part of a scaled value
+
+
+def reproducible_avg(df: DataFrame, keys: str | Sequence[str], value: str, name: str, count_name: str) -> DataFrame:
+    """Per key: the average of a double column, the same to the last bit however the rows are partitioned, and its count.
+
+    A sum of doubles depends on the order of the additions.  Here every value falls into a
+    bin of 32 binary exponents, in whose unit it is an integer below 2**84; two halves of
+    it are summed exactly as decimals, and the bins, 66 a key at most, are added from the
+    largest down.  NULL and NaN values are left out; infinite ones give NULL.
+    """
+    key_cols = _names(keys)
+    v = F.col(f"`{value}`")
+    rows = df.filter(v.isNotNull() & ~F.isnan(v))
+    exponent = F.when(v == 0, F.lit(0)).otherwise(F.floor(F.log2(F.abs(v)))).cast("int")
+    # a logarithm may round up to the next exponent; two spare bits below the bin absorb that
+    bin_ = F.floor(exponent / F.lit(float(_BIN_BITS))).cast("int")
+    unit = F.col("_bin") * _BIN_BITS - 54
+    # powers of two in two steps, as 2**-(unit) may be beyond the range of doubles
+    first = F.floor(unit / F.lit(2.0))
+    scaled = v * F.pow(F.lit(2.0), -first) * F.pow(F.lit(2.0), -(unit - first))
+    high = F.floor(F.col("_scaled") / F.lit(float(1 << _HALF)))
+    binned = rows.withColumn("_bin", bin_).withColumn("_scaled", scaled).withColumn("_high", high)
+    low = F.col("_scaled") - F.col("_high") * F.lit(float(1 << _HALF))
+    infinite = F.max(F.abs(v) == F.lit(float("inf")))
+    parts = binned.groupBy(*key_cols, "_bin").agg(
+        F.sum(F.col("_high").cast("long").cast("decimal(38,0)")).alias("_h"),
+        F.sum(low.cast("long").cast("decimal(38,0)")).alias("_l"),
+        F.count(F.lit(1)).alias("_n"),
+        infinite.alias("_inf"),
+    )
+    whole = (F.col("_h") * F.lit(1 << _HALF) + F.col("_l")).cast("double")
+    first = F.floor(unit / F.lit(2.0))
+    term = whole * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), unit - first)
+    bins = F.sort_array(F.collect_list(F.struct("_bin", term.alias("term"))), asc=False)
+    total = F.aggregate(bins, F.lit(0.0), lambda acc, x: acc + x["term"])
+    out = parts.groupBy(*key_cols).agg(total.alias("_t"), F.sum("_n").alias(count_name), F.max("_inf").alias("_inf"))
+    average = F.when(~F.col("_inf"), F.col("_t") / F.col(count_name))
+    return out.select(*key_cols, average.alias(name), count_name)

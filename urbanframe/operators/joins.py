@@ -24,6 +24,7 @@ materialises every pair of rows, which does not survive large inputs.
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -103,6 +104,55 @@ def equi_join(
     return left.join(r, cond, how)
 
 
+SALTS = 32
+
+
+def heavy_keys(df: DataFrame, key: str, least_share: float = 0.01) -> list:
+    """Values of ``key`` that hold ``least_share`` of the rows or more (NULL left out), at most ``1 / least_share``.
+
+    One pass with a mergeable summary of frequent items: every such value is in it, and
+    nothing but the summaries is shuffled.  Its counts are upper bounds, so a value
+    slightly below the share may be listed too.
+    """
+    tracked = 1 << max(3, math.ceil(math.log2(8 / least_share)))
+    listed = math.ceil(1 / least_share)
+    found = df.filter(F.col(f"`{key}`").isNotNull()).agg(
+        F.expr(f"approx_top_k(`{key}`, {listed}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n")
+    ).first()
+    return [r["item"] for r in found["top"] or [] if r["count"] >= least_share * found["n"]]
+
+
+def heavy_key_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    least_share: float = 0.01,
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """Inner equi-join of two large sides, some of whose left keys hold a large share of the rows.
+
+    The rows of heavy keys do not travel: their right rows are broadcast if measured to
+    fit, and the left rows join where they lie.  All other rows are merge-joined.  If the
+    right rows of heavy keys do not fit, both are dealt over ``SALTS`` parts of each key,
+    the right rows once for each part.
+    """
+    heavy = heavy_keys(left, left_key, least_share)
+    same = left[f"`{left_key}`"] == right[f"`{right_key}`"]
+    if not heavy:
+        return left.join(right.hint("merge"), same)
+    few = F.col(f"`{left_key}`").isin(heavy), F.col(f"`{right_key}`").isin(heavy)
+    rest = left.filter(~few[0]).join(right.filter(~few[1]).hint("merge"), same)
+    heavy_right = right.filter(few[1])
+    small = checked_broadcast(heavy_right, max_broadcast_bytes)
+    if small is not None:
+        return left.filter(few[0]).join(small, same).unionByName(rest)
+    salted = left.filter(few[0]).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    parts = heavy_right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = (salted[f"`{left_key}`"] == parts[f"`{right_key}`"]) & (F.col("_salt") == F.col("_part"))
+    return salted.join(parts.hint("merge"), both).drop("_salt", "_part").unionByName(rest)
+
+
 def cross_join_count(left: DataFrame, right: DataFrame, name: str = "pairs") -> DataFrame:
     """Number of rows a cross join of ``left`` and ``right`` would produce.
 

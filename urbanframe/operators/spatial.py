@@ -8,25 +8,24 @@ product, but the product is never built:
 1. Sites are cleaned (NULL coordinates dropped) and collapsed per exact position
    to the smallest label -- at one position only that label can ever win.
 2. Points and sites become unit vectors (x, y, z).  The chord |p - s| grows
-   monotonically with the great-circle distance, so a 3-D grid of cell size ``h``
-   blocks exactly: any site within chord ``h`` of a point lies in one of the 27
-   cells around the point's cell.  No special case at poles or the date line.
-3. Near pass.  Each site is copied into the 27 cells around its own and the points
-   are equi-joined to them on the cell id.  Only pairs with chord <= h are kept.
-   An id whose best chord is provably within ``h`` is final.  ``h`` is about one
-   site per cell, halved while the densest cell holds more than
-   ``max_sites_per_cell``, so a dense patch of sites costs its own neighbourhood.
-4. Far pass, for all ids left open at once.  Candidates are decided per occupied
-   cell of open points, not per point: from the whole sphere down a pyramid of
-   occupied site cells, a site cell stays a candidate of a point cell only if its
-   least possible distance is no more than the smallest greatest distance among
-   the point cell's candidates (on tight bounding boxes).  Each open point then
-   meets its cell's short list of sites.  The bound keeps every site that can be
-   nearest to any point of the cell, ties included, so the result is the argmin.
-
-The points' source is read twice at most: once for the near pass, once to write
-the open points.  What each pass finds is written as Parquet to the shared
-checkpoint folder, which cuts the lineage and survives executor loss.
+   monotonically with the great-circle distance, so cells of a 3-D grid bound it;
+   no special case at poles or the date line.
+3. Occupied cells of points, and of sites, form pyramids: a cell of one level lies in
+   a cell of the level above, and each has the tight box of what is in it.
+4. Both pyramids are descended together.  A site cell stays a candidate of a point
+   cell only if its least possible distance is no more than the smallest greatest
+   distance among that point cell's candidates.  The bound keeps every site that can
+   be nearest to any point of the cell, ties included.
+5. Point cells whose list of candidate sites is longer than ``max_sites_per_cell`` are
+   split: their points are cut into cells 16 times finer, one level after the other,
+   and each new cell prunes its parent's list.  So a patch of sites costs a far or a
+   near suburb of it only what its points cannot tell apart.
+6. Every point meets its own cell's short list in one equi-join.
+
+Points are read for their extent, for their cells and for the last join; the points
+of cells that were split are written once and read twice more a round.  Lists and
+cells are Parquet in the shared checkpoint folder, which cuts the lineage and
+survives executor loss.
 """
 
 from __future__ import annotations
@@ -35,9 +34,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from urbanframe.functions.scalars import EARTH_RADIUS_KM, haversine_sql, to_double, unit_vector
+from urbanframe.functions.scalars import haversine_sql, to_double, unit_vector
+from urbanframe.operators.aggregate import reproducible_avg
 from urbanframe.operators.joins import DEFAULT_MAX_BROADCAST_BYTES, JOIN_STRATEGIES, with_strategy
 from urbanframe.session import materialize
 
@@ -45,24 +44,12 @@ from urbanframe.session import materialize
 # 1e-15, so a relative 1e-9 plus an absolute 1e-13 keeps the proofs sound.
 RELATIVE_MARGIN, ABSOLUTE_MARGIN = 1e-9, 1e-13
 MIN_CELL = 1e-7  # unit-sphere chord, about 0.6 m on Earth
-MAX_CELL = 4.0  # larger than the sphere's diameter: every site is a candidate
-DEFAULT_MAX_SITES_PER_CELL = 12
-MAX_PYRAMID_LEVEL = 20  # leaf cells of 4 / 2**20 of the unit sphere, about 24 m
-
-
-def _offsets() -> Column:
-    """The 27 cell offsets (-1..1 on each axis), one row each (``_dx, _dy, _dz``).
-
-    Written as one SQL expression: building it from 27 x 7 Column objects would
-    cost as many round trips to the JVM.
-    """
-    structs = ", ".join(
-        f"named_struct('_dx', {dx}L, '_dy', {dy}L, '_dz', {dz}L)"
-        for dx in (-1, 0, 1)
-        for dy in (-1, 0, 1)
-        for dz in (-1, 0, 1)
-    )
-    return F.expr(f"inline(array({structs}))")
+MAX_CELL = 4.0  # cells of level 0; a cell of level n is 2**n times smaller
+MAX_LEVEL = 28  # about 0.1 m; sites that are no farther apart than that stay on one list
+DEFAULT_MAX_SITES_PER_CELL = 32
+LEAF_SITES = 8  # sites of a cell on the last level of their pyramid
+LEAST_POINT_CELLS = 4096
+FINER = 4  # levels by which a cell is split in a round
 
 
 def clean_points(points: DataFrame, id_col: str, lat: str, lon: str) -> DataFrame:
@@ -104,166 +91,215 @@ def clean_sites(sites: DataFrame, label: str, lat: str, lon: str) -> DataFrame:
     )
 
 
-def _cell(c: str, h: float) -> Column:
-    return F.floor(F.col(c) / F.lit(h)).cast("long")
-
-
-def _densest_cell(sites: DataFrame, h: float) -> int:
-    row = (
-        sites.groupBy(_cell("_sx", h).alias("a"), _cell("_sy", h).alias("b"), _cell("_sz", h).alias("c"))
-        .count()
-        .agg(F.max("count").alias("m"))
-        .first()
-    )
-    return int(row["m"] or 0)
-
-
-def initial_cell_size(
-    sites: DataFrame, max_sites_per_cell: int = DEFAULT_MAX_SITES_PER_CELL
-) -> tuple[float, int, float, float]:
-    """(cell size of the near pass, distinct site positions, cell size of the average density, extent).
-
-    One aggregation gives the count and the bounding box; the average density is
-    one site per cell over the box's largest face.  The near pass halves that while
-    the densest cell holds more than ``max_sites_per_cell`` sites.
-    """
-    axes = ("_sx", "_sy", "_sz")
-    stats = sites.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.min(c).alias(f"lo{c}") for c in axes],
-        *[F.max(c).alias(f"hi{c}") for c in axes],
-    ).first()
-    n = int(stats["n"])
-    if n == 0:
-        return MAX_CELL, 0, MAX_CELL, MAX_CELL
-    extents = sorted((stats[f"hi{c}"] - stats[f"lo{c}"] for c in axes), reverse=True)
-    area = max(extents[0] * extents[1], MIN_CELL * MIN_CELL)
-    spread = h = min(max(math.sqrt(area / n), MIN_CELL), MAX_CELL)
-    while n > max_sites_per_cell and h > MIN_CELL and _densest_cell(sites, h) > max_sites_per_cell:
-        h = max(h / 2, MIN_CELL)
-    return h, n, spread, extents[0]
-
-
-def _site_cells(sites: DataFrame, h: float) -> DataFrame:
-    """Each site copied into the 27 cells (of size ``h``) around its own cell."""
-    return sites.select(
-        "_rank", "_slat", "_slon", "_sx", "_sy", "_sz",
-        _cell("_sx", h).alias("_hx"), _cell("_sy", h).alias("_hy"), _cell("_sz", h).alias("_hz"),
-        _offsets(),
-    ).selectExpr(
-        "_rank", "_slat", "_slon", "_sx", "_sy", "_sz",
-        "_hx + _dx AS _scx", "_hy + _dy AS _scy", "_hz + _dz AS _scz",
-    )
-
-
 _UNIT = (
     "cos(radians(_lat)) * cos(radians(_lon)) AS _px",
     "cos(radians(_lat)) * sin(radians(_lon)) AS _py",
     "sin(radians(_lat)) AS _pz",
 )
 
+_CANDIDATE = (
+    f"named_struct('distance_km', {haversine_sql('_lat', '_lon', '_slat', '_slon')}, 'rank', _rank)"
+)
 
-def _cell_sql(prefix: str, h: float, names: tuple[str, str, str]) -> list[str]:
-    return [f"CAST(floor({prefix}{axis} / {h!r}D) AS BIGINT) AS {name}" for axis, name in zip("xyz", names)]
 
+def _cell_name(prefix: str, level: int | str) -> str:
+    """SQL text of the cell of ``level`` that holds a vector; its name starts with the level."""
+    size = f"({MAX_CELL!r}D / pow(2.0D, {level}))"
+    return f"concat_ws(':', {level}, {', '.join(f'CAST(floor({prefix}{a} / {size}) AS BIGINT)' for a in 'xyz')})"
 
-def _best_near(points: DataFrame, cells: DataFrame, h: float) -> DataFrame:
-    """Per id: best candidate ``(distance_km, rank)`` within chord ``h``, or NULL.
 
-    A farther site can never be a proven answer at this cell size; dropping it
-    before the aggregation keeps few candidates per point.  ``min(struct(distance,
-    rank))`` picks the smallest distance and, on an exact tie, the smallest label;
-    it is reduced map-side before the shuffle.
-    """
-    keyed = points.selectExpr("_id", "_lat", "_lon", *_UNIT).selectExpr("*", *_cell_sql("_p", h, ("_cx", "_cy", "_cz")))
-    # equi-keys (cell) plus the chord test in one left outer join: a point without
-    # any site within chord h keeps a single row with NULL site columns
-    within = F.expr(
-        "_cx = _scx AND _cy = _scy AND _cz = _scz"
-        f" AND sqrt(pow(_px - _sx, 2) + pow(_py - _sy, 2) + pow(_pz - _sz, 2)) <= {h!r}D"
-    )
-    pairs = keyed.join(cells, within, "left").selectExpr("_id", f"CASE WHEN _slat IS NOT NULL THEN {_CANDIDATE} END AS _b")
-    return pairs.groupBy("_id").agg(F.min("_b").alias("_b"))
+def _parent(node: str, steps: int) -> str:
+    """SQL text of the cell ``steps`` levels above a named cell."""
+    part = f"split({node}, ':')"
+    index = ", ".join(f"shiftright(CAST({part}[{i}] AS BIGINT), {steps})" for i in (1, 2, 3))
+    return f"concat_ws(':', CAST({part}[0] AS INT) - {steps}, {index})"
 
 
-_CANDIDATE = (
-    f"named_struct('distance_km', {haversine_sql('_lat', '_lon', '_slat', '_slon')}, 'rank', _rank)"
-)
+def _box(kind: str, low: str = "_{0}", high: str = "_{0}") -> list[Column]:
+    """Tight box of grouped vectors or boxes as ``_<kind>lo<axis>, _<kind>hi<axis>``."""
+    out = []
+    for axis in "xyz":
+        out.append(F.min(low.format(axis)).alias(f"_{kind}lo{axis}"))
+        out.append(F.max(high.format(axis)).alias(f"_{kind}hi{axis}"))
+    return out
 
 
-def _chord_of(distance_km: Column) -> Column:
-    """Unit-sphere chord of a great-circle distance: 2 sin(d / 2R)."""
-    return F.lit(2.0) * F.sin(distance_km / F.lit(2.0 * EARTH_RADIUS_KM))
+def _box_names(kind: str) -> list[str]:
+    return [f"_{kind}{end}{axis}" for axis in "xyz" for end in ("lo", "hi")]
 
 
-def _site_pyramid(sites: DataFrame, levels: list[int]) -> DataFrame:
-    """Occupied site cells of ``levels`` (cell size ``4 / 2**level``) with tight boxes.
+def _chords(kind: str) -> tuple[str, str]:
+    """SQL text of the least and the greatest chord between a point cell's box and a site box."""
+    lo, hi = f"_{kind}lo", f"_{kind}hi"
+    least = [f"pow(greatest(0.0D, {lo}{a} - _phi{a}, _plo{a} - {hi}{a}), 2)" for a in "xyz"]
+    most = [f"pow(greatest({hi}{a} - _plo{a}, _phi{a} - {lo}{a}), 2)" for a in "xyz"]
+    return f"sqrt({' + '.join(least)})", f"sqrt({' + '.join(most)})"
 
-    ``node`` names a cell as text, ``parent`` the cell two levels up (first level: ``root``).
+
+def _pruned(state: DataFrame, kind: str, keep: list[str]) -> DataFrame:
+    """Keep a point cell's candidates that can hold the nearest site of one of its points."""
+    least, most = _chords(kind)
+    rows = state.selectExpr("_pc", *keep, f"{least} AS _least", f"min({most}) OVER (PARTITION BY _pc) AS _bound")
+    return rows.where(f"_least <= _bound * {1 + RELATIVE_MARGIN!r}D + {ABSOLUTE_MARGIN!r}D").drop("_least", "_bound")
+
+
+def _level_of(cell: float) -> int:
+    return min(MAX_LEVEL, max(0, math.floor(math.log2(MAX_CELL / max(cell, MIN_CELL)))))
+
+
+class _Sites:
+    """Cleaned sites with the pyramid of their occupied cells, from ``top`` (at most 64 cells) down to ``last``."""
+
+    def __init__(self, sites: DataFrame, max_broadcast_bytes: int):
+        self.sites = sites
+        stats = sites.agg(F.count(F.lit(1)).alias("n"), *[f(f"_s{a}").alias(f"{k}{a}") for a in "xyz" for k, f in (("lo", F.min), ("hi", F.max))]).first()
+        self.count = int(stats["n"])
+        if not self.count:
+            return
+        extents = sorted((stats[f"hi{a}"] - stats[f"lo{a}"] for a in "xyz"), reverse=True)
+        # the average spacing: one site a cell over the box's largest face
+        self.spacing = math.sqrt(max(extents[0] * extents[1], MIN_CELL * MIN_CELL) / self.count)
+        self.top = _level_of(extents[0])  # cells as wide as all sites: two along an axis at most
+        self.small = self.count * _SITE_BYTES <= max_broadcast_bytes
+
+    def build(self) -> None:
+        """The pyramid, down to the first level on which no cell holds more than ``LEAF_SITES``."""
+        levels = list(range(self.top, MAX_LEVEL + 1, 2))
+        names = ", ".join(f"named_struct('level', {n}, 'node', {_cell_name('_s', n)})" for n in levels)
+        each = self.sites.selectExpr("_sx AS _x", "_sy AS _y", "_sz AS _z", f"inline(array({names}))")
+        boxes = each.groupBy("level", "node").agg(F.count(F.lit(1)).alias("n"), *_box("s"))
+        self.cells = materialize(boxes, "site-cells")
+        fullest = {r["level"]: r["n"] for r in self.cells.groupBy("level").agg(F.max("n").alias("n")).collect()}
+        self.last = next((n for n in levels if fullest[n] <= LEAF_SITES), levels[-1])
+
+    def below(self, level: int) -> DataFrame:
+        """Cells of ``level`` with their parents two levels above."""
+        rows = self.cells.where(f"level = {level}")
+        return self._joined(rows.selectExpr("node AS _child", f"{_parent('node', 2)} AS _parent", *_box_names("s")))
+
+    def leaves(self) -> DataFrame:
+        box = [f"_s{a} AS _s{end}{a}" for a in "xyz" for end in ("lo", "hi")]
+        return self._joined(self.sites.selectExpr("_rank", "_slat", "_slon", *box, f"{_cell_name('_s', self.last)} AS _leaf"))
+
+    def _joined(self, side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if self.small else side.hint("merge")
+
+    def first(self) -> Column:
+        """The cells of the top level as one literal array: 64 at most, as each axis has two or three."""
+        rows = self.cells.where(f"level = {self.top}").collect()
+        cells = [
+            "named_struct('_sc', '{}', {})".format(r["node"], ", ".join(f"'{c}', {r[c]!r}D" for c in _box_names("s")))
+            for r in sorted(rows, key=lambda r: r["node"])
+        ]
+        return F.expr(f"inline(array({', '.join(cells)}))")
+
+
+def _descended(cells: DataFrame, level: int, sites: _Sites) -> DataFrame:
+    """Candidate sites ``_pc, _rank, _slat, _slon`` of point ``cells`` (``_pc`` and its box) of ``level``.
+
+    The point cells' ancestors go down with the site cells, two levels a step, so that a
+    list is shared while it is long and the cells are few.
     """
+    at, deep = level - 2 * max(0, (level - sites.top) // 2), sites.top
+    boxes = [*_box_names("p"), *_box_names("s")]
+    state = _ancestors(cells, level - at).select("*", sites.first())
+    state = _pruned(state, "s", ["_sc", *boxes])
+    while at < level or deep < sites.last:
+        if at < level:
+            at += 2
+            finer = _ancestors(cells, level - at).selectExpr(f"{_parent('_pc', 2)} AS _up", "*")
+            state = state.withColumnRenamed("_pc", "_up").drop(*_box_names("p")).join(finer, "_up").drop("_up")
+        if deep < sites.last:
+            deep += 2
+            state = state.drop(*_box_names("s")).join(sites.below(deep), F.col("_sc") == F.col("_parent"))
+            state = state.drop("_sc").withColumnRenamed("_child", "_sc")
+        state = _pruned(state, "s", ["_sc", *boxes])
+        if not sites.small and (deep - sites.top) % 4 == 0:
+            state = materialize(state, "nearest-cells")
+    state = state.drop(*_box_names("s")).join(sites.leaves(), F.col("_sc") == F.col("_leaf"))
+    return _pruned(state, "s", ["_rank", "_slat", "_slon"])
 
-    def name(level: str) -> str:
-        parts = ", ':', ".join(f"CAST(floor(_s{axis} / (4.0D / pow(2.0D, {level}))) AS BIGINT)" for axis in "xyz")
-        return f"concat({level}, '/', {parts})"
 
-    each = sites.selectExpr("_sx", "_sy", "_sz", f"explode(array({', '.join(map(str, levels))})) AS level")
-    named = each.selectExpr(
-        "*", f"{name('level')} AS node", f"CASE WHEN level = {levels[0]} THEN 'root' ELSE {name('(level - 2)')} END AS parent"
-    )
-    boxes = [f(f"_s{axis}").alias(f"_{kind}{axis}") for axis in "xyz" for kind, f in (("lo", F.min), ("hi", F.max))]
-    return named.groupBy("level", "node", "parent").agg(*boxes)
+def _ancestors(cells: DataFrame, steps: int) -> DataFrame:
+    """The point cells ``steps`` levels above ``cells``, with their boxes."""
+    if not steps:
+        return cells.select("_pc", *_box_names("p"))
+    boxes = []
+    for axis in "xyz":
+        boxes += [F.min(f"_plo{axis}").alias(f"_plo{axis}"), F.max(f"_phi{axis}").alias(f"_phi{axis}")]
+    return cells.withColumn("_pc", F.expr(_parent("_pc", steps))).groupBy("_pc").agg(*boxes)
 
 
-_SITE_BOX = [f"_{k}{a}" for a in "xyz" for k in ("lo", "hi")]
+def _refined(cells: DataFrame, lists: DataFrame, steps: int) -> DataFrame:
+    """Lists of ``cells`` from those of their ancestors ``steps`` levels above, pruned level by level."""
+    box = [f"_s{c}" for c in ("lat", "lon")]
+    sx, sy, sz = unit_vector("_slat", "_slon")
+    named = {f"_s{end}{a}": v for a, v in zip("xyz", (sx, sy, sz)) for end in ("lo", "hi")}
+    state = lists
+    for above in range(steps - 1, -1, -1):
+        finer = _ancestors(cells, above).selectExpr(f"{_parent('_pc', 1)} AS _up", "*")
+        state = state.selectExpr("_pc AS _up", "_rank", *box).join(finer, "_up").drop("_up").withColumns(named)
+        state = _pruned(state, "s", ["_rank", *box])
+    return state
 
 
-def _gaps(lo: str, hi: str) -> tuple[str, str]:
-    """SQL text of the least and the greatest chord between the point cell's box and a box."""
-    least = [f"pow(greatest(0.0D, {lo}{a} - _phi{a}, _plo{a} - {hi}{a}), 2)" for a in "xyz"]
-    most = [f"pow(greatest({hi}{a} - _plo{a}, _phi{a} - {lo}{a}), 2)" for a in "xyz"]
-    return f"sqrt({' + '.join(least)})", f"sqrt({' + '.join(most)})"
+def _keyed(points: DataFrame, level: int) -> DataFrame:
+    return points.selectExpr("_id", "_lat", "_lon", *_UNIT).withColumn("_pc", F.expr(_cell_name("_p", level)))
 
 
-_POINT_BOX = [f"_p{k}{a}" for a in "xyz" for k in ("lo", "hi")]
+def _point_cells(points: DataFrame, level: int) -> DataFrame:
+    rows = _keyed(points, level).withColumnsRenamed({f"_p{a}": f"_{a}" for a in "xyz"})
+    return rows.groupBy("_pc").agg(*_box("p"))
 
 
-def _pruned(state: DataFrame, lo: str, hi: str, keep: list[str]) -> DataFrame:
-    """Keep a point cell's candidates that can hold the nearest site of one of its points."""
-    least, most = _gaps(lo, hi)
-    rows = state.selectExpr(*keep, f"{least} AS _least", f"min({most}) OVER (PARTITION BY _pc) AS _bound")
-    return rows.where(f"_least <= _bound * {1 + RELATIVE_MARGIN!r}D + {ABSOLUTE_MARGIN!r}D")
+def _first_level(points: DataFrame, sites: _Sites) -> int:
+    """Level of the first point cells: about half the sites' spacing, unless the points' area has too many such cells."""
+    coarse = _point_cells(points, 6)
+    spans = [F.greatest(F.col(f"_phi{a}") - F.col(f"_plo{a}"), F.lit(MIN_CELL)) for a in "xyz"]
+    face = F.greatest(spans[0] * spans[1], spans[0] * spans[2], spans[1] * spans[2])
+    area = coarse.agg(F.sum(face).alias("area")).first()["area"] or 0.0
+    return _level_of(max(sites.spacing / 2, math.sqrt(area / (LEAST_POINT_CELLS + 16 * sites.count))))
 
 
-def _best_far(
-    points: DataFrame, sites: DataFrame, n_sites: int, h: float, extent: float, max_broadcast_bytes: int
-) -> DataFrame:
-    """Per id of the open ``points``: its best ``(distance_km, rank)`` over all sites."""
-    keyed = points.selectExpr("_id", "_lat", "_lon", *_UNIT)
-    cell = " , ':', ".join(f"CAST(floor(_p{a} / {h!r}D) AS BIGINT)" for a in "xyz")
-    keyed = keyed.withColumn("_pc", F.expr(f"concat({cell})"))
-    boxes = [f(f"_p{a}").alias(f"_p{k}{a}") for a in "xyz" for k, f in (("lo", F.min), ("hi", F.max))]
-    state = keyed.groupBy("_pc").agg(*boxes).withColumn("node", F.lit("root"))
-    last = min(MAX_PYRAMID_LEVEL, max(0, math.ceil(math.log2(MAX_CELL / h))))
-    # cells at least as wide as all sites together: at most two along each axis
-    first = min(last, max(0, math.floor(math.log2(MAX_CELL / max(extent, MIN_CELL)))))
-    levels = list(range(last, first - 1, -2))[::-1]  # every second level: fewer, wider steps
-    pyramid = materialize(_site_pyramid(sites, levels), "site-pyramid")
-    small = n_sites * len(levels) * _PYRAMID_BYTES <= max_broadcast_bytes
-    for step, level in enumerate(levels):
-        below = pyramid.where(f"level = {level}").selectExpr("node AS child", "parent", *_SITE_BOX)
-        # at most 64 cells in the first level, and 64 for each of the level above
-        below = F.broadcast(below) if small or step == 0 else below.hint("merge")
-        state = state.join(below, F.col("node") == F.col("parent"))
-        state = _pruned(state, "_lo", "_hi", ["_pc", *_POINT_BOX, "child AS node"])
-        if not small and step % 2:
-            state = materialize(state, "nearest-cells")
-    leaf = ", ':', ".join(f"CAST(floor(_s{a} / {MAX_CELL / 2.0**last!r}D) AS BIGINT)" for a in "xyz")
-    placed = sites.selectExpr("_rank", "_slat", "_slon", "_sx", "_sy", "_sz", f"concat({last}, '/', {leaf}) AS leaf")
-    placed = F.broadcast(placed) if small else placed.hint("merge")
-    state = state.join(placed, F.col("node") == F.col("leaf"))
-    lists = _pruned(state, "_s", "_s", ["_pc", "_rank", "_slat", "_slon"])
-    pairs = keyed.select("_id", "_lat", "_lon", "_pc").join(lists, "_pc").selectExpr("_id", f"{_CANDIDATE} AS _b")
-    return pairs.groupBy("_id").agg(F.min("_b").alias("_b"))
+def _best_near(points: DataFrame, lists: DataFrame) -> DataFrame:
+    """Candidate pairs of ``points`` (``_id, _lat, _lon, _pc``) as ``_id`` and ``_b``, a ``(distance_km, rank)``."""
+    return points.join(lists, "_pc").selectExpr("_id", f"{_CANDIDATE} AS _b")
+
+
+def candidate_lists(
+    points: DataFrame, sites: _Sites, max_sites_per_cell: int, max_broadcast_bytes: int
+) -> list[tuple[DataFrame, DataFrame, int]]:
+    """Rounds of (points with their cell ``_pc``, lists ``_pc, _rank, _slat, _slon``, rows of the lists).
+
+    Every point belongs to exactly one round.
+    """
+    level = _first_level(points, sites)
+    rounds = []
+    lists, rest = None, points
+    steps = 0
+    while True:
+        cells = materialize(_point_cells(rest, level), "point-cells")
+        found = _descended(cells, level, sites) if lists is None else _refined(cells, lists, steps)
+        lists = materialize(found, "site-lists")
+        sizes = lists.groupBy("_pc").agg(F.count(F.lit(1)).alias("_n"))
+        sizes = materialize(sizes.withColumn("_open", F.col("_n") > max_sites_per_cell), "list-sizes")
+        total = sizes.groupBy("_open").agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("cells")).collect()
+        seen = {r["_open"]: r for r in total}
+        split = True in seen and level < MAX_LEVEL
+        if not split:
+            rounds.append((_keyed(rest, level), lists, sum(r["rows"] for r in total)))
+            return rounds
+        wide = sizes.filter("_open").select("_pc")
+        fits = seen[True]["cells"] * _NAME_BYTES <= max_broadcast_bytes
+        wide = F.broadcast(wide) if fits else wide.hint("merge")
+        short = lists.join(wide, "_pc", "left_anti")
+        if False in seen:
+            rounds.append((_keyed(rest, level), short, seen[False]["rows"]))
+        keyed = _keyed(rest, level).join(wide, "_pc", "left_semi")
+        rest = materialize(keyed.select("_id", "_lat", "_lon"), "open-points")
+        lists = materialize(lists.join(wide, "_pc", "left_semi"), "open-lists")
+        steps = min(FINER, MAX_LEVEL - level)
+        level += steps
 
 
 def nearest_site(
@@ -281,60 +317,52 @@ def nearest_site(
 ) -> DataFrame:
     """Per point id: ``id_col, distance_km, <site_label>`` of its nearest site.
 
-    ``strategy`` picks the physical join between points and the cell-keyed sites
-    (see :mod:`urbanframe.operators.joins`).  ``default`` and ``broadcast``
-    broadcast the sites only when their 27 copies fit ``max_broadcast_bytes`` (from
-    the exact site count and fixed row width) and sort-merge join otherwise;
-    ``merge`` and ``shuffle_hash`` always shuffle both sides.
+    ``strategy`` picks the physical join between points and the cells' lists (see
+    :mod:`urbanframe.operators.joins`).  ``default`` and ``broadcast`` broadcast the
+    lists only when they fit ``max_broadcast_bytes`` (from their exact row count and
+    fixed row width) and sort-merge join otherwise; ``merge`` and ``shuffle_hash``
+    always shuffle both sides.  A point meets at most ``max_sites_per_cell`` sites,
+    unless more are equally near as far as 0.1 m can tell.
     """
     if strategy not in JOIN_STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; choose one of {JOIN_STRATEGIES}")
     spark = points.sparkSession
     site_pos = materialize(clean_sites(sites, site_label, site_lat, site_lon), "nearest-sites")
     clean = clean_points(points, id_col, lat, lon)
-    h, n_sites, spread, extent = initial_cell_size(site_pos, max_sites_per_cell)
-    if n_sites == 0:
+    known = _Sites(site_pos, max_broadcast_bytes)
+    if known.count == 0:
         return spark.createDataFrame(
             [], points.select(F.col(id_col)).schema.add("distance_km", "double").add(
                 site_label, sites.schema[site_label].dataType
             )
         )
-    cells = _site_cells(site_pos, h)
-    # Catalyst's estimate does not see the 27-fold copy made by the generator
-    fits = 27 * n_sites * _SITE_CELL_BYTES <= max_broadcast_bytes
-    if strategy in ("default", "broadcast"):
-        cells = F.broadcast(cells) if fits else with_strategy(cells, "merge")
-    else:
-        cells = with_strategy(cells, strategy)
-    near = materialize(_best_near(clean, cells, h), "nearest-best")
-    proven = F.col("_b").isNotNull() & (
-        _chord_of(F.col("_b.distance_km")) <= F.lit(h * (1 - RELATIVE_MARGIN) - ABSOLUTE_MARGIN)
-    )
-    best = near.filter(proven)
-    n_open = near.filter(~proven).count()
-    if n_open:
-        open_ids = near.filter(~proven).select(F.col("_id").alias("_oid"))
-        if isinstance(near.schema["_id"].dataType, T.NumericType) and n_open * 24 <= max_broadcast_bytes:
-            open_ids = F.broadcast(open_ids)
-        # NULL-safe: points without an id form one group, as in the grouping above
-        rest = materialize(clean.join(open_ids, clean["_id"].eqNullSafe(open_ids["_oid"]), "left_semi"), "open-points")
-        best = best.unionByName(_best_far(rest, site_pos, n_sites, spread, extent, max_broadcast_bytes))
+    known.build()
+    pairs = None
+    for keyed, lists, rows in candidate_lists(clean, known, max_sites_per_cell, max_broadcast_bytes):
+        if strategy in ("default", "broadcast"):
+            # Catalyst's estimate comes from compressed files
+            lists = F.broadcast(lists) if rows * _LIST_BYTES <= max_broadcast_bytes else with_strategy(lists, "merge")
+        else:
+            lists = with_strategy(lists, strategy)
+        some = _best_near(keyed, lists)
+        pairs = some if pairs is None else pairs.unionByName(some)
+    best = pairs.groupBy("_id").agg(F.min("_b").alias("_b"))
     out = best.select(F.col("_id").alias(id_col), F.col("_b.distance_km").alias("distance_km"), F.col("_b.rank").alias("_rank"))
     labels = site_pos.select("_rank", F.col("_label").alias(site_label))
     return out.join(labels, "_rank").drop("_rank")
 
 
-_PYRAMID_BYTES = 200  # two cell names of at most 70 characters and a box
-_SITE_CELL_BYTES = 80  # rank, two coordinates, three vector parts, three cell numbers, row header
+_SITE_BYTES = 200  # a cell name of at most 70 characters and a box
+_NAME_BYTES = 100
+_LIST_BYTES = 130  # a cell name, rank, two coordinates, row header
 
 
 def nearest_site_summary(nearest: DataFrame, site_label: str, digits: int = 3) -> DataFrame:
-    """Per site: mean distance of the ids assigned to it and their number (``#``)."""
-    return (
-        nearest.groupBy(site_label)
-        .agg(
-            F.round(F.avg("distance_km"), digits).alias("average_distance"),
-            F.count(F.lit(1)).alias("#"),
-        )
-        .orderBy(F.desc("#"), F.asc(site_label))
+    """Per site: mean distance of the ids assigned to it and their number (``#``).
+
+    The mean does not depend on how the ids are partitioned, not even in its last bit.
+    """
+    averages = reproducible_avg(nearest, site_label, "distance_km", "_avg", "#")
+    return averages.select(site_label, F.round("_avg", digits).alias("average_distance"), "#").orderBy(
+        F.desc("#"), F.asc(site_label)
     )

@@ -118,13 +118,16 @@ def nation_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hostile_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events -> crimes whose time text is over-long, signed, blank, padded or no number."""
+    """events -> crimes whose time text is over-long, signed, blank, padded or no number.
+
+    One is padded by a no-break space, which is no blank and makes it no number.
+    """
     ev = table(spark, sf_dir, "events")
     k = F.col("event_id")
-    odd = {0: "3000000000", 1: "99999999999", 2: "-5", 3: "noon", 4: "", 5: "  930 "}
+    odd = {0: "3000000000", 1: "99999999999", 2: "-5", 3: "noon", 4: "", 5: "  930 ", 6: "\u00a01230"}
     text = F.lpad(((k * 37) % 2500).cast("string"), 4, "0")
     for rest, value in odd.items():
-        text = F.when(k % 7 == rest, F.lit(value)).otherwise(text)
+        text = F.when(k % 8 == rest, F.lit(value)).otherwise(text)
     return ev.select(F.col("event_type").alias("Premis Desc"), text.alias("TIME OCC"))
 
 
@@ -132,13 +135,24 @@ def hostile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders -> ``key`` (NULL for every fifth), ``o_custkey`` and a ``note`` that CSV finds hard."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    odd = {0: 'a "b", c', 1: "one\ntwo\rx", 2: "  blanks  ", 3: 'back\\slash \\n, "end\\', 4: None}
+    odd = {0: 'a "b", c', 1: "one\ntwo\rx", 2: "  blanks  ", 3: 'back\\slash \\n, "end\\', 4: None, 5: "a\0b\\0"}
     note = F.concat("o_orderpriority", F.lit(";"), k.cast("string"))
     for rest, value in odd.items():
-        note = F.when(k % 6 == rest, F.lit(value)).otherwise(note)
+        note = F.when(k % 7 == rest, F.lit(value)).otherwise(note)
     return o.select(F.when(k % 5 != 0, k).alias("key"), "o_custkey", note.alias("note"))
 
 
+def hostile_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders -> ``label, value``: labels that are hard to write as a Python tuple."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    odd = {0: "None", 1: None, 2: "it's (\"a\"), 'b')", 3: "back\\slash\\n\\x27", 4: "two\nlines\r", 5: ""}
+    label = F.col("o_orderpriority")
+    for rest, value in odd.items():
+        label = F.when(k % 7 == rest, F.lit(value)).otherwise(label)
+    return o.select(label.alias("label"), F.col("o_custkey").cast("double").alias("value"))
+
+
 def wide_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders -> ``g``, ``v``: both ends of the doubles and powers of ten from -300 to 299."""
     o = table(spark, sf_dir, "orders")

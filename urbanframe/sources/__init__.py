@@ -1,5 +1,6 @@
 from urbanframe.sources.readers import (
     csv_header,
+    csv_headers,
     flatten_features,
     geojson_schema,
     parse_csv_lines,
@@ -10,8 +11,12 @@ from urbanframe.sources.readers import (
     string_schema,
 )
 from urbanframe.sources.sinks import (
+    ConversionError,
     convert_csv_to_parquet,
+    convert_verified,
     default_output_path,
+    read_tuple_text,
+    row_checksum,
     tuple_lines,
     write_parquet,
     write_result,
@@ -19,9 +24,12 @@ from urbanframe.sources.sinks import (
 )
 
 __all__ = [
+    "ConversionError",
     "convert_csv_to_parquet",
+    "convert_verified",
     "default_output_path",
     "csv_header",
+    "csv_headers",
     "flatten_features",
     "geojson_schema",
     "parse_csv_lines",
@@ -29,6 +37,8 @@ __all__ = [
     "read_geojson_properties",
     "read_lines",
     "read_table",
+    "read_tuple_text",
+    "row_checksum",
     "string_schema",
     "tuple_lines",
     "write_parquet",
