@@ -12,9 +12,10 @@ probability 0.12, and one of 48 sketches does in 99.7 % of cases.  Short texts a
 sketched by 2-mers, of which edits spoil fewer.
 
 Texts with equal word sequences are one node from the start; nodes that agree on a
-sketch share a bucket.  Two leaders of each bucket are compared with its members
-first, which brings the bulk of a large group into one class.  Then every pair of a
-bucket that is not yet of one class is compared, unless the counts of the two texts'
+sketch share a bucket.  Two leaders of each bucket, the one that agrees most with
+others and a random one, are compared with its members first, which brings the bulk of
+a large group into one class; its other members are then compared with some of that
+class.  At last every pair of a bucket that is not yet of one class is compared, unless the counts of the two texts'
 words alone show that they are too far apart (an edit changes two counts at most).
 No bucket is capped and no member dropped: a near duplicate is missed only if the
 two texts agree on no sketch, never because of the other texts of a bucket.  The
@@ -228,11 +229,17 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """``bucket, node, n`` of every bucket that holds two nodes or more."""
+    """``bucket, node, n, standing`` of every bucket that holds two nodes or more.
+
+    ``standing`` adds up the sizes of a node's buckets: the text that a group of copies was
+    made from agrees with more of them than any copy does.
+    """
     buckets = nodes.select("node", "n", F.explode("keys").alias("bucket"))
-    several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("bucket")
+    several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
     # a table of its own: both sides of the join are then plain exchanges, which Spark splits if a bucket is hot
-    return buckets.join(materialize(several, "shared-buckets"), "bucket")
+    members = materialize(buckets.join(materialize(several, "shared-buckets"), "bucket"), "bucket-members")
+    standing = members.groupBy("node").agg(F.sum("_c").alias("standing"))
+    return members.drop("_c").join(materialize(standing, "standing"), "node")
 
 
 def _near(similarity: float) -> Column:
@@ -243,9 +250,11 @@ def _near(similarity: float) -> Column:
 def _led(shared: DataFrame, similarity: float, turn: int) -> DataFrame:
     """Pairs ``a, b`` of a member and its bucket's leader.
 
-    A bucket is led by its node of least hash, so that a node leads in most of its buckets or in few.
+    In the first turn a bucket is led by its node of highest standing, in others by that of
+    least hash: a node leads in most of its buckets or in few, so that pairs repeat.
     """
-    drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")
+    hashed = F.xxhash64("node", F.lit(turn))
+    drawn = F.struct((-F.col("standing") if turn == 0 else hashed).alias("h"), hashed.alias("g"), "node", "n")
     leaders = shared.groupBy("bucket").agg(F.min(drawn).alias("l")).select("bucket", F.col("l.node").alias("b"), F.col("l.n").alias("bn"))
     led = shared.withColumnsRenamed({"node": "a", "n": "an"}).join(materialize(leaders, "leaders"), "bucket")
     return led.filter((F.col("a") != F.col("b")) & _near(similarity)).select("a", "b")
@@ -258,14 +267,22 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(materialize(spans.filter("l <> m").select("bucket"), "open-buckets"), "bucket")
 
 
-def _untested(shared: DataFrame, links: DataFrame, tallies: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` (a < b) of a bucket that ``links`` have not brought into one class.
+def _open_members(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of buckets with two classes or more, and the ``label`` of their class by ``links``."""
+    members = shared.join(components(links.select("a", "b")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = materialize(members, "members")
+    opened = materialize(_open(members), "open-members")
+    release(members)
+    return opened
+
+
+def _untested(opened: DataFrame, nodes: DataFrame, tallies: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` (a < b) of a bucket that are not of one class, each once.
 
-    Pairs whose lengths or word counts rule the similarity out are left away at once.
+    A pair is listed in the least of the buckets it shares.  Pairs whose lengths or word
+    counts rule the similarity out are left away at once.
     """
-    members = shared.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = materialize(members, "members")
-    members = materialize(_open(members).join(tallies, "node"), "open-members")
+    members = materialize(opened.join(tallies, "node").join(nodes.select("node", "keys"), "node"), "open-texts")
     a = members.select("bucket", *(F.col(c).alias(n) for c, n in _SIDE_A))
     b = members.select("bucket", *(F.col(c).alias(n) for c, n in _SIDE_B))
     apart = (F.col("a") < F.col("b")) & (F.col("al") != F.col("bl"))
@@ -273,30 +290,37 @@ def _untested(shared: DataFrame, links: DataFrame, tallies: DataFrame, similarit
     # every edit moves a word's count on either side by one at most
     moved = F.aggregate(F.zip_with("at", "bt", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
     alike = moved <= 2 * (longer * F.lit(1 - similarity) + F.lit(1e-9))
-    pairs = a.join(b.hint("merge"), "bucket").filter(apart & _near(similarity) & alike)
-    return materialize(pairs.select("a", "b").distinct(), "untested")
+    once = F.array_min(F.array_intersect("ak", "bk")) == F.col("bucket")
+    pairs = a.join(b.hint("merge"), "bucket").filter(apart & _near(similarity) & once & alike)
+    return materialize(pairs.select("a", "b"), "untested")
 
 
-_SIDE_A = (("node", "a"), ("n", "an"), ("label", "al"), ("tally", "at"))
-_SIDE_B = (("node", "b"), ("n", "bn"), ("label", "bl"), ("tally", "bt"))
+_SIDE_A = (("node", "a"), ("n", "an"), ("label", "al"), ("tally", "at"), ("keys", "ak"))
+_SIDE_B = (("node", "b"), ("n", "bn"), ("label", "bl"), ("tally", "bt"), ("keys", "bk"))
 
 
 def _links(nodes: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
     """Verified links ``a, b`` among ``nodes`` (``node, n, k1, k2, keys``)."""
     shared = materialize(_shared(nodes), "shared")
     words = materialize(_word_lists(_texts_of(shared, nodes, keyed)).dropDuplicates(["node"]), "word-lists")
+    lists = words.select("node", "words")
     led = _led(shared, similarity, 0)
     for turn in range(1, TURNS):
         led = led.unionByName(_led(shared, similarity, turn))
-    known = materialize(_verified(led.distinct(), words.select("node", "words"), similarity), "pairs")
+    known = materialize(_verified(led.distinct(), lists, similarity), "pairs")
     # leaders alone do not settle a bucket: whatever they have not joined is compared pair by pair
-    linked = known.filter("linked").select("a", "b")
-    more = _untested(shared, linked, words.select("node", "tally"), similarity)
+    opened = _open_members(shared, known.filter("linked"))
     release(shared)
+    rest = _untested(opened, nodes, words.select("node", "tally"), similarity)
+    last = materialize(_verified(_fresh(rest, known), lists, similarity), "pairs-rest")
+    release(words, opened, rest)
+    return known.unionByName(last).filter("linked").select("a", "b")
+
+
+def _fresh(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """``pairs`` that ``known`` does not hold in either order."""
     tested = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    fresh = materialize(_verified(more.join(tested, ["a", "b"], "left_anti"), words.select("node", "words"), similarity), "pairs-rest")
-    release(words, more)
-    return linked.unionByName(fresh.filter("linked").select("a", "b"))
+    return pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def _texts_of(shared: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
