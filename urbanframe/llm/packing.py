@@ -6,8 +6,9 @@ covered" is solved by multiplicative weights: every length carries a weight that
 shrinks as it is covered, and the next configurations are priced by a knapsack
 dynamic program over those weights.  The fractional solution is rounded down to
 whole counts that never cover a length more often than it occurs; what remains is
-packed best-fit decreasing, on counts as well.  All of this sees at most
-``capacity`` histogram rows, whatever the number of documents.
+rounded up one configuration after the other, each the knapsack's best for the pieces
+that are left.  All of this sees at most ``capacity`` histogram rows, whatever the
+number of documents.
 
 Pieces then find their places without gathering: every piece knows its rank among
 the pieces of its length, and the plan says which sequence and offset a rank has.
@@ -32,6 +33,8 @@ from urbanframe.session import materialize
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
+MAX_BASE_ROWS = 1_000_000  # of 24 bytes
+NEIGHBOURS = 8  # tokens by which lengths differ that share their price
 
 # ---------------------------------------------------------------- the plan (driver, histogram only)
 def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +71,11 @@ def _trace(first: int, capacity: int, lengths: np.ndarray, item: np.ndarray) ->
 
 def fractional_cover(
     counts: dict[int, int], capacity: int, rounds: int = 120, per_round: int = 64, eps: float = 0.1
-) -> tuple[dict[Pattern, float], float]:
-    """Sequences per configuration (covering every length), and a lower bound of their sum.
+) -> tuple[dict[Pattern, float], float, np.ndarray]:
+    """Sequences per configuration (covering every length), a lower bound of their sum, and prices by length.
 
+    The prices are the weights of the later two thirds of the rounds on average, a dual
+    solution, evened out over lengths that differ by ``NEIGHBOURS`` tokens or less.
     Each round prices by one knapsack and takes up to ``per_round`` configurations
     worth at least ``1 - eps`` of the best one, those for the least covered lengths.
     """
@@ -78,12 +83,15 @@ def fractional_cover(
     need = np.array([counts[int(x)] for x in lengths], dtype=float)
     covered = np.zeros(len(lengths))
     taken: dict[Pattern, float] = defaultdict(float)
+    weights = np.zeros(len(lengths))
     bound, rate = 0.0, np.log(max(len(lengths), 2)) / eps / 4
-    for _ in range(rounds):
+    for turn in range(rounds):
         low = covered.min()
         weight = np.exp(-rate * (covered - low)) / need
         best, item = knapsack(lengths, weight, capacity)
         bound = max(bound, float((weight * need).sum() / best[capacity]))
+        if turn >= rounds // 3:
+            weights += weight / best[capacity]
         forced = weight + best[capacity - lengths]
         good = np.flatnonzero(forced >= (1 - eps) * best[capacity])
         for first in good[np.argsort(covered[good], kind="stable")][:per_round].tolist():
@@ -98,11 +106,16 @@ def fractional_cover(
     scale = covered.min()
     if scale <= 0:  # some length was never worth pricing: its own configuration covers it
         scale = max(float(np.median(covered)), eps)
-    return {p: x / scale for p, x in taken.items()}, bound
+    prices = np.zeros(capacity + 1)
+    for length in lengths:
+        near = np.abs(lengths - length) <= NEIGHBOURS
+        prices[length] = (weights[near] * need[near]).sum() / need[near].sum()
+    prices[lengths] = np.maximum.accumulate(prices[lengths])  # a longer piece takes no less room
+    return {p: x / scale for p, x in taken.items()}, bound, prices
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
-    """Best-fit decreasing on counts: (configuration, number of such sequences)."""
+    """Best-fit decreasing on counts: (configuration, number of such sequences); what plans are compared with."""
     free: dict[int, dict[Pattern, int]] = defaultdict(dict)  # room left -> open sequences
     rooms: list[int] = []
 
@@ -132,28 +145,68 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Pat
     return [(p, n) for patterns in free.values() for p, n in patterns.items() if p]
 
 
+def dive(left: dict[int, int], prices: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """Configurations that take every piece of ``left``, each the best one under ``prices`` for what is left.
+
+    A configuration begins with the longest piece left and goes on as the knapsack's table
+    says, at every step with the best piece that there still is; it is repeated as often
+    as its pieces allow.  ``prices`` are by length.
+    """
+    lengths = np.array(sorted(left), dtype=np.int64)
+    count = np.array([left[int(x)] for x in lengths], dtype=np.int64)
+    best, _ = knapsack(lengths, prices[lengths], capacity)
+    plan: list[tuple[Pattern, int]] = []
+    top = len(lengths) - 1
+    while top >= 0:
+        if not count[top]:
+            top -= 1
+            continue
+        chosen, room = {top: 1}, capacity - int(lengths[top])
+        taken = np.zeros(len(lengths), dtype=np.int64)
+        taken[top] = 1
+        while room >= lengths[0]:
+            fits = int(np.searchsorted(lengths, room, side="right"))
+            worth = np.where(count[:fits] > taken[:fits], best[room - lengths[:fits]] + prices[lengths[:fits]], -1.0)
+            at = fits - 1 - int(worth[::-1].argmax())  # the longest of equally good ones
+            if worth[at] < 0:
+                break
+            chosen[at] = chosen.get(at, 0) + 1
+            taken[at] += 1
+            room -= int(lengths[at])
+        n = min(int(count[at]) // times for at, times in chosen.items())
+        for at, times in chosen.items():
+            count[at] -= n * times
+        plan.append((tuple((int(lengths[at]), times) for at, times in sorted(chosen.items(), reverse=True)), n))
+    return plan
+
+
 def plan_sequences(counts: dict[int, int], capacity: int) -> tuple[list[tuple[Pattern, int]], float]:
-    """Configurations with whole counts that hold every piece exactly once, and a lower bound."""
+    """Configurations with whole counts that hold every piece exactly once, and a lower bound of their number.
+
+    The program's configurations are taken as often as their whole parts say, and never
+    more often than there are pieces.  The pieces left are rounded up by :func:`dive`,
+    under the program's prices and under the tokens themselves (which are optimal prices
+    where full sequences are possible throughout); the shorter plan counts.
+    """
     tokens = sum(length * n for length, n in counts.items())
-    full = counts.get(capacity, 0)
-    rest = {length: n for length, n in counts.items() if n and length < capacity}
-    whole: list[tuple[Pattern, int]] = [(((capacity, 1),), full)] if full else []
+    left = {length: n for length, n in counts.items() if n}
     bound = -(-tokens // capacity)
-    if not rest:
-        return whole, bound
-    fractions, lp_bound = fractional_cover(rest, capacity)
-    left, plan = dict(rest), []
+    if not left:
+        return [], bound
+    fractions, lp_bound, prices = fractional_cover(left, capacity)
+    plan = []
     for pattern, x in sorted(fractions.items(), key=lambda p: (-sum(a * b for a, b in p[0]), -p[1])):
         n = min([int(x), *(left[length] // times for length, times in pattern)])
         if n > 0:
             plan.append((pattern, n))
             for length, times in pattern:
                 left[length] -= n * times
-    plan += best_fit_decreasing({length: n for length, n in left.items() if n}, capacity)
-    plain = best_fit_decreasing(rest, capacity)
-    if sum(n for _, n in plain) < sum(n for _, n in plan):
-        plan = plain
-    return whole + plan, max(bound, full + lp_bound)
+    left = {length: n for length, n in left.items() if n}
+    if left:
+        tokens_alone = np.arange(capacity + 1) / capacity
+        dives = [dive(left, p, capacity) for p in (prices, tokens_alone)]
+        plan += min(dives, key=lambda d: sum(n for _, n in d))
+    return plan, max(bound, lp_bound)
 
 
 class Places:
@@ -235,11 +288,14 @@ def pack_sequences(
     """
     pieces = materialize(token_pieces(df, id_col, text_col, tokenizer_path, end_id, capacity), "pieces")
     blocks = materialize(pieces.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
-    counts = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    histogram = blocks.groupBy("length").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    counts = {r["length"]: r["n"] for r in histogram}
     plan, _ = plan_sequences(counts, capacity)
     places = Places(plan)
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     base = blocks.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    # a row for each length and task: broadcast only while they are few
+    base = F.broadcast(base) if sum(r["rows"] for r in histogram) <= MAX_BASE_ROWS else base.hint("merge")
     ranked = pieces.join(base, ["length", "_block"]).select(
         "id", "piece", "start", "length", "ids_crc32", (F.col("_base") + F.col("_nth")).alias("_rank")
     )
