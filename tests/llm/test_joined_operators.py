@@ -185,6 +185,7 @@ def test_packing_places_every_piece(spark):
 def test_plan_holds_each_piece_once_and_beats_its_bound():
     counts = dict(zip(*(x.tolist() for x in np.unique(np.random.default_rng(2).integers(300, 1100, 3000), return_counts=True))))
     plan, bound = packing.plan_sequences(counts, 2048)
+    assert sum(n for _, n in plan) <= 1.02 * bound
     held = Counter()
     for pattern, n in plan:
         for length, times in pattern:
@@ -240,6 +241,30 @@ def test_neighbours_recall_ties_and_invalid_vectors(spark):
     assert neighbours.nearest_neighbours(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_two_lengths_in_several_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 150)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 12)
+    monkeypatch.setattr(neighbours, "LEAST_QUERIES", 12)
+    rng = np.random.default_rng(9)
+    tables = {8: rng.normal(size=(500, 8)), 24: rng.normal(size=(460, 24))}
+    rows = [(2 * i + (d == 24), v.tolist()) for d, x in tables.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("dim", F.lit("x"))
+    got = defaultdict(dict)
+    for r in neighbours.nearest_neighbours(df, "vec_id", "embedding", F.col("vec_id") % 20 <= 1, k=20).collect():
+        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    hits = total = 0
+    for d, x in tables.items():
+        ids = np.arange(len(x)) * 2 + (d == 24)
+        for q in np.flatnonzero(ids % 20 <= 1):
+            s = x @ x[q]
+            best = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-s[i], i))[:20]
+            found = got.pop(int(ids[q]))
+            assert sorted(found) == list(range(1, 21))
+            hits += len({v for v, _ in found.values()} & {int(ids[i]) for i in best})
+            total += 20
+    assert not got and hits >= 0.9 * total
+
+
 def test_pipeline_stages_on_whole_small_table(spark):
     import corpus_pipeline
 

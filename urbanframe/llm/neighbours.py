@@ -9,8 +9,10 @@ distance, their vectors are verified in full, and a query stops as soon as a
 vector as near as its k-th best would, with probability ``confidence``, have been
 met already (chi-square test).
 
-Rows are dealt to shards of bounded size; every query block meets every shard, and
-the shards' best are merged.  Every row is indexed.
+Vectors of one length are searched among their own.  Rows are dealt to shards of
+bounded size, as large as that allows, since a query that sees more rows at once stops
+sooner; every query block meets every shard, and the shards' best are merged.  Every
+row is indexed.
 """
 
 from __future__ import annotations
@@ -23,10 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 16_384
-BLOCK_QUERIES = 2_048
+from urbanframe.session import materialize
+
+SHARD_ROWS = 65_536  # at most, and
+SHARD_BYTES = 128 << 20  # of their vectors as doubles
+BLOCK_QUERIES = 8_192
+LEAST_QUERIES = 256  # of a block that exists for parallelism only
 DIRECTIONS = 8
 LEAF_ROWS = 64
+MAX_LENGTHS = 100_000  # different lengths whose numbers are broadcast
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -148,9 +155,10 @@ def nearest_neighbours(
 ) -> DataFrame:
     """``query_id, rank, <id_col>, score``: each query row's ``k`` best other rows by inner product.
 
-    Equal scores rank by smaller id.  Rows without an id and vectors that are null,
-    zero, hold null or non-finite components, or differ from the commonest length
-    take no part; a row that occurs twice counts once.
+    Equal scores rank by smaller id.  A vector is compared with those of its own length.
+    Rows without an id and vectors that are null, zero or hold null or non-finite
+    components take no part; a row that occurs twice counts once.  Other columns are never
+    read; an empty table gives an empty result.
     """
     finite = F.forall(
         F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -167,43 +175,45 @@ def nearest_neighbours(
     )
     schema = f"query_id long, rank int, {id_col} long, score double"
     norm = F.sqrt(F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x * x))
-    stats = (
-        valid.groupBy(F.size("v").alias("dim"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("queries"), F.max(norm).alias("largest"))
-        .orderBy(F.desc("n"), "dim")
-        .first()
+    stats = valid.groupBy(F.size("v").alias("dim")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("q").alias("queries"), F.max(norm).alias("largest")
     )
-    if stats is None or not stats["queries"]:
+    # of each length: as many shards as their size asks for, and blocks to keep the cores busy
+    room = F.least(F.lit(SHARD_ROWS), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))))
+    shards = F.ceil(F.col("n") / room).cast("int")
+    cores = F.least(F.ceil(F.lit(df.sparkSession.sparkContext.defaultParallelism) / F.col("shards")), F.ceil(F.col("queries") / LEAST_QUERIES))
+    blocks = F.greatest(F.ceil(F.col("queries") / BLOCK_QUERIES), cores).cast("int")
+    plan = materialize(stats.filter("queries > 0").withColumn("shards", shards).withColumn("blocks", blocks), "vector-lengths")
+    if plan.isEmpty():
         return df.sparkSession.createDataFrame([], schema)
-    dim, largest = stats["dim"], stats["largest"]
-    shards = -(-stats["n"] // SHARD_ROWS)
-    blocks = -(-stats["queries"] // BLOCK_QUERIES)
-    directions = np.random.default_rng(seed).normal(size=(dim + 1, DIRECTIONS))
     stop = chi_square_quantile(confidence, DIRECTIONS)
-    rows = valid.filter(F.size("v") == dim)
+    plan = plan.select("dim", "largest", "shards", "blocks")
+    rows = valid.withColumn("dim", F.size("v")).join(F.broadcast(plan) if plan.count() <= MAX_LENGTHS else plan.hint("merge"), "dim")
     spread = F.xxhash64("id")
 
-    def everywhere(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def everywhere(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    points = rows.select("id", "v", F.pmod(spread, F.lit(shards)).cast("int").alias("shard"), everywhere(blocks).alias("block"))
+    points = rows.select("dim", "id", "v", "largest", F.pmod(spread, F.col("shards")).cast("int").alias("shard"), everywhere("blocks").alias("block"))
     queries = rows.filter("q").select(
-        "id", "v", F.pmod(spread, F.lit(blocks)).cast("int").alias("block"), everywhere(shards).alias("shard")
+        *[F.col(c).alias(c) for c in ("dim", "id", "v")], F.pmod(spread, F.col("blocks")).cast("int").alias("block"), everywhere("shards").alias("shard")
     )
     fields = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return fields.empty_table()
+        dim = left["dim"][0].as_py()
+        directions = np.random.default_rng(seed).normal(size=(dim + 1, DIRECTIONS))
         found = search_shard(
             left["id"].to_numpy(), _matrix(left["v"], dim), right["id"].to_numpy(), _matrix(right["v"], dim),
-            largest, k, directions, stop,
+            left["largest"][0].as_py(), k, directions, stop,
         )
         return pa.table([pa.array(c, t) for c, t in zip(found, fields.types)], schema=fields)
 
     local = (
-        points.groupBy("shard", "block")
-        .cogroup(queries.groupBy("shard", "block"))
+        points.groupBy("dim", "shard", "block")
+        .cogroup(queries.groupBy("dim", "shard", "block"))
         .applyInArrow(search, "query_id long, id long, score double")
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
