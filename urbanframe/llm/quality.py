@@ -28,7 +28,7 @@ from urbanframe.llm.batches import text_slices
 SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
-# terms of abuse; a document with any of them is rejected
+# terms of abuse
 ABUSE = frozenset(
     "idiot idiots moron morons imbecile scum scumbag loser losers pathetic worthless disgusting "
     "stupid trash clown retard dumbass bastard bitch asshole".split()
@@ -108,6 +108,11 @@ def _mean_word_length(v: TextView) -> bool:
     return bool(v.words) and not 2.0 <= v.word_chars / len(v.words) <= 12.0
 
 
+def _abusive(v: TextView) -> bool:
+    """Two terms of abuse or more, and one among 500 words at least: a long text may use the word trash."""
+    return v.abuse >= 2 and 500 * v.abuse >= len(v.words)
+
+
 BASE_RULE = Rule("base", base_failed)
 DEFAULT_RULES = (
     BASE_RULE,
@@ -115,7 +120,7 @@ DEFAULT_RULES = (
     Rule("duplicate_lines", lambda v: len(v.lines) >= 4 and 2 * v.n_dup_lines > len(v.lines)),
     Rule("word_length", _mean_word_length),
     Rule("shouting", lambda v: v.upper_share > 0.5),
-    Rule("abuse", lambda v: v.abuse > 0),
+    Rule("abuse", _abusive),
 )
 
 
@@ -154,19 +159,22 @@ def quality_verdicts(
 ) -> DataFrame:
     """Per row: ``id_col``, base measures, ``base_failed``, ``kept`` and ``rejected_by``.
 
-    ``rejected_by`` names the first rejecting rule in the measured order (``base``
-    first if that fails).  Row-wise: no shuffle; repeated rows stay repeated.
+    ``rejected_by`` names the first rejecting rule in the order of ``rules`` (``base`` first
+    if that fails), which does not depend on the measured order.  A null, empty or blank
+    text has no words and fails the base rule.  Row-wise: no shuffle; repeated rows stay
+    repeated; an empty table gives an empty result; other columns are never read.
     """
     ordered = order_rules(df, text_col, rules, sample_rows)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = [r for r in ordered if r.name != BASE_RULE.name]
+        declared = [r for r in rules if r.name != BASE_RULE.name]
         for batch in text_slices(batches, "text"):
             rows = []
             for text in batch.column(1).to_pylist():
                 v = TextView(text)
                 failed = base_failed(v)  # its measures are returned for every row
-                by = BASE_RULE.name if failed else first_rejection(v, others)
+                by = BASE_RULE.name if failed else first_rejection(v, others) and first_rejection(v, declared)
                 rows.append(
                     (len(v.words), v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, failed, by is None, by)
                 )
@@ -187,7 +195,10 @@ _SCHEMA = (
 
 
 def keep_quality(df: DataFrame, text_col: str, rules: Sequence[Rule] = DEFAULT_RULES, sample_rows: int = 256) -> DataFrame:
-    """The rows of ``df``, all columns unchanged, that no rule rejects (full short circuit)."""
+    """The rows of ``df``, all columns unchanged, that no rule rejects (full short circuit).
+
+    Null, empty and blank texts go, as they have no words; rows that repeat all stay or all go.
+    """
     ordered = order_rules(df, text_col, rules, sample_rows)
     at = df.columns.index(text_col)
 
