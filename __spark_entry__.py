@@ -60,9 +60,7 @@ from urbanframe.sources import parse_csv_lines, read_csv, read_geojson_propertie
 try:  # the training-data operators are optional: everything else works without them
     import corpus_pipeline
     from urbanframe.llm import queries as llm_queries
-except ModuleNotFoundError as missing:
-    if not (missing.name or "").startswith(("urbanframe.llm", "corpus_pipeline")):
-        raise
+except ImportError:  # the folder itself, or a library that only it needs, is missing
     llm_queries = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"

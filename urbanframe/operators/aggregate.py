@@ -102,17 +102,18 @@ def reproducible_avg(df: DataFrame, keys: str | Sequence[str], value: str, name:
     key_cols = _names(keys)
     v = F.col(f"`{value}`")
     rows = df.filter(v.isNotNull() & ~F.isnan(v))
-    exponent = F.when(v == 0, F.lit(0)).otherwise(F.floor(F.log2(F.abs(v)))).cast("int")
+    infinite = F.max(F.abs(v) == F.lit(float("inf")))
+    finite = F.when(F.abs(v) < F.lit(float("inf")), v).otherwise(0.0)
+    exponent = F.when(finite == 0, F.lit(0)).otherwise(F.floor(F.log2(F.abs(finite)))).cast("int")
     # a logarithm may round up to the next exponent; two spare bits below the bin absorb that
     bin_ = F.floor(exponent / F.lit(float(_BIN_BITS))).cast("int")
     unit = F.col("_bin") * _BIN_BITS - 54
     # powers of two in two steps, as 2**-(unit) may be beyond the range of doubles
     first = F.floor(unit / F.lit(2.0))
-    scaled = v * F.pow(F.lit(2.0), -first) * F.pow(F.lit(2.0), -(unit - first))
+    scaled = finite * F.pow(F.lit(2.0), -first) * F.pow(F.lit(2.0), -(unit - first))
     high = F.floor(F.col("_scaled") / F.lit(float(1 << _HALF)))
     binned = rows.withColumn("_bin", bin_).withColumn("_scaled", scaled).withColumn("_high", high)
     low = F.col("_scaled") - F.col("_high") * F.lit(float(1 << _HALF))
-    infinite = F.max(F.abs(v) == F.lit(float("inf")))
     parts = binned.groupBy(*key_cols, "_bin").agg(
         F.sum(F.col("_high").cast("long").cast("decimal(38,0)")).alias("_h"),
         F.sum(low.cast("long").cast("decimal(38,0)")).alias("_l"),
@@ -120,10 +121,14 @@ def reproducible_avg(df: DataFrame, keys: str | Sequence[str], value: str, name:
         infinite.alias("_inf"),
     )
     whole = (F.col("_h") * F.lit(1 << _HALF) + F.col("_l")).cast("double")
-    first = F.floor(unit / F.lit(2.0))
-    term = whole * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), unit - first)
-    bins = F.sort_array(F.collect_list(F.struct("_bin", term.alias("term"))), asc=False)
-    total = F.aggregate(bins, F.lit(0.0), lambda acc, x: acc + x["term"])
-    out = parts.groupBy(*key_cols).agg(total.alias("_t"), F.sum("_n").alias(count_name), F.max("_inf").alias("_inf"))
-    average = F.when(~F.col("_inf"), F.col("_t") / F.col(count_name))
-    return out.select(*key_cols, average.alias(name), count_name)
+    bins = F.sort_array(F.collect_list(F.struct("_bin", whole.alias("whole"))), asc=False)
+    gathered = parts.groupBy(*key_cols).agg(bins.alias("_bins"), F.sum("_n").alias(count_name), F.max("_inf").alias("_inf"))
+
+    def added(total: Column, part: Column) -> Column:
+        unit = part["_bin"] * _BIN_BITS - 54
+        first = F.floor(unit / F.lit(2.0))
+        # divided first, as the sum may be beyond the range of doubles
+        return total + part["whole"] / F.col(count_name) * F.pow(F.lit(2.0), first) * F.pow(F.lit(2.0), unit - first)
+
+    average = F.when(~F.col("_inf"), F.aggregate("_bins", F.lit(0.0), added))
+    return gathered.select(*key_cols, average.alias(name), count_name)
