@@ -164,3 +164,28 @@ def test_language_sample_is_bounded_and_full_for_common_and_rare_languages(spark
     drawn = langid.labelled_sample(df, "doc_id", "text", "lang", per_language=100)
     assert [sum(lang == g for _, lang in drawn) for g in ("common", "rare")] == [100, 7] and len(set(drawn)) == 107
     assert drawn == langid.labelled_sample(df.orderBy(F.desc("doc_id")), "doc_id", "text", "lang", per_language=100)
+
+
+def test_language_tables_equal_a_plain_convolution(spark):
+    from urbanframe.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = langid.train_language_model(docs, "doc_id", "text", "lang", F.col("doc_id") % 4 != 2)
+    rng = np.random.default_rng(3)
+    windows = rng.integers(0, 256, (40, langid.WINDOW)).astype(np.uint8)
+    windows[0] = 0
+    plain = np.zeros((40, net.dense.shape[1]))
+    for i, window in enumerate(windows):
+        pooled = []
+        for bank in net.filters:
+            width = len(bank)
+            places = range(langid.WINDOW - langid.OVERLAP)  # all widths see the same starts
+            each = np.array([sum(bank[j][window[p + j]].astype(float) for j in range(width)) for p in places])
+            pooled.append(each.max(axis=0))
+        z = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.dense + net.dense_bias
+        plain[i] = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    assert np.abs(net.probabilities(windows) - plain).max() < 1e-4
+    held = docs.filter("doc_id % 4 = 2 and lang is not null")
+    found = langid.identify_language(held, "doc_id", "text", net).join(held.select("doc_id", "lang"), "doc_id").collect()
+    told = [r for r in found if r["lang_pred"] != langid.UNDETERMINED]
+    assert sum(r["lang_pred"] == r["lang"] for r in told) >= 0.9 * len(told)

@@ -194,7 +194,11 @@ def predict_text(net: ByteCnn, texts: list[str | None]) -> tuple[list[str], list
 
 
 def identify_language(df: DataFrame, id_col: str, text_col: str, net: ByteCnn) -> DataFrame:
-    """Per row: ``id_col, lang_pred, score``; ``und`` and 0 for null text or text without a letter."""
+    """Per row: ``id_col, lang_pred, score``; ``und`` and 0 for null text or text without a letter.
+
+    Whole texts are read, in windows; repeated rows stay repeated and score alike; an empty
+    table gives an empty result; other columns are never read.
+    """
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 2 << 20):
@@ -210,7 +214,10 @@ def identify_language(df: DataFrame, id_col: str, text_col: str, net: ByteCnn) -
 
 
 def keep_identified(df: DataFrame, text_col: str, net: ByteCnn, least_score: float = 0.35) -> DataFrame:
-    """The rows of ``df`` with a determined language of at least ``least_score``; columns unchanged."""
+    """The rows of ``df`` with a determined language of at least ``least_score``; columns unchanged.
+
+    Null texts and texts without a letter go; rows that repeat all stay or all go.
+    """
     at = df.columns.index(text_col)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -370,7 +370,11 @@ def keep_one_of_each(
     sketches: int = SKETCHES,
     picked: int = PICKED,
 ) -> DataFrame:
-    """One row of each class, all columns unchanged: the one with the least id (nulls last)."""
+    """One row of each class, all columns unchanged: the one with the least id (nulls last).
+
+    Texts without words (null, empty, blank) are one class, so one of them stays; of rows
+    that repeat one stays; an empty table gives an empty result.
+    """
     placed = _placed(df, id_col, text_col, similarity, k, sketches, picked)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("k1"), F.col("k2"))
     kept = materialize(placed.groupBy("label").agg(F.min(order).alias("o")).select("o.k1", "o.k2"), "kept-keys")
