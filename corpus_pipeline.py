@@ -21,18 +21,24 @@ from urbanframe.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects; null, empty and blank texts are rejected, repeated rows stay repeated."""
     return keep_quality(docs, "text")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; without any labelled document none can."""
+    """Documents whose language can be told; without any labelled document none can.
+
+    Null texts and texts without a letter go; repeated rows stay repeated.
+    """
     net = train_language_model(docs, "doc_id", "text", "lang", ~held_out())
     return keep_identified(docs, "text", net)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least id."""
+    """One document of each class of near duplicates, the one with the least id (nulls last).
+
+    Texts without words are one class; of rows that repeat one stays.
+    """
     return keep_one_of_each(docs, "doc_id", "text")
 
 
@@ -50,7 +56,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    """Pieces of all documents with their places in sequences of 2048 tokens.
+
+    A null or empty text is its end id alone; repeated rows are packed as often as they occur.
+    """
     return pack_sequences(docs, "doc_id", "text", tokenizer_files.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
