@@ -47,6 +47,7 @@ MIN_CELL = 1e-7  # unit-sphere chord, about 0.6 m on Earth
 MAX_CELL = 4.0  # cells of level 0; a cell of level n is 2**n times smaller
 MAX_LEVEL = 28  # about 0.1 m; sites that are no farther apart than that stay on one list
 DEFAULT_MAX_SITES_PER_CELL = 32
+FEW_SITES = 64  # sites that all first lists hold, without a pyramid
 LEAF_SITES = 8  # sites of a cell on the last level of their pyramid
 LEAST_POINT_CELLS = 4096
 FINER = 4  # levels by which a cell is split in a round
@@ -161,9 +162,12 @@ class _Sites:
         self.spacing = math.sqrt(max(extents[0] * extents[1], MIN_CELL * MIN_CELL) / self.count)
         self.top = _level_of(extents[0])  # cells as wide as all sites: two along an axis at most
         self.small = self.count * _SITE_BYTES <= max_broadcast_bytes
+        self.few = self.count <= FEW_SITES
 
     def build(self) -> None:
-        """The pyramid, down to the first level on which no cell holds more than ``LEAF_SITES``."""
+        """The pyramid, down to the first level on which no cell holds more than ``LEAF_SITES``; few sites need none."""
+        if self.few:
+            return
         levels = list(range(self.top, MAX_LEVEL + 1, 2))
         names = ", ".join(f"named_struct('level', {n}, 'node', {_cell_name('_s', n)})" for n in levels)
         each = self.sites.selectExpr("_sx AS _x", "_sy AS _y", "_sz AS _z", f"inline(array({names}))")
@@ -184,6 +188,15 @@ class _Sites:
     def _joined(self, side: DataFrame) -> DataFrame:
         return F.broadcast(side) if self.small else side.hint("merge")
 
+    def all(self) -> Column:
+        """All of a few sites, as one literal array."""
+        rows = self.sites.orderBy("_rank").limit(FEW_SITES).collect()
+        sites = []
+        for r in rows:
+            box = ", ".join(f"'_s{end}{a}', {r[f'_s{a}']!r}D" for a in "xyz" for end in ("lo", "hi"))
+            sites.append(f"named_struct('_rank', {r['_rank']}L, '_slat', {r['_slat']!r}D, '_slon', {r['_slon']!r}D, {box})")
+        return F.expr(f"inline(array({', '.join(sites)}))")
+
     def first(self) -> Column:
         """The cells of the top level as one literal array: 64 at most, as each axis has two or three."""
         rows = self.cells.where(f"level = {self.top}").collect()
@@ -200,6 +213,8 @@ def _descended(cells: DataFrame, level: int, sites: _Sites) -> DataFrame:
     The point cells' ancestors go down with the site cells, two levels a step, so that a
     list is shared while it is long and the cells are few.
     """
+    if sites.few:
+        return _pruned(cells.select("*", sites.all()), "s", ["_rank", "_slat", "_slon"])
     at, deep = level - 2 * max(0, (level - sites.top) // 2), sites.top
     boxes = [*_box_names("p"), *_box_names("s")]
     state = _ancestors(cells, level - at).select("*", sites.first())
@@ -281,15 +296,14 @@ def candidate_lists(
         cells = materialize(_point_cells(rest, level), "point-cells")
         found = _descended(cells, level, sites) if lists is None else _refined(cells, lists, steps)
         lists = materialize(found, "site-lists")
-        sizes = lists.groupBy("_pc").agg(F.count(F.lit(1)).alias("_n"))
-        sizes = materialize(sizes.withColumn("_open", F.col("_n") > max_sites_per_cell), "list-sizes")
+        sizes = lists.groupBy("_pc").agg(F.count(F.lit(1)).alias("_n")).withColumn("_open", F.col("_n") > max_sites_per_cell)
         total = sizes.groupBy("_open").agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("cells")).collect()
         seen = {r["_open"]: r for r in total}
         split = True in seen and level < MAX_LEVEL
         if not split:
             rounds.append((_keyed(rest, level), lists, sum(r["rows"] for r in total)))
             return rounds
-        wide = sizes.filter("_open").select("_pc")
+        wide = materialize(sizes.filter("_open").select("_pc"), "open-cells")
         fits = seen[True]["cells"] * _NAME_BYTES <= max_broadcast_bytes
         wide = F.broadcast(wide) if fits else wide.hint("merge")
         short = lists.join(wide, "_pc", "left_anti")
