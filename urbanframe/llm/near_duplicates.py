@@ -166,10 +166,13 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     tail = int(differ[0]) if len(differ) else short
     x, y = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
     # words that the other text lacks must each be edited
-    if max(len(x), len(y)) - (Counter(x) & Counter(y)).total() > limit:
+    least = max(len(x), len(y)) - (Counter(x) & Counter(y)).total()
+    if least > limit:
         return False
     small = min(limit, abs(len(x) - len(y)) + 24)
-    return banded_distance(x, y, small) is not None or (small < limit and banded_distance(x, y, limit) is not None)
+    if least <= small and banded_distance(x, y, small) is not None:
+        return True
+    return small < limit and banded_distance(x, y, limit) is not None
 
 
 def _sketched(keyed: DataFrame, k: int, sketches: int, picked: int, similarity: float) -> DataFrame:
