@@ -32,7 +32,7 @@ SHARD_BYTES = 128 << 20  # of their vectors as doubles
 BLOCK_QUERIES = 8_192
 LEAST_QUERIES = 256  # of a block that exists for parallelism only
 DIRECTIONS = 8
-LEAF_ROWS = 64
+LEAF_ROWS = 512  # verified at once: a product of this many rows costs little more than one of a few
 MAX_LENGTHS = 100_000  # different lengths whose numbers are broadcast
 
 
@@ -61,7 +61,7 @@ class KdTree:
     def __init__(self, points: np.ndarray, leaf_rows: int = LEAF_ROWS):
         self.points = points
         self.children: list[tuple[int, int] | None] = []
-        self.rows: list[np.ndarray | None] = []
+        self.rows: list[np.ndarray | tuple[int, int] | None] = []
         low, high = [], []
 
         def add(rows: np.ndarray) -> int:
@@ -82,8 +82,17 @@ class KdTree:
         add(np.arange(len(points)))
         self.low, self.high = np.array(low), np.array(high)
 
+    def gather_leaves(self) -> np.ndarray:
+        """The order of the points that brings each leaf's together; leaves then hold ``(from, to)`` in it."""
+        order, at = [], 0
+        for node, rows in enumerate(self.rows):
+            if rows is not None:
+                order.append(rows)
+                self.rows[node] = (at, at := at + len(rows))
+        return np.concatenate(order)
+
     def nearest_leaves(self, query: np.ndarray):
-        """(squared distance to the box, rows) of the leaves, nearest box first."""
+        """(squared distance to the box, from, to) of the leaves, nearest box first."""
         gap = np.maximum(0, np.maximum(self.low - query, query - self.high))
         bound = np.einsum("ij,ij->i", gap, gap).tolist()
         heap = [(bound[0], 0)]
@@ -91,7 +100,7 @@ class KdTree:
             distance, node = heapq.heappop(heap)
             pair = self.children[node]
             if pair is None:
-                yield distance, self.rows[node]
+                yield distance, *self.rows[node]
             else:
                 for child in pair:
                     heapq.heappush(heap, (bound[child], child))
@@ -118,18 +127,21 @@ def search_shard(
     norms = np.einsum("ij,ij->i", distinct, distinct)
     rest = np.sqrt(np.maximum(0, largest * largest - norms))
     tree = KdTree(np.concatenate((distinct, rest[:, None]), axis=1) @ directions)
+    # the rows of a leaf lie together, so that a leaf is one slice
+    order = tree.gather_leaves()
+    distinct, first, last = distinct[order], first[order], last[order]
     projected = queries @ directions[:-1]
     out_q, out_id, out_score = [], [], []
     for qid, q, p in zip(query_ids.tolist(), queries, projected):
         base = largest * largest + float(q @ q)
         best: list[tuple[float, int]] = []  # a heap of (score, -id), the worst on top
-        for bound, rows in tree.nearest_leaves(p):
+        for bound, lo, hi in tree.nearest_leaves(p):
             if len(best) == k and bound >= stop * max(0.0, base - 2 * best[0][0]) and bound > 0:
                 break
-            scores = distinct[rows] @ q
-            keep = np.flatnonzero(scores >= best[0][0]) if len(best) == k else range(len(rows))
+            scores = distinct[lo:hi] @ q
+            keep = np.flatnonzero(scores >= best[0][0]) if len(best) == k else range(hi - lo)
             for j in keep:
-                s, row = float(scores[j]), rows[j]
+                s, row = float(scores[j]), lo + j
                 for i in ids[first[row] : last[row]].tolist():
                     if i == qid:
                         continue
