@@ -165,3 +165,30 @@ def test_sites_that_no_cell_can_tell_apart(spark):
     sites = [(f"T{i:02d}", 34.0 + i * 1e-9, -118.0) for i in range(90)] + [("far", 35.0, -118.0)]
     points = [(i, 34.2 + i * 1e-3, -118.1) for i in range(20)]
     check(spark, points, sites)
+
+
+def test_a_point_leaves_the_join_as_one_row(spark, monkeypatch):
+    """Rows that go on to the argmin: one a point, however many sites its cell's list holds."""
+    from urbanframe.operators import spatial
+
+    counted, plain = [], spatial._best_near
+
+    def counting(points, lists):
+        best = plain(points, lists)
+        counted.append(best.count())
+        return best
+
+    monkeypatch.setattr(spatial, "_best_near", counting)
+    rng = np.random.default_rng(3)
+    sites = [(f"S{i:02d}", float(34 + rng.normal(0, 0.05)), float(-118.3 + rng.normal(0, 0.05))) for i in range(30)]
+    points = [(int(i % 90), float(34 + rng.normal(0, 0.2)), float(-118.3 + rng.normal(0, 0.2))) for i in range(600)]
+    for strategy in ("broadcast", "merge"):
+        counted.clear()
+        check(spark, points, sites, strategy=strategy)
+        assert sum(counted) == len(points)
+
+
+def test_list_of_sites_within_centimetres_is_split(spark):
+    sites = [(f"T{i:03d}", 34.0 + i * 1e-9, -118.3) for i in range(70)] + [("FAR", 35.0, -118.0)]
+    points = [(i, 34.0 + (i % 7) * 1e-8, -118.3 - (i % 3) * 1e-4) for i in range(40)] + [(99, 35.0, -118.0)]
+    check(spark, points, sites, strategy="merge", max_sites_per_cell=8)

@@ -20,7 +20,10 @@ product, but the product is never built:
    split: their points are cut into cells 16 times finer, one level after the other,
    and each new cell prunes its parent's list.  So a patch of sites costs a far or a
    near suburb of it only what its points cannot tell apart.
-6. Every point meets its own cell's short list in one equi-join.
+6. Every point meets its own cell's short list, held as one array, in one equi-join and
+   leaves it as one row with its nearest site: candidate pairs are never sorted or moved.
+   Those rows are rebalanced by id before the argmin, so a task sorts a bounded number
+   of them however long its scan was, and an id with very many points is spread.
 
 Points are read for their extent, for their cells and for the last join; the points
 of cells that were split are written once and read twice more a round.  Lists and
@@ -98,8 +101,9 @@ _UNIT = (
     "sin(radians(_lat)) AS _pz",
 )
 
-_CANDIDATE = (
-    f"named_struct('distance_km', {haversine_sql('_lat', '_lon', '_slat', '_slon')}, 'rank', _rank)"
+_NEAREST = (
+    "array_min(transform(_sites, s -> named_struct("
+    f"'distance_km', {haversine_sql('_lat', '_lon', 's._slat', 's._slon')}, 'rank', s._rank)))"
 )
 
 
@@ -276,15 +280,27 @@ def _first_level(points: DataFrame, sites: _Sites) -> int:
     return _level_of(max(sites.spacing / 2, math.sqrt(area / (LEAST_POINT_CELLS + 16 * sites.count))))
 
 
+def _grouped(lists: DataFrame, max_sites_per_cell: int) -> DataFrame:
+    """Lists as one array a cell; those longer than ``max_sites_per_cell`` (at ``MAX_LEVEL``) as several.
+
+    A table of its own: both sides of the join with the points are then plain exchanges,
+    which Spark splits if a cell is hot.
+    """
+    place = "row_number() OVER (PARTITION BY _pc ORDER BY _rank) - 1"
+    parts = lists.withColumn("_part", F.expr(f"({place}) DIV {max(1, max_sites_per_cell)}"))
+    arrays = parts.groupBy("_pc", "_part").agg(F.collect_list(F.struct("_rank", "_slat", "_slon")).alias("_sites"))
+    return materialize(arrays.drop("_part"), "cell-sites")
+
+
 def _best_near(points: DataFrame, lists: DataFrame) -> DataFrame:
-    """Candidate pairs of ``points`` (``_id, _lat, _lon, _pc``) as ``_id`` and ``_b``, a ``(distance_km, rank)``."""
-    return points.join(lists, "_pc").selectExpr("_id", f"{_CANDIDATE} AS _b")
+    """The best of each point and array of its cell, as ``_id`` and ``_b``, a ``(distance_km, rank)``."""
+    return points.join(lists, "_pc").selectExpr("_id", f"{_NEAREST} AS _b")
 
 
 def candidate_lists(
     points: DataFrame, sites: _Sites, max_sites_per_cell: int, max_broadcast_bytes: int
 ) -> list[tuple[DataFrame, DataFrame, int]]:
-    """Rounds of (points with their cell ``_pc``, lists ``_pc, _rank, _slat, _slon``, rows of the lists).
+    """Rounds of (points with their cell ``_pc``, lists ``_pc, _sites``, sites on the lists).
 
     Every point belongs to exactly one round.
     """
@@ -301,14 +317,14 @@ def candidate_lists(
         seen = {r["_open"]: r for r in total}
         split = True in seen and level < MAX_LEVEL
         if not split:
-            rounds.append((_keyed(rest, level), lists, sum(r["rows"] for r in total)))
+            rounds.append((_keyed(rest, level), _grouped(lists, max_sites_per_cell), sum(r["rows"] for r in total)))
             return rounds
         wide = materialize(sizes.filter("_open").select("_pc"), "open-cells")
         fits = seen[True]["cells"] * _NAME_BYTES <= max_broadcast_bytes
         wide = F.broadcast(wide) if fits else wide.hint("merge")
         short = lists.join(wide, "_pc", "left_anti")
         if False in seen:
-            rounds.append((_keyed(rest, level), short, seen[False]["rows"]))
+            rounds.append((_keyed(rest, level), _grouped(short, max_sites_per_cell), seen[False]["rows"]))
         keyed = _keyed(rest, level).join(wide, "_pc", "left_semi")
         rest = materialize(keyed.select("_id", "_lat", "_lon"), "open-points")
         lists = materialize(lists.join(wide, "_pc", "left_semi"), "open-lists")
@@ -351,7 +367,7 @@ def nearest_site(
             )
         )
     known.build()
-    pairs = None
+    nearest = None
     for keyed, lists, rows in candidate_lists(clean, known, max_sites_per_cell, max_broadcast_bytes):
         if strategy in ("default", "broadcast"):
             # Catalyst's estimate comes from compressed files
@@ -359,8 +375,8 @@ def nearest_site(
         else:
             lists = with_strategy(lists, strategy)
         some = _best_near(keyed, lists)
-        pairs = some if pairs is None else pairs.unionByName(some)
-    best = pairs.groupBy("_id").agg(F.min("_b").alias("_b"))
+        nearest = some if nearest is None else nearest.unionByName(some)
+    best = nearest.hint("rebalance", "_id").groupBy("_id").agg(F.min("_b").alias("_b"))
     out = best.select(F.col("_id").alias(id_col), F.col("_b.distance_km").alias("distance_km"), F.col("_b.rank").alias("_rank"))
     labels = site_pos.select("_rank", F.col("_label").alias(site_label))
     return out.join(labels, "_rank").drop("_rank")
