@@ -1,6 +1,7 @@
 """Operators with shuffles: brute force on small tables."""
 
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -195,6 +196,37 @@ def test_plan_holds_each_piece_once_and_beats_its_bound():
     assert sequences <= sum(n for _, n in packing.best_fit_decreasing(counts, 2048))
 
 
+@pytest.mark.parametrize("bits", [1, 6, 16, 17, 20])
+def test_wavelet_planes_of_every_width(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 5000).astype(np.uint32)
+    for some in (ids, ids[:1], ids[:0], np.zeros(70, np.uint32), np.full(70, (1 << bits) - 1, np.uint32)):
+        m = wavelet.WaveletMatrix.build(some, bits)
+        assert m.all_ids().dtype == np.uint32 and (m.all_ids() == some).all()
+        if len(some):
+            assert (m.access(np.arange(len(some))) == some).all()
+
+
+def test_wavelet_planes_take_less_time_than_masks():
+    """Mixed bits, parted by masks, took most of the time of a plane."""
+    ids = np.random.default_rng(1).integers(0, 1 << 16, 1 << 18).astype(np.uint32)
+
+    def masks():
+        current = ids.astype(np.uint16)
+        for level in range(15, -1, -1):
+            bit = (current & np.uint16(1 << level)) != 0
+            current = np.concatenate((current[~bit], current[bit]))
+
+    def least(run):
+        taken = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            taken.append(time.process_time() - began)
+        return min(taken)
+
+    assert least(lambda: wavelet.WaveletMatrix.build(ids, 16)) < 0.8 * least(masks)
+
+
 def test_wavelet_matrix_operations():
     ids = np.random.default_rng(3).integers(0, 40, 1000).astype("u4")
     m = wavelet.Shard(wavelet.write_shard([1, None], [400, 600], ids, 6)).matrix

@@ -26,8 +26,13 @@ BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 _PLAIN = re.compile("[!-~\xa1-į]+")
 
 
+# of as many ids as nearly every word has
+_SHORT = [struct.Struct(f"<{n}I") for n in range(16)]
+
+
 def _pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    n = len(ids)
+    return _SHORT[n].pack(*ids) if n < len(_SHORT) else struct.pack(f"<{n}I", *ids)
 
 
 class LibraryEncoder:
@@ -63,9 +68,14 @@ class LibraryEncoder:
     def _tokens(self, pretokens: list[str]) -> bytes:
         """The model's ids of pre-tokens, each written in byte letters first."""
         ids: list[int] = []
+        tokenize = self.model.tokenize
         for token in pretokens:
-            shown = token.encode().decode("latin-1").translate(self._table)
-            ids.extend(t.id for t in self.model.tokenize(shown))
+            # printable ASCII but the space is its own byte letters
+            if token.isascii() and token.isprintable() and " " not in token:
+                shown = token
+            else:
+                shown = token.encode().decode("latin-1").translate(self._table)
+            ids += [t.id for t in tokenize(shown)]
         return _pack(ids)
 
     @property

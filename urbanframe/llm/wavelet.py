@@ -37,6 +37,16 @@ _WORD = 64
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
+def _narrow(bits: int) -> type:
+    """The smallest type of ids of so many bits that planes are built in."""
+    return np.uint16 if bits <= 16 else np.uint32
+
+
+def _sides(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the zeros and of the ones: for mixed bits several times faster than masks."""
+    return np.flatnonzero(~bit), np.flatnonzero(bit)
+
+
 class Plane:
     """One bit-plane with rank and select."""
 
@@ -85,11 +95,11 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, current = [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        planes, current = [], ids.astype(_narrow(bits))
         for level in range(bits - 1, -1, -1):
             bit = (current & current.dtype.type(1 << level)) != 0
             planes.append(Plane(np.packbits(bit), len(ids)))
-            current = np.concatenate((current[~bit], current[bit]))
+            current = np.concatenate([current.take(places) for places in _sides(bit)])
         return cls(planes, len(ids))
 
     def access(self, at: np.ndarray) -> np.ndarray:
@@ -104,14 +114,14 @@ class WaveletMatrix:
 
     def all_ids(self) -> np.ndarray:
         """Every id in order: from the last plane up, each partition is undone, reading in order."""
-        below = np.zeros(self.size, dtype=np.uint32)
+        below = np.zeros(self.size, dtype=_narrow(len(self.planes)))
         for level, plane in enumerate(reversed(self.planes)):
-            bit = np.unpackbits(plane.packed, count=self.size).view(bool)
+            zeros, ones = _sides(np.unpackbits(plane.packed, count=self.size).view(bool))
             out = np.empty_like(below)
-            out[~bit] = below[: plane.zeros]
-            out[bit] = below[plane.zeros :] | np.uint32(1 << level)
+            out[zeros] = below[: len(zeros)]
+            out[ones] = below[len(zeros) :] | below.dtype.type(1 << level)
             below = out
-        return below
+        return below.astype(np.uint32)
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
         """Places of ``symbol`` from [lo, hi), in the order below the last plane."""
