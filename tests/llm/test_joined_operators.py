@@ -311,3 +311,25 @@ def test_pipeline_stages_on_whole_small_table(spark):
     named = corpus_pipeline.language_id(spark, kept, sf)
     assert named.count() >= 0.98 * kept.count()
     assert corpus_pipeline.packing(spark, named.limit(0), sf).count() == 0
+
+
+def test_hot_window_rows_follow_the_words_of_a_group():
+    """Rows of a large group of near copies, counted window by window: one a window, so twice the group, twice the rows."""
+
+    def rows(copies):
+        draw = random.Random(5)
+        base = [f"w{i}" for i in range(60)]
+        strings, words = set(), 0
+        for _ in range(copies):
+            text = [draw.choice(base) if draw.random() < 0.05 else w for w in base]
+            words += len(text)
+            found = substrings.super_kmers(substrings.word_hashes(" ".join(text).encode()))
+            strings |= {(h, " ".join(text[a : a + n + 34]).encode()) for h, a, n in zip(*(x.tolist() for x in found))}
+        sizes = Counter(h for h, _ in strings)
+        hot = [packed for h, packed in strings if sizes[h] > substrings.HOT_STRINGS]
+        made = sum(len(substrings.windows_of(packed, substrings.WINDOW)) for packed in hot)
+        assert made <= words
+        return made
+
+    few, many = rows(1000), rows(2000)
+    assert few > 1000 and many < 2.5 * few
