@@ -189,3 +189,11 @@ def test_language_tables_equal_a_plain_convolution(spark):
     found = langid.identify_language(held, "doc_id", "text", net).join(held.select("doc_id", "lang"), "doc_id").collect()
     told = [r for r in found if r["lang_pred"] != langid.UNDETERMINED]
     assert sum(r["lang_pred"] == r["lang"] for r in told) >= 0.9 * len(told)
+
+
+def test_a_single_term_of_abuse_rejects_short_texts_only():
+    def verdict(words, terms):
+        return quality._abusive(quality.TextView(" ".join(["word"] * (words - terms) + ["trash"] * terms)))
+
+    assert verdict(61, 1) and verdict(100, 1) and not verdict(101, 1)
+    assert verdict(1000, 2) and not verdict(1001, 2) and not verdict(60, 0)

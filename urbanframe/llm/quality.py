@@ -109,8 +109,8 @@ def _mean_word_length(v: TextView) -> bool:
 
 
 def _abusive(v: TextView) -> bool:
-    """Two terms of abuse or more, and one among 500 words at least: a long text may use the word trash."""
-    return v.abuse >= 2 and 500 * v.abuse >= len(v.words)
+    """One term of abuse among 500 words at least, or a single one among 100: a long text may use the word trash."""
+    return v.abuse > 0 and (500 if v.abuse >= 2 else 100) * v.abuse >= len(v.words)
 
 
 BASE_RULE = Rule("base", base_failed)
