@@ -118,6 +118,48 @@ def test_every_similar_pair_of_a_bucket_is_found(spark):
     assert Counter(label)[0] > 150
 
 
+def test_a_loose_group_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Texts that share three quarters of their words share buckets; they must not make rows as the square of their number."""
+    rng = random.Random(4)
+    block = [f"w{i}" for i in range(150)]
+    texts = [block + [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(50, 56))] for _ in range(240)]
+    texts += [edited(rng, t, 0.1, "x") for t in texts[:5]]
+    compared, verified = [], near_duplicates._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_duplicates, "_verified", counted)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = near_duplicates.near_duplicate_classes(df, "doc_id", "text").collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i % 240 for i in range(245)}
+    assert sum(compared) < 20 * len(texts)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.3])
+def test_word_bitmaps_never_show_more_than_the_words_differ(spark, similarity):
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        a = [f"w{rng.randrange(40)}" for _ in range(rng.choice([3, 15, 17, 63, 64, 65, 130, 600, 2100, 2600]))]
+        b = edited(rng, a[: max(1, int(len(a) * rng.uniform(0.3, 1)))], rng.uniform(0, 0.3), f"v{i}")
+        bitmaps = [near_duplicates.word_parity(near_duplicates.word_hashes(" ".join(t).encode())).tolist() for t in (a, b)]
+        rows.append((i, *bitmaps, (Counter(a) - Counter(b)).total() + (Counter(b) - Counter(a)).total()))
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>, d long")
+    got = df.select("d", near_duplicates._differ(F.col("a"), F.col("b")), F.size("a"), F.size("b")).collect()
+    assert all((x is None) == (max(m, n) > 2 * min(m, n)) and (x is None or x <= d) for d, x, m, n in got)
+    assert {max(m, n) // min(m, n) for *_, m, n in got} >= {1, 2, 4}
+    # whatever the sizes, a similar pair of one bucket is kept
+    texts = [["w%d" % i for i in range(40)], ["w%d" % i for i in range(14)]]
+    words = [near_duplicates.word_hashes(" ".join(t).encode()) for t in texts]
+    opened = spark.createDataFrame([(7, b"a", 40, b"a"), (7, b"b", 14, b"b")], "bucket long, node binary, n long, label binary")
+    parity = spark.createDataFrame(
+        [(x, near_duplicates.word_parity(w).tolist()) for x, w in zip((b"a", b"b"), words)], "node binary, parity array<long>"
+    )
+    assert near_duplicates._untested(opened, parity, similarity).count() == near_duplicates.similar(*words, similarity)
+
+
 @pytest.mark.parametrize("similarity", [0.95, 0.9, 0.85, 0.8])
 @pytest.mark.parametrize("n", [10, 15, 20, 35, 60, 300])
 def test_sketches_reach_the_similarity_that_is_asked_for(n, similarity):

@@ -15,11 +15,13 @@ Texts with equal word sequences are one node from the start; nodes that agree on
 sketch share a bucket.  Two leaders of each bucket, the one that agrees most with
 others and a random one, are compared with its members first, which brings the bulk of
 a large group into one class; its other members are then compared with some of that
-class.  At last every pair of a bucket that is not yet of one class is compared, unless the counts of the two texts'
-words alone show that they are too far apart (an edit changes two counts at most).
+class.  At last every pair of a bucket that is not yet of one class is compared, unless the words of the two texts
+alone, whatever their order, show that they are too far apart: each of the longer text that the other one lacks is
+an edit.  They are counted from a bitmap that every text carries (``word_parity``), so that such pairs make no row.
 No bucket is capped and no member dropped: a near duplicate is missed only if the
 two texts agree on no sketch, never because of the other texts of a bucket.  The
-price is that texts of one bucket which are no near duplicates meet pair by pair.
+price is that texts of one bucket which are no near duplicates meet pair by pair: their
+bitmaps inside the join, the few that have nearly enough words in common word by word.
 
 A candidate pair is verified by the word edit distance, computed inside a band
 around the diagonal: ``1 - distance / longer length >= similarity``.  Linked nodes
@@ -48,7 +50,7 @@ SIMILARITY = 0.8
 SKETCHES = 48
 PICKED = 2
 TURNS = 2  # leaders of a bucket
-TALLIES = 64  # counters of a text's words, by hash
+PARITY_BITS = 4, 8192  # of a text's bitmap: for each word, and at most
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 20  # hashed k-mers held at once
 
@@ -111,6 +113,19 @@ def text_sketches(
     return np.concatenate(keys)
 
 
+def word_parity(words: np.ndarray) -> np.ndarray:
+    """Bitmap of a text's words, each labelled with its occurrence number: a bit is set if an odd number hash to it.
+
+    Two texts' bitmaps differ in no more bits than there are words in one text only, repeats
+    counted.  The size is a power of two; a larger bitmap's halves, one xor the other, are the smaller bitmap.
+    """
+    each, most = PARITY_BITS
+    bits = max(64, min(most, 1 << (each * len(words) - 1).bit_length())) if len(words) else 64
+    labelled = labelled_kmers(words, 1) if len(words) else words
+    odd = np.bincount((labelled % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def banded_distance(a: list[int], b: list[int], band: int) -> int | None:
     """Edit distance of two sequences if it is at most ``band``, else ``None``.
 
@@ -198,21 +213,21 @@ def _sketched(keyed: DataFrame, k: int, sketches: int, picked: int, similarity:
 
 
 def _word_lists(texts: DataFrame) -> DataFrame:
-    """``node, words, tally``: packed 32-bit word hashes of one row of each node, and its words counted by hash."""
+    """``node, words, parity``: packed 32-bit word hashes of one row of each node, and their bitmap."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 4 << 20):
-            packed, tallies = [], []
+            packed, bitmaps = [], []
             for text in batch.column(1).to_pylist():
                 words = word_hashes(text.encode("utf-8", "surrogatepass"))
                 packed.append((words >> np.uint64(32)).astype("<u4").tobytes())
-                tallies.append(np.bincount((words % np.uint64(TALLIES)).astype(np.int64), minlength=TALLIES))
-            counts = list_array(np.concatenate([np.zeros(0, np.int64), *tallies]), [TALLIES] * len(tallies), pa.int32())
+                bitmaps.append(word_parity(words))
+            parity = list_array(np.concatenate([np.zeros(0, np.int64), *bitmaps]), [len(x) for x in bitmaps], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(packed, pa.binary()), counts], names=["node", "words", "tally"]
+                [batch.column(0), pa.array(packed, pa.binary()), parity], names=["node", "words", "parity"]
             )
 
-    return texts.mapInArrow(run, "node binary, words binary, tally array<int>")
+    return texts.mapInArrow(run, "node binary, words binary, parity array<long>")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -279,27 +294,40 @@ def _open_members(shared: DataFrame, links: DataFrame) -> DataFrame:
     return opened
 
 
-def _untested(opened: DataFrame, nodes: DataFrame, tallies: DataFrame, similarity: float) -> DataFrame:
+def _differ(a: Column, b: Column) -> Column:
+    """Bits in which two bitmaps of ``word_parity`` differ, one of twice the size folded; null for other sizes."""
+
+    def folded(x: Column, y: Column) -> Column:
+        n = F.size(y)
+        halves = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) <= n, x).when(F.size(x) == 2 * n, halves)
+
+    bits = F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+
+
+def _untested(opened: DataFrame, parity: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a, b`` (a < b) of a bucket that are not of one class, each once.
 
-    A pair is listed in the least of the buckets it shares.  Pairs whose lengths or word
-    counts rule the similarity out are left away at once.
+    A pair is listed in the least of the buckets it shares, all of which are open.  Pairs
+    whose lengths or words rule the similarity out are left away at once.
     """
-    members = materialize(opened.join(tallies, "node").join(nodes.select("node", "keys"), "node"), "open-texts")
+    keys = opened.groupBy("node").agg(F.collect_set("bucket").alias("keys"))
+    members = materialize(opened.join(parity, "node").join(materialize(keys, "open-keys"), "node"), "open-texts")
     a = members.select("bucket", *(F.col(c).alias(n) for c, n in _SIDE_A))
     b = members.select("bucket", *(F.col(c).alias(n) for c, n in _SIDE_B))
     apart = (F.col("a") < F.col("b")) & (F.col("al") != F.col("bl"))
-    longer = F.greatest("an", "bn")
-    # every edit moves a word's count on either side by one at most
-    moved = F.aggregate(F.zip_with("at", "bt", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
-    alike = moved <= 2 * (longer * F.lit(1 - similarity) + F.lit(1e-9))
+    # the longer text's words that the other one lacks, each an edit: half of all that one text has alone, and of the
+    # difference in length
+    limit = F.floor(F.greatest("an", "bn") * F.lit(1 - similarity) + F.lit(1e-9))
+    alike = _differ(F.col("ap"), F.col("bp")) + F.abs(F.col("an") - F.col("bn")) <= 2 * limit
     once = F.array_min(F.array_intersect("ak", "bk")) == F.col("bucket")
-    pairs = a.join(b.hint("merge"), "bucket").filter(apart & _near(similarity) & once & alike)
+    pairs = a.join(b.hint("merge"), "bucket").filter(apart & _near(similarity) & once & F.coalesce(alike, F.lit(True)))
     return materialize(pairs.select("a", "b"), "untested")
 
 
-_SIDE_A = (("node", "a"), ("n", "an"), ("label", "al"), ("tally", "at"), ("keys", "ak"))
-_SIDE_B = (("node", "b"), ("n", "bn"), ("label", "bl"), ("tally", "bt"), ("keys", "bk"))
+_SIDE_A = (("node", "a"), ("n", "an"), ("label", "al"), ("parity", "ap"), ("keys", "ak"))
+_SIDE_B = (("node", "b"), ("n", "bn"), ("label", "bl"), ("parity", "bp"), ("keys", "bk"))
 
 
 def _links(nodes: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
@@ -314,7 +342,7 @@ def _links(nodes: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
     # leaders alone do not settle a bucket: whatever they have not joined is compared pair by pair
     opened = _open_members(shared, known.filter("linked"))
     release(shared)
-    rest = _untested(opened, nodes, words.select("node", "tally"), similarity)
+    rest = _untested(opened, words.select("node", "parity"), similarity)
     last = materialize(_verified(_fresh(rest, known), lists, similarity), "pairs-rest")
     release(words, opened, rest)
     return known.unionByName(last).filter("linked").select("a", "b")
