@@ -47,6 +47,30 @@ def test_repeated_passages_against_brute_force(spark, window, hot):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
 
 
+@pytest.mark.parametrize("copies", [0, 120])
+def test_hot_buckets_are_dealt_out_by_longer_grams_first(spark, monkeypatch, copies):
+    """A phrase in many contexts makes no row a window; what stays hot among near copies does, and is counted exactly."""
+    rng = random.Random(9)
+    phrase, base = [f"p{i}" for i in range(10)], [f"w{i}" for i in range(60)]
+    texts = [[f"c{i}_{j}" for j in range(40)] + phrase + [f"d{i}_{j}" for j in range(40)] for i in range(150)]
+    texts += [[rng.choice(base) if rng.random() < 0.05 else w for w in base] for _ in range(copies)]
+    made, plain = [], type(spark.range(0)).mapInArrow
+
+    def counted(self, run, schema, *rest):
+        out = plain(self, run, schema, *rest)
+        if "window binary" in schema:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", counted)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = substrings.remove_repeated_passages(df, "doc_id", "text", hot_strings=16).select("doc_id", "kept").collect()
+    seen = Counter(tuple(t[i : i + 35]) for t in texts for i in range(len(t) - 34))
+    gone = [{i + j for i in range(len(t) - 34) if seen[tuple(t[i : i + 35])] > 1 for j in range(35)} for t in texts]
+    assert dict(map(tuple, got)) == {i: " ".join(w for j, w in enumerate(t) if j not in gone[i]) for i, t in enumerate(texts)}
+    assert bool(sum(made)) == bool(copies) and sum(made) < 26 * copies + 1 and (not copies or any(gone))
+
+
 def test_super_kmers_cover_every_window_once():
     hashes = np.random.default_rng(1).integers(0, 5, 200).astype(np.uint64)
     _, first, n = substrings.super_kmers(hashes, 20, 4)

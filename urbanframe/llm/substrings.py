@@ -14,7 +14,9 @@ Three things keep that bounded:
 * equal packed strings are counted before they are bucketed, so a thousand copies
   of a document send one string;
 * a bucket with more than ``hot_strings`` different strings (a common phrase in
-  many contexts) is dealt out window by window and counted by a plain aggregation.
+  many contexts) is dealt out again by the minimisers of longer grams, of which those
+  that occur once stay home too; only what is hot even then is dealt out window by
+  window and counted by a plain aggregation.
 
 Words are maximal runs of bytes other than space and 09-0D.  Null text has no
 words.  Repeated rows are occurrences like any other; no column needs to be unique.
@@ -155,8 +157,8 @@ def _found(rows: list[tuple[bytes, list[int]]]) -> pa.RecordBatch:
     )
 
 
-def _count_hot(strings: DataFrame, window: int) -> DataFrame:
-    """The same for hot buckets: single windows, summed by Spark before they are shuffled."""
+def _count_windows(strings: DataFrame, window: int) -> DataFrame:
+    """The same for buckets that stay hot: single windows, summed by Spark before they are shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "packed", 1 << 20):
@@ -174,6 +176,55 @@ def _count_hot(strings: DataFrame, window: int) -> DataFrame:
     return single.join(often, "window").groupBy("digest").agg(F.collect_set("r").alias("windows"))
 
 
+def _parted(strings: DataFrame, window: int, gram: int) -> DataFrame:
+    """The super-k-mers of packed strings by longer grams: ``owner`` is the string, ``at`` the place in it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "packed", 1 << 20):
+            rows = []
+            for bucket, owner, packed, n in zip(*(c.to_pylist() for c in batch.columns)):
+                words = packed.split(b" ")
+                found = super_kmers(word_hashes(packed), window, gram)
+                hashes = mixed(found[0].view(np.uint64) ^ np.int64(bucket).view(np.uint64)).view(np.int64)
+                for hashed, at, windows in zip(hashes.tolist(), found[1].tolist(), found[2].tolist()):
+                    part = b" ".join(words[at : at + windows + window - 1])
+                    rows.append((owner, n, at, hashed, hashlib.md5(part).digest(), part))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PART)], schema=_PART)
+
+    listed = strings.select("hash", "digest", "packed", "n")
+    return listed.mapInArrow(run, "owner binary, n long, at int, hash long, digest binary, packed binary")
+
+
+_PART = pa.schema(
+    [("owner", pa.binary()), ("n", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()),
+     ("digest", pa.binary()), ("packed", pa.binary())]
+)
+
+
+def _count_hot(strings: DataFrame, window: int, gram: int, hot_strings: int) -> DataFrame:
+    """The same for hot buckets: dealt out again by longer grams.
+
+    Equal windows of a bucket have equal minimisers of any length at equal places.
+    """
+    parts = materialize(_parted(strings, window, gram), "hot-parts")
+    often = parts.groupBy("hash").agg(F.sum("n").alias("_n")).filter("_n > 1").select("hash")
+    parts = materialize(parts.join(materialize(often, "repeated-hot-minimisers"), "hash"), "kept-parts")
+    again = materialize(parts.groupBy("hash", "digest", "packed").agg(F.sum("n").alias("n")), "part-strings")
+    plain, hot = _by_heat(again, hot_strings)
+    found = materialize(_count_buckets(plain, window).unionByName(_count_windows(hot, window)), "repeated-in-parts")
+    starts = F.transform("windows", lambda r: r + F.col("at"))
+    placed = parts.join(found, "digest").select("owner", starts.alias("s"))
+    return placed.groupBy(F.col("owner").alias("digest")).agg(F.flatten(F.collect_set("s")).alias("windows"))
+
+
+def _by_heat(strings: DataFrame, hot_strings: int) -> tuple[DataFrame, DataFrame]:
+    """The strings of plain buckets, and those of buckets with more than ``hot_strings``."""
+    hot = strings.groupBy("hash").agg(F.count(F.lit(1)).alias("_s")).filter(F.col("_s") > hot_strings)
+    hot = materialize(hot.select("hash", F.lit(True).alias("hot")), "hot-minimisers")
+    plain = strings.join(hot, "hash", "left_anti").select("hash", "digest", "packed", "n")
+    return plain, strings.join(hot, "hash", "left_semi")
+
+
 def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_strings: int = HOT_STRINGS) -> DataFrame:
     """``k1, k2, starts``: per text key, the first words of its repeated windows.
 
@@ -191,10 +242,9 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, h
 
     strings = packed.groupBy("hash", "digest", "packed").agg(F.count(F.lit(1)).alias("n"))
     strings = materialize(strings, "strings")
-    hot = strings.groupBy("hash").agg(F.count(F.lit(1)).alias("_s")).filter(F.col("_s") > hot_strings)
-    hot = materialize(hot.select("hash", F.lit(True).alias("hot")), "hot-minimisers")
-    plain = strings.join(hot, "hash", "left_anti").select("hash", "digest", "packed", "n")
-    found = _count_buckets(plain, window).unionByName(_count_hot(strings.join(hot, "hash", "left_semi"), window))
+    plain, hot = _by_heat(strings, hot_strings)
+    longer = (gram + 3 * window) // 4  # nearly a window: parts are short, and few of them meet by a common phrase alone
+    found = _count_buckets(plain, window).unionByName(_count_hot(hot, window, longer, hot_strings))
     found = materialize(found, "repeated-windows")
     starts = F.transform("windows", lambda r: r.cast("long") + F.col("at"))
     return (
