@@ -57,6 +57,26 @@ def test_library_ids_equal_the_library(name):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_letters_are_not_split_by_the_pattern():
+    """A word of plain letters is one pre-token; other plain pieces are split as the library splits them."""
+    e = library_ids.LibraryEncoder(P.path("word_bpe_49k.json"))
+    plain, split, asked = [c for c in map(chr, range(0x130)) if library_ids._PLAIN.fullmatch(c)], e.pattern, []
+
+    class Asked:
+        def findall(self, text):
+            asked.append(text)
+            return split.findall(text)
+
+    e.pattern = Asked()
+    rng = random.Random(3)
+    signs = plain + ["'", "s", "t", "r", "e", "l", "1", ",", "."] * 20
+    pieces = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 10))) for _ in range(3000)]
+    pieces += ["".join(rng.choice([c for c in plain if c.isalpha()]) for _ in range(rng.randint(1, 10))) for _ in range(1000)]
+    for p in pieces + plain:
+        assert np.frombuffer(e.encode(p), "<u4").tolist() == e.tokenizer.encode(p, add_special_tokens=False).ids
+    assert asked and not any(x.isalpha() for x in asked)
+
+
 def test_token_counts_equal_the_unigram_library(spark):
     path = P.path("piece_bpe_32k.model")
     reference = Tokenizer(models.Unigram(token_counts.piece_scores(path), unk_id=0, byte_fallback=True))

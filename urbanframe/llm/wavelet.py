@@ -153,6 +153,12 @@ class WaveletMatrix:
         return at
 
 
+def _deflated(block: bytes) -> bytes:
+    """zlib data; planes have runs of equal bytes and little else that repeats, so only runs are looked for."""
+    packer = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return packer.compress(block) + packer.flush()
+
+
 def write_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
     matrix = WaveletMatrix.build(ids, bits)
     blocks = [
@@ -163,7 +169,7 @@ def write_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray,
     ]
     out = [MAGIC, struct.pack("<IQQ", bits, len(doc_ids), len(ids))]
     for block in blocks:
-        packed = zlib.compress(block, 1)
+        packed = _deflated(block)
         out += [struct.pack("<Q", len(packed)), packed]
     return b"".join(out)
 
