@@ -3,6 +3,10 @@
 Each stage is a function of ``(spark, docs, sf_dir)`` and works on everything its
 predecessor kept; its result is written as Parquet and read again.  All stages but
 the last return the columns of ``documents``.
+
+All stages share the executors, whose memory rarely shrinks again: the JVMs' heaps stay as
+large as the largest stage made them, and the workers are used again with all they hold.
+So every stage hands small batches to its workers, and they remember little.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ from urbanframe.llm.packing import pack_sequences
 from urbanframe.llm.quality import keep_quality
 from urbanframe.llm.queries import held_out
 from urbanframe.llm.substrings import cut_repeated_passages
-from urbanframe.session import materialize
+from urbanframe.session import materialize, small_batches
+
+REMEMBERED = 200_000  # words whose ids a worker keeps: it goes on to other stages and keeps them
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects; null, empty and blank texts are rejected, repeated rows stay repeated."""
+    small_batches(spark)
     return keep_quality(docs, "text")
 
 
@@ -30,6 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts and texts without a letter go; repeated rows stay repeated.
     """
+    small_batches(spark)
     net = train_language_model(docs, "doc_id", "text", "lang", ~held_out())
     return keep_identified(docs, "text", net)
 
@@ -39,6 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are one class; of rows that repeat one stays.
     """
+    small_batches(spark)
     return keep_one_of_each(docs, "doc_id", "text")
 
 
@@ -48,6 +57,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A changed text is its kept words joined by one space (empty if none is left);
     other texts stay as they are.  ``n_chars`` follows the text.
     """
+    small_batches(spark)
     cut = cut_repeated_passages(docs, "doc_id", "text")
     if "n_chars" not in cut.columns:
         return cut
@@ -60,7 +70,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is its end id alone; repeated rows are packed as often as they occur.
     """
-    return pack_sequences(docs, "doc_id", "text", tokenizer_files.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    small_batches(spark)
+    path = tokenizer_files.path("byte_bpe_50k.json")
+    return pack_sequences(docs, "doc_id", "text", path, end_id=0, capacity=2048, remembered=REMEMBERED)
 
 
 STAGES = [

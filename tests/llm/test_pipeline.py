@@ -5,11 +5,15 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from urbanframe.llm import langid, near_duplicates, quality
+from urbanframe.llm import langid, library_ids, near_duplicates, packing, quality
 from urbanframe.llm.queries import held_out
+from urbanframe.session import ARROW_BYTES
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +87,40 @@ def test_every_stage_against_a_plain_version(spark):
         assert r["offset"] == ends[r["sequence_id"]]
         ends[r["sequence_id"]] += r["length"]
     assert max(ends.values()) <= 2048
+
+
+@pytest.mark.parametrize("stage", [stage for _, stage in corpus_pipeline.STAGES])
+def test_stages_hand_small_batches_to_the_workers(spark, stage):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    before = spark.conf.get(ARROW_BYTES, None)
+    try:
+        stage(spark, empty, SF)
+        large = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+        got = [r["size"] for r in large.mapInArrow(sizes, "size long").collect()]
+        assert sum(got) > 24_000_000 and max(got) < 5_000_000
+        long = spark.range(1).select(F.repeat(F.lit("x"), 6_000_000).alias("text"))  # a row is never cut
+        assert [r["size"] >= 6_000_000 for r in long.mapInArrow(sizes, "size long").collect()] == [True]
+        spark.conf.set(ARROW_BYTES, "9m")
+        stage(spark, empty, SF)
+        assert spark.conf.get(ARROW_BYTES) == "9m"
+    finally:
+        spark.conf.unset(ARROW_BYTES) if before is None else spark.conf.set(ARROW_BYTES, before)
+
+
+def test_packing_remembers_few_words_in_a_worker(spark, monkeypatch):
+    path = P.path("byte_bpe_50k.json")
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(40)]
+    reference, small = Tokenizer.from_file(path), library_ids.LibraryEncoder(path, 500)
+    for text in texts:
+        assert np.frombuffer(small.encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+        assert len(small.cache) <= 500
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(50, None)], "doc_id long, text string")
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline, "pack_sequences", lambda *a, **k: asked.update(k) or packing.pack_sequences(*a, **k))
+    rows = [tuple(r) for r in corpus_pipeline.packing(spark, docs, SF).collect()]
+    assert asked["remembered"] <= 200_000 < library_ids.REMEMBERED
+    assert sorted(rows) == sorted(tuple(r) for r in packing.pack_sequences(docs, "doc_id", "text", path).collect())

@@ -46,10 +46,17 @@ def _pack(ids: list[int]) -> bytes:
     return _SHORT[n].pack(*ids) if n < len(_SHORT) else struct.pack(f"<{n}I", *ids)
 
 
+REMEMBERED = 1_000_000  # pieces a worker remembers, of about 200 bytes each
+
+
 class LibraryEncoder:
-    """``encode(text)`` -> packed little-endian 32-bit ids, equal to the library's."""
+    """``encode(text)`` -> packed little-endian 32-bit ids, equal to the library's.
+
+    The ids of up to ``remembered`` pieces are kept; fewer take less memory and more time.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -62,7 +69,7 @@ class LibraryEncoder:
         normalizer, pre = config.get("normalizer"), config.get("pre_tokenizer") or {}
         if normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.pattern = compile_pattern(BYTE_LEVEL_PATTERN)
-            self.cache = BoundedCache(self._spaced_piece)
+            self.cache = BoundedCache(self._spaced_piece, self.remembered)
             return self._encode_spaced
         steps = [s.get("type") for s in (normalizer or {}).get("normalizers", [])]
         parts = pre.get("pretokenizers", [])
@@ -72,7 +79,7 @@ class LibraryEncoder:
                 known = split["pattern"]["Regex"] == LOWER_PATTERN
                 self.pattern = _plain_pattern() if known else regex.compile(split["pattern"]["Regex"])
                 self.letters_whole = known
-                self.cache = BoundedCache(self._lower_piece)
+                self.cache = BoundedCache(self._lower_piece, self.remembered)
                 return self._encode_lower
         return self._whole
 
@@ -131,6 +138,6 @@ def byte_table() -> dict[int, str]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> LibraryEncoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> LibraryEncoder:
     """One encoder and cache per worker process."""
-    return LibraryEncoder(path)
+    return LibraryEncoder(path, remembered)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanframe.llm.batches import text_slices
-from urbanframe.llm.library_ids import encoder
+from urbanframe.llm.library_ids import REMEMBERED, encoder
 from urbanframe.session import materialize
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
@@ -241,16 +241,17 @@ class Places:
 
 # ---------------------------------------------------------------- Spark
 def token_pieces(
-    df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int, capacity: int
+    df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int, capacity: int, remembered: int = REMEMBERED
 ) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: ``id_col, piece, start, length, ids_crc32, _block, _nth``.
 
     A document's ids end with ``end_id``; only a longer document is cut, its first
     piece being the shorter one.  ``_nth`` counts a task's pieces of one length.
+    A worker remembers the ids of up to ``remembered`` words.
     """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(tokenizer_path).encode, np.uint32(end_id).tobytes()
+        ids_of, end = encoder(tokenizer_path, remembered).encode, np.uint32(end_id).tobytes()
         block, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in text_slices(batches, "text"):
             at, rows = [], []
@@ -278,15 +279,22 @@ _TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()
 
 
 def pack_sequences(
-    df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int = 0, capacity: int = 2048
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    tokenizer_path: str,
+    end_id: int = 0,
+    capacity: int = 2048,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """Per piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null text is an empty document (its end id alone).  Equal rows are packed as
     often as they occur.  An empty table gives no rows.  Tokens are computed once:
-    the pieces are written to the shared checkpoint folder.
+    the pieces are written to the shared checkpoint folder.  ``remembered`` bounds the
+    words whose ids a worker keeps, 200 MB of them by default; results are the same.
     """
-    pieces = materialize(token_pieces(df, id_col, text_col, tokenizer_path, end_id, capacity), "pieces")
+    pieces = materialize(token_pieces(df, id_col, text_col, tokenizer_path, end_id, capacity, remembered), "pieces")
     blocks = materialize(pieces.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
     histogram = blocks.groupBy("length").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     counts = {r["length"]: r["n"] for r in histogram}

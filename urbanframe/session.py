@@ -131,6 +131,21 @@ def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+# bytes of rows that Spark hands to a Python worker at once
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let Spark hand rows to Python workers in batches of about ``size``, unless the session has a limit of its own.
+
+    Spark's default is 64 MB or 10,000 rows, which an executor holds several times for every
+    running task: in the buffers it fills, in the worker, and in the rows it gets back.  The
+    setting stays with the session, since a plan takes it when it is run.
+    """
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, size)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
