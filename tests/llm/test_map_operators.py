@@ -2,9 +2,11 @@
 
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from urbanframe.llm import byte_bpe, langid, library_ids, lm_scoring, quality, token_counts
+from urbanframe.llm.queries import op1_byte_bpe
+from urbanframe.session import ARROW_BYTES
 
 LONG = "ab" * 3000 + " " + "-" * 999
 HOSTILE = [None, "", " ", "\n\t", "  a", "a  b ", "\x1c a\x1d b", "é́ x", "漢字 テスト", "😀😀 😀", "it's we'll  I'M",
@@ -50,6 +54,40 @@ def test_segment_tree_for_long_pretokens_equals_the_matrix_form():
     assert [np.frombuffer(x, "<u4").tolist() for x in byte_bpe.merge_many(words, bpe.pairs)] == one
 
 
+def test_bpe_cache_is_bounded_by_bytes():
+    bpe = byte_bpe.ByteBpe({bytes([b]): b for b in range(256)}, P.PATTERN)  # no merges: a word's ids are its bytes
+    held = []
+    for n in range(100):
+        words = [f"{n * 1000 + i:06}".ljust(60, "z") for i in range(1000)]
+        text = " ".join(words)
+        assert bpe.encode_texts([text]) == [np.frombuffer(text.encode(), np.uint8).astype("<u4").tobytes()]
+        held.append(sum(sys.getsizeof(p) + sys.getsizeof(ids) for p, ids in bpe.cache.items()))
+    assert byte_bpe.CACHE_BYTES // 2 < max(held) < byte_bpe.CACHE_BYTES + 2_000_000
+
+
+def test_op1_hands_small_batches_to_the_workers_and_keeps_whole_texts(spark, tmp_path):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    text = F.concat(F.repeat(F.concat_ws(" ", F.col("doc_id"), F.lit("text ")), F.lit(500)), F.lit("end"))
+    docs = spark.range(0, 2500, 1, 1).withColumnRenamed("id", "doc_id").withColumn("text", text)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(ARROW_BYTES, None)
+    spark.conf.unset(ARROW_BYTES)
+    try:
+        got = op1_byte_bpe(spark, str(tmp_path)).join(docs, "doc_id")
+        whole = F.col("decoded_sha256") == F.sha2(F.col("text").cast("binary"), 256)
+        assert got.filter(whole).count() == 2500
+        batches = [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
+        assert sum(batches) > 10_000_000 and max(batches) < 5_000_000
+        spark.conf.set(ARROW_BYTES, "9m")
+        op1_byte_bpe(spark, str(tmp_path))
+        assert spark.conf.get(ARROW_BYTES) == "9m"
+    finally:
+        spark.conf.unset(ARROW_BYTES) if before is None else spark.conf.set(ARROW_BYTES, before)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_library_ids_equal_the_library(name):
     e = library_ids.encoder(P.path(name))

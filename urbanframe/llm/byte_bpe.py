@@ -29,7 +29,10 @@ from urbanframe.llm.batches import list_array, text_slices
 from urbanframe.llm.pretokens import compile_pattern, safe_piece
 
 WIDE = 64  # longest pre-token, in bytes, that is merged side by side with others
-CACHE_PIECES = 400_000  # about 80 MB a worker; emptied when full
+MERGE_CELLS = 1 << 18  # leaves of the trees that are merged side by side, about 70 bytes each
+CACHE_BYTES = 24 << 20  # pieces and ids that a worker keeps; emptied when full
+ENTRY_BYTES = 200  # objects and dictionary slot of a kept piece, beside its letters and ids
+SLICE_BYTES = 1 << 20  # text or ids handled at once; a word of text takes a hundred bytes and more meanwhile
 _NO_PAIR = np.int64(1) << 60
 
 
@@ -142,8 +145,9 @@ def merge_many(tokens: list[bytes], pairs: PairRanks) -> list[bytes]:
     for i, token in enumerate(tokens):
         by_size.setdefault(1 << max(1, (len(token) - 1).bit_length()), []).append(i)
     for size, members in by_size.items():
-        for lo in range(0, len(members), 16_384):
-            chosen = members[lo : lo + 16_384]
+        rows = MERGE_CELLS // size
+        for lo in range(0, len(members), rows):
+            chosen = members[lo : lo + rows]
             for i, ids in zip(chosen, _merge_rows([tokens[i] for i in chosen], size, pairs)):
                 out[i] = ids
     return out
@@ -216,6 +220,7 @@ class ByteBpe:
         self.pattern = compile_pattern(pattern)
         self.pairs = PairRanks(ranks)
         self.cache: dict[str, bytes | bool] = {}  # piece -> packed ids; False: not to be cut off
+        self.held = 0  # bytes of the cache, about
 
     # ------------------------------------------------------------ encoding
     def _segments(self, segments: list[str]) -> list[bytes]:
@@ -243,8 +248,9 @@ class ByteBpe:
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
-        if len(self.cache) > CACHE_PIECES:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         get, join = self.cache.get, b"".join
         out: list[bytes] = []
         open_: list[tuple[int, list[str], list]] = []
@@ -263,6 +269,7 @@ class ByteBpe:
         cuttable = [p for p in new if safe_piece(p)]
         self.cache.update(dict.fromkeys(new, False))
         self.cache.update(zip(cuttable, self._segments([" " + p for p in cuttable])))
+        self.held += sum(ENTRY_BYTES + 5 * len(p) for p in new)  # a letter of its own id: 1 + 4 bytes
         whole = []
         for i, pieces, found in open_:
             try:
@@ -325,7 +332,7 @@ def byte_bpe_encode(df: DataFrame, id_col: str, text_col: str, ranks_path: str,
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE_BYTES):
             packed = bpe.encode_texts([t or "" for t in batch.column(1).to_pylist()])
             ids = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
             lists = list_array(ids, [len(p) // 4 for p in packed], pa.int32())
@@ -341,7 +348,7 @@ def byte_bpe_decode(df: DataFrame, id_col: str, ids_col: str, ranks_path: str) -
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = decoder(ranks_path)
-        for batch in text_slices(batches, "ids", 4 << 20):
+        for batch in text_slices(batches, "ids", SLICE_BYTES):
             column = batch.column(1)
             counts = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], dtype=np.int64)
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)

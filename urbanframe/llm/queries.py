@@ -19,6 +19,7 @@ from urbanframe.llm.substrings import remove_repeated_passages
 from urbanframe.llm.token_counts import count_tokens
 from urbanframe.llm.toxicity import toxicity_scores
 from urbanframe.llm.wavelet import token_shards
+from urbanframe.session import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and digest both."""
+    small_batches(spark)  # two workers a task, and the rows pass through the JVM between them
     ranks = tokenizer_files.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe_encode(table(spark, sf_dir, "documents"), "doc_id", "text", ranks, tokenizer_files.PATTERN)
     decoded = byte_bpe_decode(encoded, "doc_id", "ids", ranks)
