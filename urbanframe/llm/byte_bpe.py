@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,11 @@ from urbanframe.llm.pretokens import compile_pattern, safe_piece
 
 WIDE = 64  # longest pre-token, in bytes, that is merged side by side with others
 MERGE_CELLS = 1 << 18  # leaves of the trees that are merged side by side, about 70 bytes each
-CACHE_BYTES = 24 << 20  # pieces and ids that a worker keeps; emptied when full
+CACHE_BYTES = 48 << 20  # pieces and ids that a worker keeps; half of them, the ones used last, survive when it is full
 ENTRY_BYTES = 200  # objects and dictionary slot of a kept piece, beside its letters and ids
 SLICE_BYTES = 1 << 20  # text or ids handled at once; a word of text takes a hundred bytes and more meanwhile
 _NO_PAIR = np.int64(1) << 60
+_SIZES = np.array([1 << max(1, (n - 1).bit_length()) for n in range(WIDE + 1)])  # leaves for so many bytes
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -141,11 +143,9 @@ def merge_one(token_ids: list[int], pairs: PairRanks) -> list[int]:
 def merge_many(tokens: list[bytes], pairs: PairRanks) -> list[bytes]:
     """Packed little-endian 32-bit ids of many pre-tokens of at most ``WIDE`` bytes."""
     out: list[bytes] = [b""] * len(tokens)
-    by_size: dict[int, list[int]] = {}
-    for i, token in enumerate(tokens):
-        by_size.setdefault(1 << max(1, (len(token) - 1).bit_length()), []).append(i)
-    for size, members in by_size.items():
-        rows = MERGE_CELLS // size
+    sizes = _SIZES[np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))]
+    for size in np.unique(sizes).tolist():
+        members, rows = np.flatnonzero(sizes == size).tolist(), MERGE_CELLS // size
         for lo in range(0, len(members), rows):
             chosen = members[lo : lo + rows]
             for i, ids in zip(chosen, _merge_rows([tokens[i] for i in chosen], size, pairs)):
@@ -153,7 +153,7 @@ def merge_many(tokens: list[bytes], pairs: PairRanks) -> list[bytes]:
     return out
 
 
-def _merge_rows(tokens: list[bytes], size: int, pairs: PairRanks) -> Iterator[bytes]:
+def _merge_rows(tokens: list[bytes], size: int, pairs: PairRanks) -> list[bytes]:
     rows = len(tokens)
     lengths = np.array([len(t) for t in tokens], dtype=np.int64)
     text = np.frombuffer(b"".join(t.ljust(size, b"\0") for t in tokens), dtype=np.uint8).reshape(rows, size)
@@ -205,11 +205,8 @@ def _merge_rows(tokens: list[bytes], size: int, pairs: PairRanks) -> Iterator[by
         active = active[tree[active, 1] < _NO_PAIR]
     live &= place[None, :] < lengths[:, None]
     flat = ids[live].astype("<u4").tobytes()
-    ends = np.cumsum(live.sum(axis=1)) * 4
-    start = 0
-    for end in ends.tolist():
-        yield flat[start:end]
-        start = end
+    ends = (np.cumsum(live.sum(axis=1)) * 4).tolist()
+    return [flat[start:end] for start, end in zip([0, *ends], ends)]
 
 
 class ByteBpe:
@@ -221,16 +218,17 @@ class ByteBpe:
         self.pairs = PairRanks(ranks)
         self.cache: dict[str, bytes | bool] = {}  # piece -> packed ids; False: not to be cut off
         self.held = 0  # bytes of the cache, about
+        self.older: dict[str, bytes | bool] = {}  # the cache before, until this one is half as large as both may be
 
     # ------------------------------------------------------------ encoding
     def _segments(self, segments: list[str]) -> list[bytes]:
         """Packed ids of text segments, each split by the pattern on its own."""
         # a segment of letters after at most one space is one pre-token
         split = [[s] if s[1:].isalpha() and (s[0] == " " or s[0].isalpha()) else self.pattern.findall(s) for s in segments]
-        tokens = list({t for tokens in split for t in tokens})
+        tokens = list(set(chain.from_iterable(split)))
         raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
         ids = dict(zip(tokens, self._merged(raw)))
-        return [b"".join([ids[t] for t in tokens]) for tokens in split]
+        return [ids[tokens[0]] if len(tokens) == 1 else b"".join([ids[t] for t in tokens]) for tokens in split]
 
     def _merged(self, raw: list[bytes]) -> list[bytes]:
         """Packed ids of pre-tokens: one id if the whole is a token, else by merging."""
@@ -248,9 +246,8 @@ class ByteBpe:
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
-        if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.cache, self.held = self.cache, {}, 0
         get, join = self.cache.get, b"".join
         out: list[bytes] = []
         open_: list[tuple[int, list[str], list]] = []
@@ -266,10 +263,13 @@ class ByteBpe:
                 out.append(b"")
                 open_.append((i, pieces, found))
                 new.update([p for p, ids in zip(pieces[1:], found) if ids is None])
+        self.held += sum(ENTRY_BYTES + 5 * len(p) for p in new)  # a letter of its own id: 1 + 4 bytes
+        known = {p: self.older[p] for p in new if p in self.older}
+        new.difference_update(known)
         cuttable = [p for p in new if safe_piece(p)]
+        self.cache.update(known)
         self.cache.update(dict.fromkeys(new, False))
         self.cache.update(zip(cuttable, self._segments([" " + p for p in cuttable])))
-        self.held += sum(ENTRY_BYTES + 5 * len(p) for p in new)  # a letter of its own id: 1 + 4 bytes
         whole = []
         for i, pieces, found in open_:
             try:
